@@ -333,12 +333,16 @@ def a4_medians(spark, sf):
     return R.medians(D.searches(spark, sf), _RC + ["price_by_night_person"])
 
 
-@query("a5_modes", V.with_views("amenities") + """
-SELECT coalesce(mode(destination_code ORDER BY destination_code), 'Missing') AS destination_code,
-       coalesce(mode(main_city_oid ORDER BY main_city_oid), 'Missing') AS main_city_oid,
-       coalesce(mode(name ORDER BY name), 'Missing') AS name,
-       coalesce(mode(CAST(NULL AS VARCHAR)), 'Missing') AS empty_col
-FROM amenities
+def _sql_mode(col: str, src: str) -> str:
+    return (f"coalesce((SELECT {col} FROM (SELECT {col}, count(*) AS c FROM {src} WHERE {col} IS NOT NULL "
+            f"GROUP BY {col}) ORDER BY c DESC, {col} LIMIT 1), 'Missing')")
+
+
+@query("a5_modes", V.with_views("amenities") + f"""
+SELECT {_sql_mode('destination_code', 'amenities')} AS destination_code,
+       {_sql_mode('main_city_oid', 'amenities')} AS main_city_oid,
+       {_sql_mode('name', 'amenities')} AS name,
+       'Missing' AS empty_col
 """)
 def a5_modes(spark, sf):
     a = D.amenities(spark, sf).withColumn("empty_col", F.lit(None).cast("string"))
@@ -769,3 +773,220 @@ def flagship(spark, sf):
     return (h.filter(F.col("dist_metro_m") <= 2000)
             .select("hid", "precio_mediano", "dist_metro_m", *G.LANDMARKS)
             .orderBy(F.desc("precio_mediano"), "hid").limit(20))
+
+
+# =============================================================== 2.8 transformers
+def _train_test(spark, sf):
+    s = VW.split_searches(spark, sf)
+    return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+
+
+def _sql_mode(col: str, src: str) -> str:
+    return (f"coalesce((SELECT {col} FROM (SELECT {col}, count(*) AS c FROM {src} WHERE {col} IS NOT NULL "
+            f"GROUP BY {col}) ORDER BY c DESC, {col} LIMIT 1), 'Missing')")
+
+
+@query("t1_mean_impute", V.with_views("split_searches") + f"""
+, tr AS (SELECT * FROM split_searches WHERE split = 'train')
+SELECT searchid, position, hid, sid, {', '.join(f'ROUND(coalesce({c}, (SELECT avg({c}) FROM tr)), 6) AS {c}' for c in _RC)}
+FROM split_searches WHERE split = 'test'
+""")
+def t1_mean_impute(spark, sf):
+    tr, te = _train_test(spark, sf)
+    imp = T.MeanImputer(_RC).fit(tr)
+    out = imp.transform(te)
+    return out.select("searchid", "position", "hid", "sid", *[r6(c).alias(c) for c in _RC])
+
+
+_T2_COLS = ["name", "destination_code", "main_city_oid"]
+
+
+@query("t2_mode_impute", V.with_views("split_searches", "amenities") + f"""
+, tr AS (SELECT * FROM amenities WHERE hotel_id IN (SELECT hid FROM split_searches WHERE split = 'train'))
+SELECT hotel_id, {', '.join(f"coalesce({c}, {_sql_mode(c, 'tr')}) AS {c}" for c in _T2_COLS)}
+FROM amenities
+""")
+def t2_mode_impute(spark, sf):
+    amen = D.amenities(spark, sf)
+    train = VW.split_searches(spark, sf).filter(F.col("split") == "train").select(F.col("hid").alias("hotel_id"))
+    imp = T.ModeImputer(_T2_COLS).fit(R.semi(amen, train, "hotel_id"))
+    return imp.transform(amen).select("hotel_id", *_T2_COLS)
+
+
+@query("t3_median_impute", V.with_views("split_searches") + f"""
+, tr AS (SELECT * FROM split_searches WHERE split = 'train')
+SELECT searchid, position, hid, sid, {', '.join(f'coalesce({c}, (SELECT median({c}) FROM tr)) AS {c}' for c in _RC)}
+FROM split_searches WHERE split = 'test'
+""")
+def t3_median_impute(spark, sf):
+    tr, te = _train_test(spark, sf)
+    imp = T.MedianImputer(_RC).fit(tr)
+    return imp.transform(te).select("searchid", "position", "hid", "sid", *_RC)
+
+
+@query("t4_one_hot", V.with_views("split_searches", "amenities") + """
+, tr AS (SELECT * FROM amenities WHERE hotel_id IN (SELECT hid FROM split_searches WHERE split = 'train')),
+cats AS (
+  SELECT 'main_city_oid' AS col, v FROM (SELECT DISTINCT main_city_oid AS v FROM tr WHERE main_city_oid IS NOT NULL)
+  WHERE v > (SELECT min(main_city_oid) FROM tr)
+  UNION ALL
+  SELECT 'destination_code', v FROM (SELECT DISTINCT destination_code AS v FROM tr WHERE destination_code IS NOT NULL)
+  WHERE v > (SELECT min(destination_code) FROM tr))
+SELECT a.hotel_id, c.col || '_' || c.v AS feature,
+       CAST(coalesce(CASE WHEN c.col = 'main_city_oid' THEN a.main_city_oid = c.v ELSE a.destination_code = c.v END, false) AS INTEGER) AS value
+FROM amenities a CROSS JOIN cats c
+""")
+def t4_one_hot(spark, sf):
+    amen = D.amenities(spark, sf)
+    train = VW.split_searches(spark, sf).filter(F.col("split") == "train").select(F.col("hid").alias("hotel_id"))
+    oh = T.OneHot(["main_city_oid", "destination_code"], drop_first=True).fit(R.semi(amen, train, "hotel_id"))
+    wide = oh.transform(amen.select("hotel_id", "main_city_oid", "destination_code"))
+    # long form (hotel_id, feature, value): the dummy column names depend on the data
+    return wide.unpivot("hotel_id", oh.output_columns(), "feature", "value")
+
+
+_T5_SQL = V.with_views("split_searches") + f"""
+, tr AS (SELECT * FROM split_searches WHERE split = 'train'),
+gm AS (SELECT starRating, {', '.join(f'avg({c}) AS {c}__gm' for c in _RC)} FROM tr WHERE starRating IS NOT NULL GROUP BY starRating),
+gall AS (SELECT {', '.join(f'avg({c}) AS {c}__all' for c in _RC)} FROM tr),
+te AS (SELECT * FROM split_searches WHERE split = 'test')
+SELECT te.searchid, te.position, te.hid, te.sid,
+  {', '.join(f'CAST(te.{c} IS NULL AS INTEGER) AS {c}_is_missing' for c in _RC)},
+  {', '.join(f'ROUND(coalesce(te.{c}, gm.{c}__gm, gall.{c}__all), 6) AS {c}' for c in _RC)},
+  ROUND(coalesce(te.avgRating, gm.avgRating__gm, gall.avgRating__all) / (te.starRating + 1), 6) AS ratio_expectativa
+FROM te LEFT JOIN gm ON te.starRating = gm.starRating CROSS JOIN gall
+"""
+
+
+@query("t5_group_impute", _T5_SQL)
+def t5_group_impute(spark, sf):
+    tr, te = _train_test(spark, sf)
+    imp = T.GroupImputer("starRating", _RC).fit(tr)
+    out = imp.transform(te)
+    return out.select("searchid", "position", "hid", "sid", *[f"{c}_is_missing" for c in _RC],
+                      *[r6(c).alias(c) for c in _RC], r6("ratio_expectativa").alias("ratio_expectativa"))
+
+
+_T6_COLS = ["anticipation", "price_by_night_person", "numberOfRooms"]
+
+
+@query("t6_scale", V.with_views("split_searches") + f"""
+, tr AS (SELECT * FROM split_searches WHERE split = 'train')
+SELECT searchid, position, hid, sid,
+  {', '.join(f'ROUND((coalesce({c}, 0) - (SELECT avg(coalesce({c}, 0)) FROM tr)) / (SELECT stddev_pop(coalesce({c}, 0)) FROM tr), 6) AS {c}' for c in _T6_COLS)}
+FROM split_searches WHERE split = 'test'
+""")
+def t6_scale(spark, sf):
+    tr, te = _train_test(spark, sf)
+    sc = T.Scaler(_T6_COLS, ddof=0, fill_null=0.0).fit(tr)
+    return sc.transform(te).select("searchid", "position", "hid", "sid", *[r6(c).alias(c) for c in _T6_COLS])
+
+
+_SEG_LEAF_SQL = _SEARCH_AMEN_SQL + f"""
+, seg AS (SELECT *, {_seg_sql()} AS segment, {V.split_expr('searchid')} AS split FROM sa)
+"""
+
+
+def _segments(spark, sf):
+    s = _search_amen(spark, sf).withColumn("segment", RU.route_rules())
+    return R.session_split(s, "searchid")
+
+
+@query("t9_one_hot_leaf", _SEG_LEAF_SQL + """
+, cats AS (SELECT DISTINCT segment FROM seg WHERE split = 'train' AND NOT (hid % 5 = 0 AND segment = 'Lujo_Resort'))
+SELECT s.searchid, s.position, s.hid, s.sid, 'segment_' || c.segment AS feature, CAST(s.segment = c.segment AS INTEGER) AS value
+FROM (SELECT * FROM seg WHERE split = 'test') s CROSS JOIN cats c
+""")
+def t9_one_hot_leaf(spark, sf):
+    s = _segments(spark, sf)
+    # train rows of hotels with hid % 5 = 0 in the luxury segment are held out of the fit
+    # only to vary the category set; the encoder must give zeros for any unseen value
+    tr = s.filter((F.col("split") == "train") & ~((F.col("hid") % 5 == 0) & (F.col("segment") == RU.SEG_LUXURY)))
+    oh = T.OneHot(["segment"], drop_first=False).fit(tr)
+    te = oh.transform(s.filter(F.col("split") == "test").select("searchid", "position", "hid", "sid", "segment"))
+    return te.unpivot(["searchid", "position", "hid", "sid"], oh.output_columns(), "feature", "value")
+
+
+@query("t10_interact", _SEG_LEAF_SQL + """
+, p AS (SELECT seg.*, seg.price_by_night_person * 1.1 AS pred_a, seg.price_by_night_person * 0.9 AS pred_b FROM seg WHERE split = 'test')
+SELECT searchid, position, hid, sid,
+  CASE WHEN segment = 'Boutique_Informal' THEN pred_a ELSE 0.0 END AS ix_pred_a_Boutique_Informal,
+  CASE WHEN segment = 'Estandar' THEN pred_a ELSE 0.0 END AS ix_pred_a_Estandar,
+  CASE WHEN segment = 'Lujo_Resort' THEN pred_a ELSE 0.0 END AS ix_pred_a_Lujo_Resort,
+  CASE WHEN segment = 'Boutique_Informal' THEN pred_b ELSE 0.0 END AS ix_pred_b_Boutique_Informal,
+  CASE WHEN segment = 'Estandar' THEN pred_b ELSE 0.0 END AS ix_pred_b_Estandar,
+  CASE WHEN segment = 'Lujo_Resort' THEN pred_b ELSE 0.0 END AS ix_pred_b_Lujo_Resort
+FROM p
+""")
+def t10_interact(spark, sf):
+    s = _segments(spark, sf).filter(F.col("split") == "test")
+    s = s.withColumns({"pred_a": F.col("price_by_night_person") * 1.1, "pred_b": F.col("price_by_night_person") * 0.9})
+    out = T.interact(s, ["pred_a", "pred_b"], "segment", [RU.SEG_BOUTIQUE, RU.SEG_STANDARD, RU.SEG_LUXURY])
+    return out.select("searchid", "position", "hid", "sid", *[c for c in out.columns if c.startswith("ix_")])
+
+
+# =============================================================== §3.1 dataset build
+from . import dataset as DS  # noqa: E402
+from ..operators.mca import MCA  # noqa: E402
+
+_J4_SQL = V.with_views("searches", "amenities") + f"""
+, rio AS (SELECT * FROM amenities WHERE destination_name = 'Rio de Janeiro'),
+data AS (
+  SELECT s.*, {V.split_expr('s.searchid')} AS split, s.date + to_days(s.anticipation) AS date_ci
+  FROM searches s LEFT JOIN rio a ON s.hid = a.hotel_id
+  WHERE s.hid IS NOT NULL AND s.longitude IS NOT NULL AND s.latitude IS NOT NULL),
+tr AS (SELECT * FROM data WHERE split = 'train'),
+gm AS (SELECT starRating, {', '.join(f'avg({c}) AS {c}__gm' for c in _RC)} FROM tr WHERE starRating IS NOT NULL GROUP BY starRating),
+gall AS (SELECT {', '.join(f'avg({c}) AS {c}__all' for c in _RC)} FROM tr),
+kde AS ({_KDE_SQL}),
+knn AS ({_KNN_SQL}),
+amen AS (SELECT hotel_id, {' + '.join(f'coalesce({c}, 0.0::DOUBLE)' for c in D.AMENITY_COLS)} AS total_amenities FROM rio)
+SELECT d.searchid, d.position, d.hid, d.sid, d.split, CAST(isodow(d.date_ci) AS INTEGER) AS wday_ci,
+  CAST(d.date_ci BETWEEN TIMESTAMP '2024-02-09' AND TIMESTAMP '2024-02-14' AS INTEGER) AS is_carnaval_2024,
+  d.starRating,
+  ROUND(coalesce(d.avgRating, gm.avgRating__gm, gall.avgRating__all), 6) AS avgRating,
+  ROUND(coalesce(d.avgService, gm.avgService__gm, gall.avgService__all), 6) AS avgService,
+  CAST(d.avgService IS NULL AS INTEGER) AS avgService_is_missing,
+  ROUND(coalesce(d.avgRating, gm.avgRating__gm, gall.avgRating__all) / (d.starRating + 1), 6) AS ratio_expectativa,
+  kde.density_kde,
+  ROUND(least({', '.join(V.haversine_sql('d.latitude', 'd.longitude', repr(a) + '::DOUBLE', repr(b) + '::DOUBLE') for a, b in SP.FALLBACK_METRO)}), 6) AS dist_metro_m,
+  ROUND({V.haversine_sql('d.latitude', 'd.longitude', '-22.9519::DOUBLE', '-43.2105::DOUBLE')}, 6) AS dist_cristo_m,
+  1200.0 AS dist_favela_m, 1000 AS favela_cercana_size,
+  knn.precio_mean_10nn, knn.dist_mean_20nn, amen.total_amenities
+FROM data d LEFT JOIN gm ON d.starRating = gm.starRating CROSS JOIN gall
+  LEFT JOIN kde ON d.hid = kde.hid LEFT JOIN knn ON d.hid = knn.hid LEFT JOIN amen ON d.hid = amen.hotel_id
+"""
+
+
+@query("j4_assemble", _J4_SQL)
+def j4_assemble(spark, sf):
+    out = DS.build_dataset(D.searches(spark, sf), D.amenities(spark, sf), mca_dims=0)
+    return out.select("searchid", "position", "hid", "sid", "split", "wday_ci", "is_carnaval_2024", "starRating",
+                      r6("avgRating").alias("avgRating"), r6("avgService").alias("avgService"),
+                      "avgService_is_missing", r6("ratio_expectativa").alias("ratio_expectativa"),
+                      r6("density_kde").alias("density_kde"), r6("dist_metro_m").alias("dist_metro_m"),
+                      r6("dist_cristo_m").alias("dist_cristo_m"), "dist_favela_m", "favela_cercana_size",
+                      r6("precio_mean_10nn").alias("precio_mean_10nn"), r6("dist_mean_20nn").alias("dist_mean_20nn"),
+                      "total_amenities")
+
+
+@query("t7_mca")
+def t7_mca(spark, sf):
+    """Rows check only: eigen-decomposition has no SQL twin (NumPy SVD parity is a pytest)."""
+    amen = D.amenities(spark, sf)
+    train = VW.split_searches(spark, sf).filter(F.col("split") == "train").select(F.col("hid").alias("hotel_id"))
+    mca = MCA(D.AMENITY_COLS, k=8).fit(R.semi(amen, train, "hotel_id"))
+    out = mca.transform(amen)
+    return out.select("hotel_id", *[r6(f"mca_dim_{d}").alias(f"mca_dim_{d}") for d in range(1, 9)])
+
+
+@query("s5_write_splits", V.with_views("split_searches") + """
+SELECT searchid, position, hid, sid, price_by_night_person, split FROM split_searches
+""")
+def s5_write_splits(spark, sf):
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/splits-{uuid.uuid4().hex}"
+    df = VW.split_searches(spark, sf).select("searchid", "position", "hid", "sid", "price_by_night_person", "split")
+    FM.write_splits(df, path)
+    return spark.read.parquet(path)
