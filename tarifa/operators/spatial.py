@@ -1,25 +1,28 @@
 """Spatial operators: nearest reference point (J6), k-nearest neighbours (J7), kernel
 density (J8) and nearest area (J9).
 
-Scale design. No operator emits query × point pair rows. Reference points are binned into
-grid cells; a cell holding many points is split into hash chunks of at most ``chunk`` points,
-each chunk packed into one array. A query joins the chunks of its 3×3 ring of cells
-(an equi-join on the cell key, so AQE can broadcast a small side or split a skewed one) and
-evaluates distances inside JVM higher-order functions over the array. Results stay exact:
+Scale design. No operator emits query × point pair rows. Both sides are binned into grid
+cells and each cell is packed into hash chunks of bounded size (a hot cell becomes many
+chunks, so one dense spot spreads over many tasks). A query chunk joins the point chunks of
+its 3×3 ring of cells — an equi-join on the cell key, which AQE can broadcast or split when
+skewed — and ``mapInPandas`` evaluates each (query block, point block) pair as one NumPy
+matrix over Arrow batches. Partial results merge with a groupBy on the query key. Results
+stay exact:
 
 * nearest / kNN: a query is final when its k-th distance is within the ring's guaranteed
   radius; the rest repeat with doubled cells, until a cell spans the whole extent;
 * KDE: the cell is the cut-off radius in whitened units (default 9, so a dropped term is
   below e^-40 of the self term; ``exact=True`` uses one cell).
 
-A point set under ``small_points`` rows (checked with a count) is packed into a single
-array row and broadcast instead.
+Point sets under ``small_points`` rows (checked with a count) use a single cell: every
+query block meets every point block, still in bounded blocks.
 """
 
 from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,28 +66,60 @@ def _ring_bound(metric: str, cell: float, max_abs_lat: float) -> float:
     return min(lat_bound, lon_bound)
 
 
-# ------------------------------------------------------------------ binning
-def _bin_points(points: DataFrame, x: str, y: str, cell: float, chunk: int, payload) -> DataFrame:
-    """(cx, cy) → one row per chunk with ``pts: array<struct<x, y, payload…>>``.
-    Chunks split hot cells so that no array outgrows ``chunk`` points (on average)."""
-    cx = F.floor(F.col(x) / cell).cast("long")
-    cy = F.floor(F.col(y) / cell).cast("long")
-    p = points.select(cx.alias("cx"), cy.alias("cy"), F.col(x).alias("_x"), F.col(y).alias("_y"), *payload)
-    counts = p.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
-    p = p.join(counts, ["cx", "cy"])
+# ------------------------------------------------------------------ blocks
+def _blocks(df: DataFrame, x: str, y: str, cols, cell: float | None, chunk: int, prefix: str) -> DataFrame:
+    """Bin rows into grid cells (one cell when ``cell`` is None) and pack each cell into
+    hash chunks of about ``chunk`` rows: ``(cx, cy, <prefix>x, <prefix>y, <prefix><col>…)``
+    with one array per column (same element order). A hot cell becomes many chunks."""
+    if cell is None:
+        cx, cy = F.lit(0).cast("long"), F.lit(0).cast("long")
+    else:
+        cx = F.floor(F.col(x) / cell).cast("long")
+        cy = F.floor(F.col(y) / cell).cast("long")
+    cols = [c for c in cols if c not in (x, y)]
+    b = df.select(cx.alias("cx"), cy.alias("cy"), F.col(x).alias("_x"), F.col(y).alias("_y"), *cols)
+    counts = b.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
+    b = b.join(counts, ["cx", "cy"])
     nchunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk)))
-    # hash over the coordinates and payload: a stable split of one cell over tasks
-    p = p.withColumn("chunk", F.pmod(F.xxhash64("_x", "_y", *payload), nchunks))
-    fields = [F.col("_x").alias("x"), F.col("_y").alias("y")] + [F.col(c) for c in payload]
-    return p.groupBy("cx", "cy", "chunk").agg(F.collect_list(F.struct(*fields)).alias("pts"))
-
-
-def _ring(queries: DataFrame, x: str, y: str, cell: float) -> DataFrame:
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                     for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    q = queries.withColumn("_o", F.explode(offs))
-    return q.withColumn("cx", F.floor(F.col(x) / cell).cast("long") + F.col("_o.dx")) \
-            .withColumn("cy", F.floor(F.col(y) / cell).cast("long") + F.col("_o.dy")).drop("_o")
+    b = b.withColumn("_chunk", F.pmod(F.xxhash64("_x", "_y", *cols), nchunks))
+    packed = b.groupBy("cx", "cy", "_chunk").agg(F.collect_list(F.struct("_x", "_y", *cols)).alias("_a"))
+    return packed.select("cx", "cy", F.col("_a._x").alias(f"{prefix}x"), F.col("_a._y").alias(f"{prefix}y"),
+                         *[F.col(f"_a.{c}").alias(f"{prefix}{c}") for c in cols])
+
+
+def _block_pairs(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame, px: str, py: str,
+                 payload, cell: float | None, qchunk: int, pchunk: int) -> DataFrame:
+    """Each query block joined with every point block of its 3×3 ring of cells (an
+    equi-join on the cell key; no query × point rows are formed)."""
+    qb = _blocks(queries, qx, qy, [qkey], cell, qchunk, "q_")
+    pb = _blocks(points, px, py, list(payload), cell, pchunk, "p_")
+    if cell is not None:
+        offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                         for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        qb = qb.withColumn("_o", F.explode(offs)) \
+            .withColumn("cx", F.col("cx") + F.col("_o.dx")).withColumn("cy", F.col("cy") + F.col("_o.dy")).drop("_o")
+    return qb.join(pb, ["cx", "cy"]).drop("cx", "cy")
+
+
+def _limit_arrow_batches(spark, rows: int = 64) -> None:
+    # one input row carries two blocks of up to a few thousand values: keep Arrow batches small
+    cur = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if cur > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def _np_dist(metric: str, qx, qy, px, py):
+    """(nq, np) distance matrix with the same operation order as the Column versions."""
+    import numpy as np
+    if metric == "euclid":
+        dx = px[None, :] - qx[:, None]
+        dy = py[None, :] - qy[:, None]
+        return np.sqrt(dx * dx + dy * dy)
+    lat1, lon1, lat2, lon2 = qy[:, None], qx[:, None], py[None, :], px[None, :]
+    dphi = np.radians(lat2 - lat1)
+    dlmb = np.radians(lon2 - lon1)
+    a = np.sin(dphi / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(dlmb / 2) ** 2
+    return EARTH_RADIUS_M * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
 def _extent(queries: DataFrame, qx: str, qy: str, points: DataFrame, px: str, py: str) -> dict:
@@ -94,7 +129,7 @@ def _extent(queries: DataFrame, qx: str, qy: str, points: DataFrame, px: str, py
     b = points.agg(F.min(px).alias("x0"), F.max(px).alias("x1"), F.min(py).alias("y0"),
                    F.max(py).alias("y1"), F.count(F.lit(1)).alias("n")).first()
     if b["n"] == 0 or a["n"] == 0:
-        return {"n_points": b["n"], "n_queries": a["n"], "extent": 0.0, "max_abs_lat": 0.0}
+        return {"n_points": b["n"], "n_queries": a["n"], "extent": 0.0, "max_abs_lat": 0.0, "area": 0.0}
     x0, x1 = min(a["x0"], b["x0"]), max(a["x1"], b["x1"])
     y0, y1 = min(a["y0"], b["y0"]), max(a["y1"], b["y1"])
     return {"n_points": b["n"], "n_queries": a["n"], "extent": max(x1 - x0, y1 - y0, 1e-9),
@@ -102,86 +137,109 @@ def _extent(queries: DataFrame, qx: str, qy: str, points: DataFrame, px: str, py
 
 
 # ------------------------------------------------------------------ top-k nearest (core)
-def _topk_struct(metric: str, qx: Column, qy: Column, payload, key: str | None):
-    """array element → struct(rd, tie, d, payload…) ordered by (rounded distance, tie key)."""
-    fn = METRICS[metric]
-
-    def conv(p):
-        d = fn(qx, qy, p["x"], p["y"])
-        fields = [F.round(d, 9).alias("rd")]
-        if key:
-            fields.append(p[key].alias("tie"))
-        fields.append(d.alias("d"))
-        fields += [p[c].alias(c) for c in payload if c != key]
-        return F.struct(*fields)
-    return conv
+def _topk_kernel(metric: str, k: int, qkey: str, tie: str | None, payload):
+    """mapInPandas kernel: per (query block, point block) the k best points of each query,
+    ordered by (round(d, 9), tie); emitted as rows (qkey, rd, tie, d, payload…). The
+    selection is one row-wise lexsort over the block matrix."""
+    extra = [c for c in payload if c != tie]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            outs = []
+            for r in pdf.itertuples(index=False):
+                qk, qxs, qys = np.asarray(r.q_key), np.asarray(r.q_x, float), np.asarray(r.q_y, float)
+                pxs, pys = np.asarray(r.p_x, float), np.asarray(r.p_y, float)
+                nq, npt = len(qk), len(pxs)
+                if nq == 0 or npt == 0:
+                    continue
+                d = _np_dist(metric, qxs, qys, pxs, pys)
+                rd = np.round(d, 9)
+                ties = np.asarray(getattr(r, f"p_{tie}")) if tie else np.arange(npt)
+                kk = min(k, npt)
+                order = np.lexsort((np.broadcast_to(ties, rd.shape), rd), axis=-1)[:, :kk]
+                rows = np.repeat(np.arange(nq), kk)
+                cols = order.ravel()
+                o = {qkey: qk[rows], "rd": rd[rows, cols], "d": d[rows, cols]}
+                if tie:
+                    o["tie"] = ties[cols]
+                for c in extra:
+                    o[c] = np.asarray(getattr(r, f"p_{c}"))[cols]
+                outs.append(pd.DataFrame(o))
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+    return run
 
 
 def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame, px: str, py: str,
               k: int, payload=(), tie: str | None = None, metric: str = "euclid",
-              cell: float | None = None, chunk: int = 256, small_points: int = SMALL_POINTS,
-              out: str = "nn") -> DataFrame:
+              cell: float | None = None, qchunk: int = 256, chunk: int = 2048,
+              small_points: int = SMALL_POINTS, out: str = "nn") -> DataFrame:
     """For each query row ``(qkey, …)``: ``out`` = the k nearest points as an array of
     ``struct(rd, tie, d, payload…)`` sorted by (round(d, 9), tie). Exact."""
     payload = list(payload)
     if tie and tie not in payload:
         payload = [tie] + payload
-    q = queries.select(qkey, qx, qy)
-    info = _extent(q, qx, qy, points, px, py)
-    conv = _topk_struct(metric, F.col(qx), F.col(qy), payload, tie)
+    spark = queries.sparkSession
+    # both inputs are read several times (extent, blocks, each level): keep them, spilling
+    # to disk when memory is short; the per-level results are checkpointed below
+    q = queries.select(F.col(qkey).alias("key"), F.col(qx).alias("qx"), F.col(qy).alias("qy")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    pts = points.select(F.col(px).alias("px"), F.col(py).alias("py"), *payload).persist(StorageLevel.MEMORY_AND_DISK)
+    info = _extent(q, "qx", "qy", pts, "px", "py")
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    ktype = dict((f.name, f.dataType.simpleString()) for f in queries.schema.fields)[qkey]
+    fields = ["rd double"] + ([f"tie {types[tie]}"] if tie else []) + ["d double"] + \
+        [f"`{c}` {types[c]}" for c in payload if c != tie]
+    elem = "struct<" + ",".join(f.replace(" ", ":") for f in fields) + ">"
     if info["n_points"] == 0:
-        empty = F.array().cast(f"array<{_elem_type(points, payload, tie)}>")
-        return queries.select(qkey).withColumn(out, empty)
-    # the packed path scans every point per query: linear for k = 1 (array_min), but a sort
-    # for k > 1, so larger k uses it only while the point set is a few times k
-    if info["n_points"] <= (small_points if k == 1 else 4 * k):
-        packed = points.agg(F.collect_list(F.struct(F.col(px).alias("x"), F.col(py).alias("y"),
-                                                    *[F.col(c) for c in payload])).alias("pts"))
-        j = q.crossJoin(F.broadcast(packed))  # one packed row: no pair rows
-        return j.select(qkey, _best_k(F.transform("pts", conv), k).alias(out))
-    if cell is None:
-        # about 4k points expected in a 3×3 ring at uniform density
-        cell = math.sqrt(4.0 * k * info["area"] / (9.0 * info["n_points"]))
+        q.unpersist()
+        pts.unpersist()
+        return queries.select(qkey).withColumn(out, F.array().cast(f"array<{elem}>"))
+    _limit_arrow_batches(spark)
+    schema = f"`{qkey}` {ktype}, " + ", ".join(fields)
+    kernel = _topk_kernel(metric, k, qkey, tie, payload)
+    struct_cols = [F.col("rd")] + ([F.col("tie")] if tie else []) + [F.col("d")] + \
+        [F.col(c) for c in payload if c != tie]
+    if info["n_points"] <= min(small_points, chunk) and cell is None:
+        levels = [None]  # the points fit in one block: every query block meets it
+    else:
+        if cell is None:
+            # a cell of a few hundred points at uniform density: the 3×3 ring then holds
+            # far more than k candidates and each block is a sizeable NumPy matrix
+            per_cell = max(4.0 * k / 9.0, chunk / 4.0)
+            cell = math.sqrt(per_cell * info["area"] / info["n_points"])
+        levels = []
     pending = q
     done = []
     while True:
-        last = cell >= info["extent"]
-        bins = _bin_points(points, px, py, cell, chunk, payload)
-        cand = _ring(pending, qx, qy, cell).join(bins, ["cx", "cy"])
-        part = cand.select(qkey, _best_k(F.transform("pts", conv), k).alias("_t"))
-        merged = part.groupBy(qkey).agg(F.flatten(F.collect_list("_t")).alias("_t")) \
-            .select(qkey, _best_k(F.col("_t"), k).alias(out))
-        # queries with no candidate in their ring are not in ``merged``
-        merged = pending.select(qkey).join(merged, qkey, "left")
-        bound = _ring_bound(metric, cell, info["max_abs_lat"])
-        ok = F.lit(True) if last else (
-            (F.size(out) >= F.lit(min(k, info["n_points"]))) & (F.element_at(out, -1)["d"] <= F.lit(bound)))
+        cur = levels[0] if levels else cell
+        last = cur is None or cur >= info["extent"]
+        pairs = _block_pairs(pending, "key", "qx", "qy", pts, "px", "py", payload, cur, qchunk, chunk)
+        best = pairs.mapInPandas(kernel, schema)
+        merged = best.groupBy(qkey).agg(F.slice(F.array_sort(F.collect_list(F.struct(*struct_cols))), 1, k).alias(out))
+        merged = pending.select(F.col("key").alias(qkey)).join(merged, qkey, "left")
+        if last:
+            done.append(merged.withColumn(out, F.coalesce(F.col(out), F.array().cast(f"array<{elem}>")))
+                        .checkpoint(eager=True))
+            break
+        bound = _ring_bound(metric, cur, info["max_abs_lat"])
+        ok = (F.size(out) >= F.lit(min(k, info["n_points"]))) & (F.element_at(out, -1)["d"] <= F.lit(bound))
         merged = merged.withColumn("_ok", F.coalesce(ok, F.lit(False))).checkpoint(eager=True)
         done.append(merged.filter("_ok").drop("_ok"))
-        pending = merged.filter(~F.col("_ok")).select(qkey).join(q, qkey)
-        if last or pending.isEmpty():
+        pending = merged.filter(~F.col("_ok")).select(F.col(qkey).alias("key")).join(q, "key")
+        if pending.isEmpty():
             break
-        cell *= 2.0
+        cell = cur * 2.0
+    q.unpersist()
+    pts.unpersist()
     res = done[0]
     for d in done[1:]:
         res = res.unionByName(d)
     return res
 
 
-def _best_k(arr: Column, k: int) -> Column:
-    """The k smallest elements in order; k = 1 is a linear ``array_min``."""
-    if k == 1:
-        return F.filter(F.array(F.array_min(arr)), lambda e: e.isNotNull())
-    return F.slice(F.array_sort(arr), 1, k)
-
-
-def _elem_type(points, payload, tie) -> str:
-    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
-    fields = ["rd:double"] + ([f"tie:{types[tie]}"] if tie else []) + ["d:double"] + \
-        [f"{c}:{types[c]}" for c in payload if c != tie]
-    return "struct<" + ",".join(fields) + ">"
-
-
 # ------------------------------------------------------------------ J6 nearest reference point
 def points_from_list(spark, coords, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """S2 fallback: literal (lat, lon) points."""
@@ -242,40 +300,55 @@ def kde_fit(df: DataFrame, x: str, y: str) -> dict:
             "norm": 1.0 / (n * 2 * math.pi * math.sqrt(det)), "sxx": sxx, "syy": syy, "sxy": sxy}
 
 
+def _kde_kernel(ixx: float, iyy: float, ixy: float, key: str):
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            outs = []
+            for r in pdf.itertuples(index=False):
+                qx, qy = np.asarray(r.q_ox, float), np.asarray(r.q_oy, float)
+                px, py = np.asarray(r.p_ox, float), np.asarray(r.p_oy, float)
+                if len(qx) == 0 or len(px) == 0:
+                    continue
+                dx = px[None, :] - qx[:, None]
+                dy = py[None, :] - qy[:, None]
+                m = ixx * dx * dx + 2.0 * ixy * dx * dy + iyy * dy * dy
+                outs.append(pd.DataFrame({key: np.asarray(r.q_key), "_s": np.exp(-0.5 * m).sum(axis=1)}))
+            if outs:
+                yield pd.concat(outs, ignore_index=True)
+    return run
+
+
 def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
-          cutoff: float = 9.0, exact: bool = False, chunk: int = 512,
+          cutoff: float = 9.0, exact: bool = False, qchunk: int = 256, chunk: int = 1024,
           small_points: int = SMALL_POINTS) -> DataFrame:
-    """Density of every row under the KDE fitted on all rows of ``df``."""
+    """Density of every row under the KDE fitted on all rows of ``df``.
+
+    Pairs are evaluated per (query block, point block) with NumPy; with ``exact`` (or few
+    points) every block meets every block, otherwise only blocks of neighbouring cells of
+    side ``cutoff`` in whitened coordinates (a dropped term is below exp(-cutoff²/2))."""
     st = kde_fit(df, x, y)
     ixx, iyy, ixy, norm = st["ixx"], st["iyy"], st["ixy"], st["norm"]
-
-    def term(qx, qy):
-        def f(acc, p):
-            dx = p["x"] - qx
-            dy = p["y"] - qy
-            m = F.lit(ixx) * dx * dx + F.lit(2.0 * ixy) * dx * dy + F.lit(iyy) * dy * dy
-            return acc + F.exp(F.lit(-0.5) * m)
-        return f
-
-    pts = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"))
-    q = df.select(key, x, y)
-    if exact or st["n"] <= small_points:
-        packed = pts.agg(F.collect_list(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))).alias("pts"))
-        j = q.crossJoin(F.broadcast(packed))
-        return j.select(key, (F.aggregate("pts", F.lit(0.0), term(F.col(x), F.col(y))) * F.lit(norm)).alias(out))
+    ktype = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)[key]
     # whiten with the Cholesky factor of Σ⁻¹ so that Mahalanobis distance is Euclidean:
     # u = a·x + b·y, v = c·y with a = sqrt(ixx), b = ixy / a, c = sqrt(iyy − b²)
     a = math.sqrt(ixx)
     b = ixy / a
     c = math.sqrt(max(iyy - b * b, 1e-300))
-    wq = q.withColumn("_u", F.lit(a) * F.col(x) + F.lit(b) * F.col(y)).withColumn("_v", F.lit(c) * F.col(y))
-    wp = pts.withColumn("_u", F.lit(a) * F.col("_x") + F.lit(b) * F.col("_y")).withColumn("_v", F.lit(c) * F.col("_y"))
-    # bins keep the original coordinates so the sum uses the same arithmetic as the exact path
-    bins = _bin_points(wp.select("_u", "_v", F.col("_x").alias("ox"), F.col("_y").alias("oy")),
-                       "_u", "_v", cutoff, chunk, ["ox", "oy"]) \
-        .select("cx", "cy", F.transform("pts", lambda p: F.struct(p["ox"].alias("x"), p["oy"].alias("y"))).alias("pts"))
-    cand = _ring(wq, "_u", "_v", cutoff).join(bins, ["cx", "cy"])
-    part = cand.select(key, F.aggregate("pts", F.lit(0.0), term(F.col(x), F.col(y))).alias("_s"))
+    w = df.select(F.col(key).alias("key"), F.col(x).alias("ox"), F.col(y).alias("oy"))
+    w = w.withColumn("u", F.lit(a) * F.col("ox") + F.lit(b) * F.col("oy")).withColumn("v", F.lit(c) * F.col("oy"))
+    cell = None if (exact or st["n"] <= small_points) else cutoff
+    _limit_arrow_batches(df.sparkSession)
+    qb = _blocks(w, "u", "v", ["key", "ox", "oy"], cell, qchunk, "q_")
+    pb = _blocks(w.select("u", "v", "ox", "oy"), "u", "v", ["ox", "oy"], cell, chunk, "p_")
+    if cell is not None:
+        offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                         for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+        qb = qb.withColumn("_o", F.explode(offs)) \
+            .withColumn("cx", F.col("cx") + F.col("_o.dx")).withColumn("cy", F.col("cy") + F.col("_o.dy")).drop("_o")
+    pairs = qb.join(pb, ["cx", "cy"]).drop("cx", "cy")
+    part = pairs.mapInPandas(_kde_kernel(ixx, iyy, ixy, key), f"`{key}` {ktype}, _s double")
     return part.groupBy(key).agg((F.sum("_s") * F.lit(norm)).alias(out))
 
 
