@@ -112,7 +112,7 @@ def p2_require(spark, sf):
     return R.require(D.searches(spark, sf), ["hid", "longitude", "latitude"]).select("searchid", "position", "hid")
 
 
-_P3_KEEP = ["anticipation", "position", "adults", "children", "infants", "duration", "longitude", "latitude",
+_P3_KEEP = ["sid", "anticipation", "position", "adults", "children", "infants", "duration", "longitude", "latitude",
             "starRating"] + D.IMPUTE_COLS
 
 
