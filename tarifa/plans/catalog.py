@@ -990,3 +990,190 @@ def s5_write_splits(spark, sf):
     df = VW.split_searches(spark, sf).select("searchid", "position", "hid", "sid", "price_by_night_person", "split")
     FM.write_splits(df, path)
     return spark.read.parquet(path)
+
+
+# =============================================================== 2.9 linear models, 2.10 reports
+from ..operators import linear as LIN  # noqa: E402
+
+_LIN_FEATS = ["x_anticipation", "x_duration"]
+
+
+def _lin_frame(spark, sf):
+    s = VW.split_searches(spark, sf)
+    return s.select("searchid", "position", "hid", "sid", "split", F.col("price_by_night_person").alias("y"),
+                    F.col("anticipation").cast("double").alias("x_anticipation"),
+                    F.col("duration").cast("double").alias("x_duration"))
+
+
+_LIN_SQL = V.with_views("split_searches") + """
+, lf AS (SELECT searchid, position, hid, sid, split, price_by_night_person AS y,
+                CAST(anticipation AS DOUBLE) AS x1, CAST(duration AS DOUBLE) AS x2 FROM split_searches),
+st AS (
+  SELECT count(*) AS n, sum(x1) / count(*) AS m1, sum(x2) / count(*) AS m2, sum(y) / count(*) AS my,
+         sum(x1 * x1) - count(*) * (sum(x1) / count(*)) * (sum(x1) / count(*)) AS a11,
+         sum(x1 * x2) - count(*) * (sum(x1) / count(*)) * (sum(x2) / count(*)) AS a12,
+         sum(x2 * x2) - count(*) * (sum(x2) / count(*)) * (sum(x2) / count(*)) AS a22,
+         sum(x1 * y) - count(*) * (sum(x1) / count(*)) * (sum(y) / count(*)) AS r1,
+         sum(x2 * y) - count(*) * (sum(x2) / count(*)) * (sum(y) / count(*)) AS r2
+  FROM lf WHERE split = 'train'),
+mdl AS (
+  SELECT m1, m2, my,
+         ((a22 + 10.0) * r1 - a12 * r2) / ((a11 + 10.0) * (a22 + 10.0) - a12 * a12) AS w1,
+         ((a11 + 10.0) * r2 - a12 * r1) / ((a11 + 10.0) * (a22 + 10.0) - a12 * a12) AS w2 FROM st),
+coef AS (SELECT *, my - m1 * w1 - m2 * w2 AS b FROM mdl)
+"""
+
+
+def _ridge_model(spark, sf):
+    lf = _lin_frame(spark, sf)
+    return lf, LIN.ridge(lf.filter(F.col("split") == "train"), _LIN_FEATS, "y", alpha=10.0)
+
+
+@query("m9_ols", V.with_views("split_searches") + """
+SELECT ROUND(regr_slope(price_by_night_person, CAST(anticipation AS DOUBLE)), 6) AS coef_x_anticipation,
+       ROUND(regr_intercept(price_by_night_person, CAST(anticipation AS DOUBLE)), 6) AS intercept
+FROM split_searches WHERE split = 'train'
+""")
+def m9_ols(spark, sf):
+    lf = _lin_frame(spark, sf).filter(F.col("split") == "train")
+    m = LIN.ols(lf, ["x_anticipation"], "y")
+    return spark.createDataFrame([(round(float(m.coef[0]), 6), round(m.intercept, 6))],
+                                 "coef_x_anticipation double, intercept double")
+
+
+@query("m10_ridge", _LIN_SQL + """
+SELECT ROUND(w1, 6) AS coef_x_anticipation, ROUND(w2, 6) AS coef_x_duration, ROUND(b, 6) AS intercept FROM coef
+""")
+def m10_ridge(spark, sf):
+    _, m = _ridge_model(spark, sf)
+    return spark.createDataFrame([(round(float(m.coef[0]), 6), round(float(m.coef[1]), 6), round(m.intercept, 6))],
+                                 "coef_x_anticipation double, coef_x_duration double, intercept double")
+
+
+@query("m11_huber")
+def m11_huber(spark, sf):
+    """Rows check: Huber meta model on the two prediction columns of the test rows."""
+    p = D.predictions(spark, sf)
+    m = LIN.huber(p, ["prediccion_huber", "prediccion_ridge"], "precio_real")
+    return m.coefficients(spark)
+
+
+@query("m12_ridge_cv")
+def m12_ridge_cv(spark, sf):
+    """Rows check: α by 5-fold CV (one grouped Gram pass), refit on all train rows."""
+    lf = _lin_frame(spark, sf).filter(F.col("split") == "train")
+    m = LIN.ridge_cv(lf, _LIN_FEATS, "y", k=5, key=["searchid", "position", "hid", "sid"])
+    return spark.createDataFrame([(float(m.params["alpha"]), f, float(w)) for f, w in zip(m.features, m.coef)],
+                                 "alpha double, feature string, coef double")
+
+
+_R5_SQL = _LIN_SQL + """
+, bg AS (SELECT avg(x1) AS b1, avg(x2) AS b2 FROM lf WHERE split = 'train'),
+te AS (SELECT * FROM lf WHERE split = 'test'),
+att AS (
+  SELECT searchid, position, hid, sid, 'x_anticipation' AS feature, x1 AS value, w1 * (x1 - b1) AS attribution,
+         b + w1 * b1 + w2 * b2 AS base_value, b + w1 * x1 + w2 * x2 AS prediction FROM te, coef, bg
+  UNION ALL
+  SELECT searchid, position, hid, sid, 'x_duration', x2, w2 * (x2 - b2), b + w1 * b1 + w2 * b2, b + w1 * x1 + w2 * x2
+  FROM te, coef, bg)
+"""
+
+
+def _attributions(spark, sf):
+    lf, m = _ridge_model(spark, sf)
+    return LIN.attribute(lf.filter(F.col("split") == "test"), m, lf.filter(F.col("split") == "train"),
+                         ["searchid", "position", "hid", "sid"])
+
+
+@query("r5_linear_attribution", _R5_SQL + """
+SELECT searchid, position, hid, sid, feature, value, ROUND(attribution, 6) AS attribution,
+       ROUND(base_value, 6) AS base_value, ROUND(prediction, 6) AS prediction FROM att
+""")
+def r5_linear_attribution(spark, sf):
+    a = _attributions(spark, sf)
+    return a.select("searchid", "position", "hid", "sid", "feature", "value", r6("attribution").alias("attribution"),
+                    r6("base_value").alias("base_value"), r6("prediction").alias("prediction"))
+
+
+@query("a12_attribution_summary", _R5_SQL + """
+SELECT feature, ROUND(avg(abs(attribution)), 6) AS mean_abs FROM att GROUP BY feature ORDER BY mean_abs DESC, feature LIMIT 5
+""")
+def a12_attribution_summary(spark, sf):
+    s = R.attribution_summary(_attributions(spark, sf), k=5)
+    return s.select("feature", r6("mean_abs").alias("mean_abs"))
+
+
+@query("r7_coefficient_report", _LIN_SQL + """
+SELECT feature, ROUND(coef, 6) AS coef FROM (
+  SELECT 'x_anticipation' AS feature, w1 AS coef FROM coef UNION ALL SELECT 'x_duration', w2 FROM coef)
+ORDER BY abs(coef) DESC, feature LIMIT 30
+""")
+def r7_coefficient_report(spark, sf):
+    _, m = _ridge_model(spark, sf)
+    c = m.coefficients(spark)
+    return c.orderBy(F.desc(F.abs("coef")), "feature").limit(30).select("feature", r6("coef").alias("coef"))
+
+
+@query("r8_pred_vs_actual", V.with_views("preds") + """
+SELECT model, ROUND(sqrt(avg((pred - y) * (pred - y))), 6) AS rmse,
+       ROUND(1 - sum((pred - y) * (pred - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2,
+       least(min(y), min(pred)) AS axis_min, greatest(max(y), max(pred)) AS axis_max
+FROM (SELECT precio_real AS y, 'prediccion_huber' AS model, prediccion_huber AS pred FROM preds
+      UNION ALL SELECT precio_real, 'prediccion_ridge', prediccion_ridge FROM preds)
+GROUP BY model
+""")
+def r8_pred_vs_actual(spark, sf):
+    from ..operators import reports as RP
+    r = RP.pred_vs_actual(D.predictions(spark, sf), "precio_real", ["prediccion_huber", "prediccion_ridge"])
+    return r.select("model", r6("rmse").alias("rmse"), r6("r2").alias("r2"), "axis_min", "axis_max")
+
+
+@query("r9_audit", V.with_views("preds") + """
+SELECT hotel, precio_real, prediccion_huber, prediccion_ridge,
+       prediccion_huber - precio_real AS delta_huber, prediccion_ridge - precio_real AS delta_ridge
+FROM (SELECT *, row_number() OVER (PARTITION BY hotel ORDER BY searchid, position, sid, precio_real) AS rn
+      FROM preds WHERE hotel IS NOT NULL AND trim(hotel) <> '') WHERE rn = 1
+""")
+def r9_audit(spark, sf):
+    from ..operators import reports as RP
+    return RP.audit(D.predictions(spark, sf), order=["searchid", "position", "sid", "precio_real"])
+
+
+@query("r10_feature_sample", V.with_views("event_searches") + """
+SELECT row_id, ROUND(sin(2 * pi() * isodow(date + to_days(anticipation)) / 7.0::DOUBLE), 6) AS wday_ci_sine,
+       ROUND(cos(2 * pi() * isodow(date + to_days(anticipation)) / 7.0::DOUBLE), 6) AS wday_ci_cosine
+FROM event_searches
+ORDER BY ('0x' || substr(md5('7:' || CAST(row_id AS VARCHAR)), 1, 8))::BIGINT, row_id LIMIT 200
+""")
+def r10_feature_sample(spark, sf):
+    from ..operators import reports as RP
+    t = TM.temporal_features(D.event_searches(spark, sf))
+    s = RP.feature_sample(t, ["wday_ci_sine", "wday_ci_cosine"], 200, key="row_id", seed=7)
+    return s.select("row_id", r6("wday_ci_sine").alias("wday_ci_sine"), r6("wday_ci_cosine").alias("wday_ci_cosine"))
+
+
+@query("r11_segment_profile", _SEARCH_AMEN_SQL + f"""
+SELECT segment, count(*) AS n, ROUND(avg(price_by_night_person), 6) AS mean_price,
+       median(price_by_night_person) AS median_price, ROUND(avg(starRating), 6) AS mean_starRating,
+       ROUND(avg(total_amenities), 6) AS mean_total_amenities
+FROM (SELECT *, {_seg_sql()} AS segment FROM sa) GROUP BY segment
+""")
+def r11_segment_profile(spark, sf):
+    from ..operators import reports as RP
+    s = _search_amen(spark, sf).withColumn("segment", RU.route_rules())
+    p = RP.segment_profile(s, "segment", "price_by_night_person", ["starRating", "total_amenities"])
+    return p.select("segment", "n", r6("mean_price").alias("mean_price"), "median_price",
+                    r6("mean_starRating").alias("mean_starRating"), r6("mean_total_amenities").alias("mean_total_amenities"))
+
+
+@query("m20_largest_segment_proxy", _SEARCH_AMEN_SQL + f"""
+, seg AS (SELECT *, {_seg_sql()} AS segment FROM sa),
+top AS (SELECT segment FROM seg GROUP BY segment ORDER BY count(*) DESC, segment LIMIT 1)
+SELECT segment, count(*) AS n, ROUND(avg(price_by_night_person), 6) AS mean_price
+FROM seg WHERE segment = (SELECT segment FROM top) GROUP BY segment
+""")
+def m20_largest_segment_proxy(spark, sf):
+    s = _search_amen(spark, sf).withColumn("segment", RU.route_rules())
+    top = R.largest_segment(s, "segment").select("segment")
+    proxy = R.semi(s, top, "segment")  # one-row key table: a broadcast semi join
+    return proxy.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("price_by_night_person")).alias("mean_price"))
