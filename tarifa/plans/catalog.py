@@ -951,7 +951,7 @@ SELECT d.searchid, d.position, d.hid, d.sid, d.split, CAST(isodow(d.date_ci) AS
   kde.density_kde,
   ROUND(least({', '.join(V.haversine_sql('d.latitude', 'd.longitude', repr(a) + '::DOUBLE', repr(b) + '::DOUBLE') for a, b in SP.FALLBACK_METRO)}), 6) AS dist_metro_m,
   ROUND({V.haversine_sql('d.latitude', 'd.longitude', '-22.9519::DOUBLE', '-43.2105::DOUBLE')}, 6) AS dist_cristo_m,
-  1200.0 AS dist_favela_m, 1000 AS favela_cercana_size,
+  1200.0::DOUBLE AS dist_favela_m, 1000 AS favela_cercana_size,
   knn.precio_mean_10nn, knn.dist_mean_20nn, amen.total_amenities
 FROM data d LEFT JOIN gm ON d.starRating = gm.starRating CROSS JOIN gall
   LEFT JOIN kde ON d.hid = kde.hid LEFT JOIN knn ON d.hid = knn.hid LEFT JOIN amen ON d.hid = amen.hotel_id
@@ -1177,3 +1177,104 @@ def m20_largest_segment_proxy(spark, sf):
     top = R.largest_segment(s, "segment").select("segment")
     proxy = R.semi(s, top, "segment")  # one-row key table: a broadcast semi join
     return proxy.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("price_by_night_person")).alias("mean_price"))
+
+
+# =============================================================== 2.9 routers, experts
+from ..operators import boosting as BO  # noqa: E402
+from ..operators.routing import BestFirstRouter, KMeansRouter  # noqa: E402
+
+_ROUTER_FEATS = ["starRating", "numberOfRooms", "avgRating"]
+
+
+@query("m1_router_first_split", V.with_views("split_searches") + """
+, tr AS (SELECT coalesce(starRating, 0.0) AS f0, coalesce(numberOfRooms, 0.0) AS f1, coalesce(avgRating, 0.0) AS f2,
+                price_by_night_person AS y FROM split_searches WHERE split = 'train'),
+long AS (SELECT 0 AS fi, 'starRating' AS feature, f0 AS v, y FROM tr
+         UNION ALL SELECT 1, 'numberOfRooms', f1, y FROM tr UNION ALL SELECT 2, 'avgRating', f2, y FROM tr),
+agg AS (SELECT fi, feature, v, count(*) AS c, sum(y) AS sy FROM long GROUP BY fi, feature, v),
+cum AS (
+  SELECT *, sum(c) OVER (PARTITION BY fi ORDER BY v ROWS UNBOUNDED PRECEDING) AS nl,
+         sum(sy) OVER (PARTITION BY fi ORDER BY v ROWS UNBOUNDED PRECEDING) AS sl,
+         sum(c) OVER (PARTITION BY fi) AS n, sum(sy) OVER (PARTITION BY fi) AS s,
+         lead(v) OVER (PARTITION BY fi ORDER BY v) AS nextv FROM agg),
+cand AS (
+  SELECT fi, feature, (v + nextv) / 2 AS threshold, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain,
+         CAST(nl AS BIGINT) AS n_left, CAST(n - nl AS BIGINT) AS n_right
+  FROM cum WHERE nextv IS NOT NULL AND nl >= 1000 AND n - nl >= 1000)
+SELECT feature, threshold, n_left, n_right FROM cand ORDER BY gain DESC, fi, threshold LIMIT 1
+""")
+def m1_router_first_split(spark, sf):
+    tr = VW.split_searches(spark, sf).filter(F.col("split") == "train")
+    r = BestFirstRouter(_ROUTER_FEATS, max_leaves=2, min_leaf=1000, bins=None).fit(tr, "price_by_night_person")
+    s = r.splits[0]
+    return spark.createDataFrame([(s.feature, float(s.threshold), int(s.n_left), int(s.n_right))],
+                                 "feature string, threshold double, n_left bigint, n_right bigint")
+
+
+@query("m1_router_leaves")
+def m1_router_leaves(spark, sf):
+    """Rows check: the six-leaf router (≥1000 rows per leaf) fitted on train rows, applied
+    to every row; leaf sizes per split."""
+    s = VW.split_searches(spark, sf)
+    r = BestFirstRouter(_ROUTER_FEATS, max_leaves=6, min_leaf=1000, bins=256).fit(
+        s.filter(F.col("split") == "train"), "price_by_night_person")
+    return r.transform(s).groupBy("segmento", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m2_kmeans_router")
+def m2_kmeans_router(spark, sf):
+    """Rows check: nine k-means segments over hotel geography, best of ten seeds."""
+    h = VW.hotels(spark, sf)
+    km = KMeansRouter(["longitude", "latitude"], k=9, n_init=10).fit(h)
+    return km.transform(h).groupBy("segmento").agg(F.count(F.lit(1)).alias("n_hotels"))
+
+
+def _expert_frame(spark, sf):
+    s = VW.split_searches(spark, sf)
+    return s.select("searchid", "position", "hid", "sid", "split", "price_by_night_person",
+                    *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _ROUTER_FEATS],
+                    F.col("anticipation").cast("double").alias("anticipation"),
+                    F.col("duration").cast("double").alias("duration"))
+
+
+_EXPERT_FEATS = _ROUTER_FEATS + ["anticipation", "duration"]
+
+
+@query("m6_tweedie_boosting")
+def m6_tweedie_boosting(spark, sf):
+    """Rows check: Tweedie-boosted trees (ρ = 1.5) fitted on train rows; test-split metrics."""
+    d = _expert_frame(spark, sf)
+    m = BO.TweedieGBT(_EXPERT_FEATS, power=1.5, rounds=10, step=0.3, depth=4).fit(
+        d.filter(F.col("split") == "train"), "price_by_night_person")
+    te = m.transform(d.filter(F.col("split") == "test"), "pred")
+    return R.regression_metrics(te, "price_by_night_person", ["pred"])
+
+
+@query("m3_segment_experts")
+def m3_segment_experts(spark, sf):
+    """Rows check: per-segment experts (M3: Tweedie GLM form, M4: absolute-loss boosting) and
+    the global expert (M5) as fallback; test metrics per family."""
+    d = _expert_frame(spark, sf)
+    tr = d.filter(F.col("split") == "train")
+    router = BestFirstRouter(_ROUTER_FEATS, max_leaves=6, min_leaf=1000, bins=256).fit(tr, "price_by_night_person")
+    trs = router.transform(tr)
+    te = router.transform(d.filter(F.col("split") == "test"))
+    glob = BO.fit_expert(tr, _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("tweedie_glm"))
+    tw = BO.fit_segment_experts(trs, "segmento", _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("tweedie_glm"))
+    mae = BO.fit_segment_experts(trs, "segmento", _EXPERT_FEATS, "price_by_night_person",
+                                 BO.ExpertSpec("mae", {"rounds": 10, "depth": 4}))
+    p = BO.predict_segments(te, "segmento", tw, "pred_tweedie", fallback=glob)
+    p = BO.predict_segments(p, "segmento", mae, "pred_mae", fallback=glob)
+    p = glob.transform(p, "pred_global")
+    return R.regression_metrics(p, "price_by_night_person", ["pred_tweedie", "pred_mae", "pred_global"])
+
+
+@query("m7_m8_tree_bases")
+def m7_m8_tree_bases(spark, sf):
+    """Rows check: random forest (M7) and squared-error boosting (M8) bases; test metrics."""
+    d = _expert_frame(spark, sf)
+    tr, te = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    rf = BO.fit_expert(tr, _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("rf", {"trees": 30, "depth": 8}))
+    gbt = BO.fit_expert(tr, _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("gbt", {"rounds": 20, "depth": 5}))
+    p = gbt.transform(rf.transform(te, "pred_rf"), "pred_gbt")
+    return R.regression_metrics(p, "price_by_night_person", ["pred_rf", "pred_gbt"])
