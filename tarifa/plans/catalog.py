@@ -1263,8 +1263,7 @@ def m3_segment_experts(spark, sf):
     tw = BO.fit_segment_experts(trs, "segmento", _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("tweedie_glm"))
     mae = BO.fit_segment_experts(trs, "segmento", _EXPERT_FEATS, "price_by_night_person",
                                  BO.ExpertSpec("mae", {"rounds": 10, "depth": 4}))
-    p = BO.predict_segments(te, "segmento", tw, "pred_tweedie", fallback=glob)
-    p = BO.predict_segments(p, "segmento", mae, "pred_mae", fallback=glob)
+    p = BO.predict_segments_multi(te, "segmento", {"pred_tweedie": tw, "pred_mae": mae}, fallback=glob)
     p = glob.transform(p, "pred_global")
     return R.regression_metrics(p, "price_by_night_person", ["pred_tweedie", "pred_mae", "pred_global"])
 
@@ -1278,3 +1277,70 @@ def m7_m8_tree_bases(spark, sf):
     gbt = BO.fit_expert(tr, _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("gbt", {"rounds": 20, "depth": 5}))
     p = gbt.transform(rf.transform(te, "pred_rf"), "pred_gbt")
     return R.regression_metrics(p, "price_by_night_person", ["pred_rf", "pred_gbt"])
+
+
+# =============================================================== stacking, scoring, bundles
+from ..operators import scoring as SC  # noqa: E402
+from ..operators import stacking as ST  # noqa: E402
+from ..operators.pca import scaled_pca  # noqa: E402
+
+_KEYS = ["searchid", "position", "hid", "sid"]
+
+
+def _trainval_test(spark, sf):
+    d = _expert_frame(spark, sf)
+    # Train and val together fit the stack; test stays untouched
+    return d.filter(F.col("split") != "test"), d.filter(F.col("split") == "test")
+
+
+@query("m13_routed_stacking")
+def m13_routed_stacking(spark, sf):
+    """Rows check: 5-fold routed stacking on train ∪ val; the meta quadrant (M21) on test."""
+    tv, te = _trainval_test(spark, sf)
+    stack = ST.routed_stacking(tv, _EXPERT_FEATS, _ROUTER_FEATS, "price_by_night_person", _KEYS, k=5)
+    return ST.evaluate_quadrant(stack, te, "price_by_night_person")
+
+
+@query("m14_flat_stacking")
+def m14_flat_stacking(spark, sf):
+    """Rows check: three tree bases + 2 scaled-PCA features, OLS meta, fold-averaged test preds."""
+    tv, te = _trainval_test(spark, sf)
+    _, scored = ST.flat_stacking(tv, _EXPERT_FEATS, "price_by_night_person", _KEYS, holdout=te, k=5)
+    return R.regression_metrics(scored, "price_by_night_person", ["meta_prediction", "pred_rf", "pred_gbt", "pred_gbt2"])
+
+
+@query("t8_scaled_pca")
+def t8_scaled_pca(spark, sf):
+    """Rows check: 2 components of the standardised expert features, fitted on train."""
+    d = _expert_frame(spark, sf)
+    p = scaled_pca(d.filter(F.col("split") == "train"), _EXPERT_FEATS, 2)
+    out = p.transform(d.filter(F.col("split") == "test"))
+    return out.select(*_KEYS, r6("pca_1").alias("pca_1"), r6("pca_2").alias("pca_2"))
+
+
+def _moe_frame(spark, sf):
+    sa = _search_amen(spark, sf)
+    s = R.session_split(sa, "searchid")
+    return s.select(*_KEYS, "split", "price_by_night_person", "starRating", "numberOfRooms", "total_amenities",
+                    F.col("anticipation").cast("double").alias("anticipation"))
+
+
+_MOE_FEATS = ["starRating", "numberOfRooms", "total_amenities", "anticipation", "dist_metro_m"]
+
+
+@query("r2_moe_scoring")
+def r2_moe_scoring(spark, sf):
+    """Rows check: rule-routed experts on log1p(price); test rows scored through a saved and
+    reloaded bundle (S8); ``dist_metro_m`` is absent from the input and aligned to 0."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    d = _moe_frame(spark, sf)
+    tr = d.filter(F.col("split") == "train").withColumn("dist_metro_m", F.lit(0.0))
+    bundle = SC.fit_moe(tr.na.fill(0.0, ["starRating", "numberOfRooms", "total_amenities"]), _MOE_FEATS,
+                        "price_by_night_person")
+    path = f"{ensure_checkpoint_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    SC.save_bundle(spark, bundle, path)
+    loaded = SC.load_bundle(spark, path)
+    te = d.filter(F.col("split") == "test")
+    scored = loaded.score(te.na.fill(0.0, ["starRating", "numberOfRooms", "total_amenities"]), _KEYS + ["price_by_night_person"])
+    return R.regression_metrics(scored, "price_by_night_person", ["prediction"])
