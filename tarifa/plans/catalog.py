@@ -1344,3 +1344,108 @@ def r2_moe_scoring(spark, sf):
     te = d.filter(F.col("split") == "test")
     scored = loaded.score(te.na.fill(0.0, ["starRating", "numberOfRooms", "total_amenities"]), _KEYS + ["price_by_night_person"])
     return R.regression_metrics(scored, "price_by_night_person", ["prediction"])
+
+
+# =============================================================== tuning
+from ..operators import tuning as TU  # noqa: E402
+
+
+@query("m16_halving_schedule", V.with_views("split_searches") + """
+, n AS (SELECT count(*) AS n FROM split_searches WHERE split = 'train'),
+r AS (SELECT * FROM (VALUES (0, 300, 4000), (1, 150, 8000), (2, 75, 16000), (3, 37, 32000), (4, 18, 64000),
+                            (5, 9, 128000), (6, 4, 256000)) t(rung, n_configs, resource))
+SELECT CAST(rung AS INTEGER) AS rung, CAST(n_configs AS INTEGER) AS n_configs,
+       CAST(least(resource, n) AS BIGINT) AS sample_size FROM r, n
+""")
+def m16_halving_schedule(spark, sf):
+    n = VW.split_searches(spark, sf).filter(F.col("split") == "train").count()
+    rows = [(r, c, int(s)) for r, c, s in TU.halving_schedule(300, 4000, n)]
+    return spark.createDataFrame(rows, "rung int, n_configs int, sample_size bigint")
+
+
+@query("m16_successive_halving")
+def m16_successive_halving(spark, sf):
+    """Rows check: halving over 12 seeded configurations (12 → 6 → 3, samples 2000, 4000)
+    with 3-fold CV, then the finalists' vote on train / val (M17)."""
+    d = _expert_frame(spark, sf)
+    tr, va = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "val")
+    finalists, _ = TU.successive_halving(spark, tr, _EXPERT_FEATS, "price_by_night_person", _KEYS,
+                                         n_configs=12, r0=2000, round_cap=10)
+    return TU.pick_finalist(spark, tr, va, _EXPERT_FEATS, "price_by_night_person", finalists, round_cap=10)
+
+
+@query("m18_random_search")
+def m18_random_search(spark, sf):
+    """Rows check: six seeded random configurations scored by 3-fold R² on the largest segment."""
+    s = _search_amen(spark, sf).withColumn("segment", RU.route_rules())
+    top = R.largest_segment(s, "segment").select("segment")
+    seg = R.semi(s, top, "segment").select(*_KEYS, "price_by_night_person",
+                                           *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _ROUTER_FEATS],
+                                           F.col("anticipation").cast("double").alias("anticipation"),
+                                           F.col("duration").cast("double").alias("duration"))
+    return TU.random_search(spark, seg, _EXPERT_FEATS, "price_by_night_person", _KEYS, n_trials=6, round_cap=10)
+
+
+@query("m19_early_stopping")
+def m19_early_stopping(spark, sf):
+    """Rows check: boosting stopped by a 20 % hash-chosen validation set; trees kept and test metrics."""
+    d = _expert_frame(spark, sf)
+    m = TU.early_stopped_gbt(d.filter(F.col("split") == "train"), _EXPERT_FEATS, "price_by_night_person", _KEYS,
+                             rounds=100, step=0.2)
+    te = m.transform(d.filter(F.col("split") == "test"), "pred")
+    return R.regression_metrics(te, "price_by_night_person", ["pred"]) \
+        .withColumn("trees", F.lit(len(m.model.trees)))
+
+
+# =============================================================== T11, T12, R6, streaming
+from ..operators import explain as EX  # noqa: E402
+from ..operators.symbolic import SymbolicFeatures  # noqa: E402
+from ..streaming import features as STR  # noqa: E402
+
+
+@query("t11_category_indexer")
+def t11_category_indexer(spark, sf):
+    """Rows check: destination code and city indexed as categories for the trees (no one-hot)."""
+    s = _search_amen(spark, sf)
+    a = D.amenities(spark, sf).select(F.col("hotel_id").alias("hid"), "destination_code", "main_city_oid")
+    d = R.session_split(s.join(a, "hid", "left"), "searchid")
+    ci = T.CategoryIndexer(["destination_code", "main_city_oid"]).fit(d.filter(F.col("split") == "train"))
+    d = ci.transform(d).withColumn("anticipation", F.col("anticipation").cast("double"))
+    feats = ci.output_columns() + ["anticipation"]
+    m = BO.fit_expert(d.filter(F.col("split") == "train"), feats, "price_by_night_person",
+                      BO.ExpertSpec("gbt", {"rounds": 10, "depth": 4}))
+    te = m.transform(d.filter(F.col("split") == "test"), "pred")
+    return R.regression_metrics(te, "price_by_night_person", ["pred"])
+
+
+@query("t12_symbolic_features")
+def t12_symbolic_features(spark, sf):
+    """Rows check: three formulas found over five numeric columns on train rows (one
+    correlation pass per generation), applied to test rows."""
+    d = _expert_frame(spark, sf)
+    sym = SymbolicFeatures(_EXPERT_FEATS, n_keep=3, generations=4, population=30, seed=42).fit(
+        d.filter(F.col("split") == "train"), "price_by_night_person")
+    out = sym.transform(d.filter(F.col("split") == "test"))
+    return out.select(*_KEYS, *[r6(f"sym_{i}").alias(f"sym_{i}") for i in (1, 2, 3)])
+
+
+@query("r6_permutation_importance")
+def r6_permutation_importance(spark, sf):
+    """Rows check: MAE increase per permuted feature for the ridge model of m10."""
+    lf, m = _ridge_model(spark, sf)
+    te = lf.filter(F.col("split") == "test")
+    return EX.permutation_importance(te, m, _LIN_FEATS, "y", _KEYS)
+
+
+@query("st_temporal_stream", V.with_views("event_searches") + f"""
+, t AS (SELECT row_id, date + to_days(anticipation) AS date_ci FROM event_searches)
+SELECT row_id, date_ci, CAST(isodow(date_ci) AS INTEGER) AS wday_ci,
+  ROUND(sin(2 * pi() * isodow(date_ci) / 7.0::DOUBLE), 6) AS wday_ci_sine,
+  ROUND(cos(2 * pi() * isodow(date_ci) / 7.0::DOUBLE), 6) AS wday_ci_cosine,
+  {_EV_FLAGS_SQL}
+FROM t
+""")
+def st_temporal_stream(spark, sf):
+    out = STR.run_available(STR.temporal_stream(spark, sf, "events.parquet"), "temporal")
+    return out.select("row_id", "date_ci", "wday_ci", r6("wday_ci_sine").alias("wday_ci_sine"),
+                      r6("wday_ci_cosine").alias("wday_ci_cosine"), *TM.EVENTS.keys())
