@@ -132,8 +132,10 @@ def global_means(df: DataFrame, cols) -> DataFrame:
 
 
 def medians(df: DataFrame, cols) -> DataFrame:
-    """A4: one-row table of exact column medians."""
-    return df.agg(*[F.median(c).alias(c) for c in cols])
+    """A4: one-row table of exact column medians, by bounded histogram refinement (no task
+    ever holds a whole column; see ``quantiles``)."""
+    from .quantiles import exact_medians
+    return exact_medians(df, list(cols))
 
 
 def modes(df: DataFrame, cols, missing: str = "Missing") -> DataFrame:
@@ -170,30 +172,18 @@ def regression_metrics(df: DataFrame, y: str, preds, by=None) -> DataFrame:
                       (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2"))
 
 
-def quantile(col: str, q: float, interpolation: str = "linear") -> Column:
-    """Exact quantile. ``linear`` interpolates; ``nearest`` is not an aggregate and is handled
-    by :func:`distance_summary`."""
-    return F.percentile(F.col(col), F.lit(q))
-
-
 def distance_summary(df: DataFrame, col: str, q: float = 0.9, interpolation: str = "nearest") -> DataFrame:
-    """A10: median, min and the q-quantile of a column.
-
-    ``nearest`` picks the value at sorted index round(q·(n−1)); it needs one ordered pass
-    (range-partitioned sort, no single-partition window): count first, then rank."""
-    base = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
-    stats = base.agg(F.median("v").alias("median"), F.min("v").alias("min"),
-                     F.percentile("v", F.lit(q)).alias("p_linear"), F.count(F.lit(1)).alias("n"))
-    if interpolation == "linear":
-        return stats.select("median", "min", F.col("p_linear").alias(f"p{int(q * 100)}"))
-    # nearest rank: the element at index round(q*(n-1)) of the sorted values; found as the
-    # smallest v whose cumulative count exceeds that index (counts per distinct value first).
-    counts = base.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    cum = counts.withColumn("cum", F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-    idx = stats.select("median", "min", F.round(F.lit(q) * (F.col("n") - 1)).cast("long").alias("idx"))
-    pick = cum.join(idx, F.col("cum") > F.col("idx")).agg(
-        F.first("median").alias("median"), F.first("min").alias("min"), F.min("v").alias(f"p{int(q * 100)}"))
-    return pick
+    """A10: exact median, min and q-quantile of a column, as a one-row table.
+
+    ``nearest`` is the value at sorted index round(q·(n−1)); ``linear`` interpolates. Both
+    use bounded histogram refinement instead of a sort or a single-task aggregate."""
+    from .quantiles import exact_quantiles, nearest_rank
+    spark = df.sparkSession
+    qs = exact_quantiles(df, col, [0.5, q])
+    mn = df.agg(F.min(col)).first()[0]
+    pq = nearest_rank(df, col, q) if interpolation == "nearest" else qs[q]
+    return spark.createDataFrame([(qs[0.5], None if mn is None else float(mn), pq)],
+                                 f"median double, min double, p{int(round(q * 100))} double")
 
 
 def cv_summary(scores: DataFrame, config: str = "config", metrics=("mae", "rmse", "r2")) -> DataFrame:
