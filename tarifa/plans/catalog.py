@@ -1449,3 +1449,36 @@ def st_temporal_stream(spark, sf):
     out = STR.run_available(STR.temporal_stream(spark, sf, "events.parquet"), "temporal")
     return out.select("row_id", "date_ci", "wday_ci", r6("wday_ci_sine").alias("wday_ci_sine"),
                       r6("wday_ci_cosine").alias("wday_ci_cosine"), *TM.EVENTS.keys())
+
+
+@query("s6_params_for", _SEARCH_AMEN_SQL + f"""
+, seg AS (SELECT {_seg_sql()} AS segment FROM sa),
+cnt AS (SELECT segment, count(*) AS n FROM seg GROUP BY segment),
+params AS (SELECT segment || '_LGBM' AS segment_model, 1.1 + (n % 9) / 10.0::DOUBLE AS power,
+                  CAST(100 * (1 + n % 5) AS INTEGER) AS n_estimators
+           FROM cnt WHERE segment <> 'Estandar')
+SELECT c.segment, c.segment || '_LGBM' AS segment_model,
+       coalesce(p.power, 1.5::DOUBLE) AS tweedie_variance_power, coalesce(p.n_estimators, 300) AS n_estimators,
+       0.05::DOUBLE AS learning_rate
+FROM cnt c LEFT JOIN params p ON c.segment || '_LGBM' = p.segment_model
+""")
+def s6_params_for(spark, sf):
+    """Tuned parameters written as JSON (one document, keyed by segment model), read back
+    and looked up per segment with defaults for absent keys and fields."""
+    import json
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    seg = _search_amen(spark, sf).select(RU.route_rules().alias("segment"))
+    cnt = seg.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))
+    tuned = {f"{r.segment}_LGBM": {"tweedie_variance_power": 1.1 + (r.n % 9) / 10.0, "n_estimators": 100 * (1 + r.n % 5)}
+             for r in cnt.filter(F.col("segment") != RU.SEG_STANDARD).collect()}  # one row per segment
+    path = f"{ensure_checkpoint_dir(spark)}/params-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(tuned),)], "value string").write.text(path)
+    params = FM.load_params(spark, path)
+    rows = cnt.withColumn("segment_model", F.concat("segment", F.lit("_LGBM")))
+    got = FM.params_for(rows, params, "segment_model",
+                        {"tweedie_variance_power": 1.5, "n_estimators": 300, "learning_rate": 0.05})
+    return got.select("segment", "segment_model",
+                      F.col("tweedie_variance_power").cast("double").alias("tweedie_variance_power"),
+                      F.col("n_estimators").cast("int").alias("n_estimators"),
+                      F.col("learning_rate").cast("double").alias("learning_rate"))
