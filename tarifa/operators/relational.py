@@ -202,10 +202,11 @@ def leaderboard(metrics: DataFrame, base_models=None, stack: str | None = None)
     """Models ordered by MAE; with ``stack`` given, the stack's RMSE gain over its best base."""
     out = metrics.select("model", "mae", "r2", "rmse")
     if stack is not None and base_models:
-        best = metrics.filter(F.col("model").isin(list(base_models))).agg(F.min("rmse").alias("best_base_rmse"))
-        out = out.crossJoin(F.broadcast(best)).withColumn(
-            "gain_vs_best_base", F.when(F.col("model") == stack, F.col("best_base_rmse") - F.col("rmse")))
-        out = out.drop("best_base_rmse")
+        # one scalar from the metric table (one row per model)
+        best = metrics.filter(F.col("model").isin(list(base_models))).agg(F.min("rmse")).first()[0]
+        out = out.withColumn("gain_vs_best_base",
+                             F.when(F.col("model") == stack, F.lit(best) - F.col("rmse")) if best is not None
+                             else F.lit(None).cast("double"))
     return out.orderBy("mae", "model")
 
 

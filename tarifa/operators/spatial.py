@@ -67,9 +67,10 @@ def _ring_bound(metric: str, cell: float, max_abs_lat: float) -> float:
 
 
 # ------------------------------------------------------------------ blocks
-def _blocks(df: DataFrame, x: str, y: str, cols, cell: float | None, chunk: int, prefix: str) -> DataFrame:
+def _blocks(df: DataFrame, x: str, y: str, cols, cell: float | None, chunk: int, prefix: str,
+            n_total: int | None = None) -> DataFrame:
     """Bin rows into grid cells (one cell when ``cell`` is None) and pack each cell into
-    hash chunks of about ``chunk`` rows: ``(cx, cy, <prefix>x, <prefix>y, <prefix><col>…)``
+    hash chunks of about ``chunk`` rows: ``(cx, cy, blk, <prefix>x, <prefix>y, <prefix><col>…)``
     with one array per column (same element order). A hot cell becomes many chunks."""
     if cell is None:
         cx, cy = F.lit(0).cast("long"), F.lit(0).cast("long")
@@ -78,27 +79,40 @@ def _blocks(df: DataFrame, x: str, y: str, cols, cell: float | None, chunk: int,
         cy = F.floor(F.col(y) / cell).cast("long")
     cols = [c for c in cols if c not in (x, y)]
     b = df.select(cx.alias("cx"), cy.alias("cy"), F.col(x).alias("_x"), F.col(y).alias("_y"), *cols)
-    counts = b.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
-    b = b.join(counts, ["cx", "cy"])
-    nchunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk)))
-    b = b.withColumn("_chunk", F.pmod(F.xxhash64("_x", "_y", *cols), nchunks))
-    packed = b.groupBy("cx", "cy", "_chunk").agg(F.collect_list(F.struct("_x", "_y", *cols)).alias("_a"))
-    return packed.select("cx", "cy", F.col("_a._x").alias(f"{prefix}x"), F.col("_a._y").alias(f"{prefix}y"),
+    if cell is None:
+        # one cell: the chunk count follows from the known row count
+        nchunks = F.lit(max(1, math.ceil((n_total or 1) / chunk)))
+    else:
+        counts = b.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("_n"))
+        b = b.join(counts, ["cx", "cy"])
+        nchunks = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(chunk)))
+    b = b.withColumn("blk", F.pmod(F.xxhash64("_x", "_y", *cols), nchunks))
+    packed = b.groupBy("cx", "cy", "blk").agg(F.collect_list(F.struct("_x", "_y", *cols)).alias("_a"))
+    return packed.select("cx", "cy", "blk", F.col("_a._x").alias(f"{prefix}x"), F.col("_a._y").alias(f"{prefix}y"),
                          *[F.col(f"_a.{c}").alias(f"{prefix}{c}") for c in cols])
 
 
-def _block_pairs(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame, px: str, py: str,
-                 payload, cell: float | None, qchunk: int, pchunk: int) -> DataFrame:
-    """Each query block joined with every point block of its 3×3 ring of cells (an
-    equi-join on the cell key; no query × point rows are formed)."""
-    qb = _blocks(queries, qx, qy, [qkey], cell, qchunk, "q_")
-    pb = _blocks(points, px, py, list(payload), cell, pchunk, "p_")
+def _block_pairs(queries: DataFrame, qx: str, qy: str, qcols, points: DataFrame, px: str, py: str,
+                 payload, cell: float | None, qchunk: int, pchunk: int, n_points: int,
+                 n_queries: int | None = None) -> DataFrame:
+    """Each query block paired with every point block it must meet, by equi-joins only:
+
+    * grid (``cell``): the point blocks of the 3×3 ring of cells (join on the cell key);
+    * one cell: each query block is replicated once per point-block id 0…P−1 (P =
+      ⌈n_points / pchunk⌉, a bounded fan-out) and joined on that id.
+
+    No query × point rows are formed: a pair of blocks is one row."""
+    qb = _blocks(queries, qx, qy, list(qcols), cell, qchunk, "q_", n_total=n_queries).drop("blk")
+    pb = _blocks(points, px, py, list(payload), cell, pchunk, "p_", n_total=n_points)
     if cell is not None:
         offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                          for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
         qb = qb.withColumn("_o", F.explode(offs)) \
             .withColumn("cx", F.col("cx") + F.col("_o.dx")).withColumn("cy", F.col("cy") + F.col("_o.dy")).drop("_o")
-    return qb.join(pb, ["cx", "cy"]).drop("cx", "cy")
+        return qb.join(pb, ["cx", "cy"]).drop("cx", "cy", "blk")
+    nblk = max(1, math.ceil(n_points / pchunk))
+    qb = qb.drop("cx", "cy").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nblk - 1).cast("long"))))
+    return qb.join(pb.drop("cx", "cy"), "blk").drop("blk")
 
 
 def _limit_arrow_batches(spark, rows: int = 64) -> None:
@@ -216,7 +230,8 @@ def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame
     while True:
         cur = levels[0] if levels else cell
         last = cur is None or cur >= info["extent"]
-        pairs = _block_pairs(pending, "key", "qx", "qy", pts, "px", "py", payload, cur, qchunk, chunk)
+        pairs = _block_pairs(pending, "qx", "qy", ["key"], pts, "px", "py", payload, cur, qchunk, chunk,
+                             info["n_points"], info["n_queries"])
         best = pairs.mapInPandas(kernel, schema)
         merged = best.groupBy(qkey).agg(F.slice(F.array_sort(F.collect_list(F.struct(*struct_cols))), 1, k).alias(out))
         merged = pending.select(F.col("key").alias(qkey)).join(merged, qkey, "left")
@@ -340,14 +355,8 @@ def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
     w = w.withColumn("u", F.lit(a) * F.col("ox") + F.lit(b) * F.col("oy")).withColumn("v", F.lit(c) * F.col("oy"))
     cell = None if (exact or st["n"] <= small_points) else cutoff
     _limit_arrow_batches(df.sparkSession)
-    qb = _blocks(w, "u", "v", ["key", "ox", "oy"], cell, qchunk, "q_")
-    pb = _blocks(w.select("u", "v", "ox", "oy"), "u", "v", ["ox", "oy"], cell, chunk, "p_")
-    if cell is not None:
-        offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                         for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-        qb = qb.withColumn("_o", F.explode(offs)) \
-            .withColumn("cx", F.col("cx") + F.col("_o.dx")).withColumn("cy", F.col("cy") + F.col("_o.dy")).drop("_o")
-    pairs = qb.join(pb, ["cx", "cy"]).drop("cx", "cy")
+    pairs = _block_pairs(w, "u", "v", ["key", "ox", "oy"], w.select("u", "v", "ox", "oy"), "u", "v",
+                         ["ox", "oy"], cell, qchunk, chunk, st["n"], st["n"])
     part = pairs.mapInPandas(_kde_kernel(ixx, iyy, ixy, key), f"`{key}` {ktype}, _s double")
     return part.groupBy(key).agg((F.sum("_s") * F.lit(norm)).alias(out))
 
