@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine
+from ..session import checkpoint as _ckpt
 
 # Fixed values that must equal the reference's results: built-in reference points used
 # when no point file is given, as (latitude, longitude).
@@ -237,11 +238,11 @@ def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame
         merged = pending.select(F.col("key").alias(qkey)).join(merged, qkey, "left")
         if last:
             done.append(merged.withColumn(out, F.coalesce(F.col(out), F.array().cast(f"array<{elem}>")))
-                        .checkpoint(eager=True))
+                        .transform(_ckpt))
             break
         bound = _ring_bound(metric, cur, info["max_abs_lat"])
         ok = (F.size(out) >= F.lit(min(k, info["n_points"]))) & (F.element_at(out, -1)["d"] <= F.lit(bound))
-        merged = merged.withColumn("_ok", F.coalesce(ok, F.lit(False))).checkpoint(eager=True)
+        merged = merged.withColumn("_ok", F.coalesce(ok, F.lit(False))).transform(_ckpt)
         done.append(merged.filter("_ok").drop("_ok"))
         pending = merged.filter(~F.col("_ok")).select(F.col(qkey).alias("key")).join(q, "key")
         if pending.isEmpty():
