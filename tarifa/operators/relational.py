@@ -177,11 +177,15 @@ def distance_summary(df: DataFrame, col: str, q: float = 0.9, interpolation: str
 
     ``nearest`` is the value at sorted index round(q·(n−1)); ``linear`` interpolates. Both
     use bounded histogram refinement instead of a sort or a single-task aggregate."""
+    from pyspark import StorageLevel
     from .quantiles import exact_quantiles, nearest_rank
     spark = df.sparkSession
-    qs = exact_quantiles(df, col, [0.5, q])
-    mn = df.agg(F.min(col)).first()[0]
-    pq = nearest_rank(df, col, q) if interpolation == "nearest" else qs[q]
+    # one column, kept for the several passes below
+    v = df.select(F.col(col).cast("double").alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    qs = exact_quantiles(v, "v", [0.5, q])
+    mn = v.agg(F.min("v")).first()[0]
+    pq = nearest_rank(v, "v", q) if interpolation == "nearest" else qs[q]
+    v.unpersist()
     return spark.createDataFrame([(qs[0.5], None if mn is None else float(mn), pq)],
                                  f"median double, min double, p{int(round(q * 100))} double")
 
