@@ -116,9 +116,16 @@ def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
 # ---------------------------------------------------------------- aggregations
 def hotel_medians(df: DataFrame, keys=("hid", "longitude", "latitude"), value: str = TARGET,
                   out: str = "precio_mediano") -> DataFrame:
-    """A1: exact interpolated median per hotel. Spark's ``median`` keeps a value→count map per
-    group and merges partial maps, so repeated prices are pre-aggregated map-side."""
-    return df.groupBy(*keys).agg(F.median(value).alias(out))
+    """A1: exact interpolated median per hotel, skew-safe.
+
+    Stage 1 counts each (hotel, price) pair — its shuffle is keyed by the price too, so a hotel
+    holding a third of all rows spreads over many tasks, and map-side combine collapses
+    repeated prices. Stage 2 takes the weighted median (``percentile`` with a frequency) from
+    one row per distinct price: identical to ``median`` over the raw rows."""
+    keys = list(keys)
+    # NULL prices stay as their own (skipped) group, so all-NULL hotels keep a NULL median
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    return counted.groupBy(*keys).agg(F.percentile(F.col(value), F.lit(0.5), F.col("_c")).alias(out))
 
 
 def group_means(df: DataFrame, key: str, cols) -> DataFrame:
@@ -138,9 +145,21 @@ def medians(df: DataFrame, cols) -> DataFrame:
     return exact_medians(df, list(cols))
 
 
+def mode_value(df: DataFrame, col: str):
+    """Most frequent non-NULL value (ties → smallest), as a scalar. Counting is a distributed
+    groupBy; the pick is a ``min_by`` over (−count, value) with an O(1) buffer — no task ever
+    holds a map of all distinct values."""
+    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
+    return counts.agg(F.min_by(F.col(col), F.struct(-F.col("_c"), F.col(col)))).first()[0]
+
+
 def modes(df: DataFrame, cols, missing: str = "Missing") -> DataFrame:
     """A5: one-row table of modes (ties → smallest); all-NULL column → ``missing``."""
-    return df.agg(*[F.coalesce(F.mode(c, deterministic=True), F.lit(missing)).alias(c) for c in cols])
+    vals = [mode_value(df, c) for c in cols]
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    row = tuple(missing if v is None else v for v in vals)
+    schema = ", ".join(f"`{c}` {types[c] if types[c] == 'string' else 'string'}" for c in cols)
+    return df.sparkSession.createDataFrame([tuple(str(v) for v in row)], schema)
 
 
 def total_amenities(cols) -> Column:
