@@ -316,3 +316,38 @@ def assign_folds(df: DataFrame, k: int, key, group: str | None = None, out: str
     """fold = hash(row key) mod k; with ``group`` whole groups share a fold."""
     keys = [group] if group else ([key] if isinstance(key, str) else list(key))
     return df.withColumn(out, (key_hash(*keys) % k).cast("int"))
+
+
+def _session_at_rank(sess: DataFrame, key: str, k: int):
+    """(hash, key) of the session at 0-based rank k in (hash, key) order, or None past the end."""
+    from .quantiles import _kth
+    st = sess.agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("mn"), F.max("_h").alias("mx")).first()
+    if k >= st["n"]:
+        return None
+    t = int(_kth(sess.select(F.col("_h").cast("double").alias("_h")), "_h", k, float(st["mn"]), float(st["mx"]),
+                 0, st["n"], 4096, 100_000))
+    below = sess.filter(F.col("_h") < F.lit(t)).count()
+    # sessions sharing one 32-bit hash are few: order them by key on the driver
+    ties = sorted(r[0] for r in sess.filter(F.col("_h") == F.lit(t)).select(key).collect())
+    return t, ties[k - below]
+
+
+def session_split_exact(df: DataFrame, key: str = "searchid", fracs=(70, 15, 15), out: str = "split") -> DataFrame:
+    """U3 with the reference's sizes: of n distinct sessions ranked by (hash(key), key), the
+    first ⌊70n/100⌋ are train, the next ⌊15n/100⌋ val, the rest test. The two cut sessions
+    are found by bounded histogram passes; rows are then labelled from their own key."""
+    from pyspark import StorageLevel
+    sess = df.select(key).distinct().withColumn("_h", key_hash(key)).persist(StorageLevel.MEMORY_AND_DISK)
+    n = sess.count()
+    n_tr = n * fracs[0] // 100
+    n_va = n * fracs[1] // 100
+    c1 = _session_at_rank(sess, key, n_tr)
+    c2 = _session_at_rank(sess, key, n_tr + n_va)
+    sess.unpersist()
+    h = key_hash(key)
+
+    def before(cut):
+        if cut is None:
+            return F.lit(True)
+        return (h < F.lit(cut[0])) | ((h == F.lit(cut[0])) & (F.col(key) < F.lit(cut[1])))
+    return df.withColumn(out, F.when(before(c1), "train").when(before(c2), "val").otherwise("test"))

@@ -1481,3 +1481,15 @@ def s6_params_for(spark, sf):
                       F.col("tweedie_variance_power").cast("double").alias("tweedie_variance_power"),
                       F.col("n_estimators").cast("int").alias("n_estimators"),
                       F.col("learning_rate").cast("double").alias("learning_rate"))
+
+
+@query("u3_session_split_exact", V.with_views("searches") + f"""
+, s AS (SELECT searchid, {V.hash_expr('searchid')} AS h FROM (SELECT DISTINCT searchid FROM searches)),
+r AS (SELECT searchid, row_number() OVER (ORDER BY h, searchid) - 1 AS rk, count(*) OVER () AS n FROM s),
+lab AS (SELECT searchid, CASE WHEN rk < n * 70 // 100 THEN 'train'
+                              WHEN rk < n * 70 // 100 + n * 15 // 100 THEN 'val' ELSE 'test' END AS split FROM r)
+SELECT split, count(DISTINCT searchid) AS sessions, count(*) AS n_rows FROM searches JOIN lab USING (searchid) GROUP BY split
+""")
+def u3_session_split_exact(spark, sf):
+    s = R.session_split_exact(D.searches(spark, sf), "searchid")
+    return s.groupBy("split").agg(F.count_distinct("searchid").alias("sessions"), F.count(F.lit(1)).alias("n_rows"))

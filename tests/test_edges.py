@@ -128,3 +128,11 @@ def test_mca_matches_numpy_svd(spark):
     for d in range(3):
         a, b = got[:, d], F_ref[:, d]
         assert min(np.abs(a - b).max(), np.abs(a + b).max()) < 1e-9
+
+
+def test_exact_session_split_sizes(spark):
+    s = R.session_split_exact(D.searches(spark, SF_SMALL))
+    sizes = {r.split: r.c for r in s.groupBy("split").agg(F.count_distinct("searchid").alias("c")).collect()}
+    n = sum(sizes.values())
+    assert sizes["train"] == n * 70 // 100 and sizes["val"] == n * 15 // 100
+    assert s.groupBy("searchid").agg(F.count_distinct("split").alias("k")).filter("k > 1").count() == 0
