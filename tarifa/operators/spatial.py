@@ -281,13 +281,20 @@ def nearest_distance(df: DataFrame, key: str, points: DataFrame, out: str,
 # ------------------------------------------------------------------ J7 kNN features
 def knn_features(query: DataFrame, train: DataFrame, key: str = "hid", x: str = "longitude",
                  y: str = "latitude", price: str = "precio_mediano", ks=(5, 10, 20),
-                 self_eps: float = 1e-5, **kw) -> DataFrame:
+                 self_eps: float = 1e-5, min_train: int | None = None, query_key: str | None = None,
+                 **kw) -> DataFrame:
     """For every query hotel, mean price and mean distance (degrees, Euclidean) of its
     k nearest train hotels. The first neighbour is skipped when closer than ``self_eps``
     (the hotel itself, or a co-located train hotel). Ties order by (distance, key)."""
     kmax = max(ks) + 1
+    if min_train is None:
+        min_train = kmax
+    n_train = train.count()
+    if n_train < min_train:
+        raise ValueError(f"kNN features need at least {min_train} train hotels, got {n_train}")
+    qk = query_key or key
     tr = train.select(F.col(key).alias("_tk"), F.col(x), F.col(y), F.col(price).alias("_price"))
-    nn = nearest_k(query.select(key, x, y), key, x, y, tr, x, y, k=kmax, payload=["_price"],
+    nn = nearest_k(query.select(qk, x, y), qk, x, y, tr, x, y, k=kmax, payload=["_price"],
                    tie="_tk", metric="euclid", out="_nn", **kw)
     skip = F.when(F.element_at("_nn", 1)["d"] < F.lit(self_eps), 2).otherwise(1)
     cols = []
@@ -296,7 +303,7 @@ def knn_features(query: DataFrame, train: DataFrame, key: str = "hid", x: str =
         n = F.size(sl).cast("double")
         cols.append((F.aggregate(sl, F.lit(0.0), lambda acc, e: acc + e["_price"]) / n).alias(f"precio_mean_{k}nn"))
         cols.append((F.aggregate(sl, F.lit(0.0), lambda acc, e: acc + e["d"]) / n).alias(f"dist_mean_{k}nn"))
-    return nn.select(key, *cols)
+    return nn.select(qk, *cols)
 
 
 # ------------------------------------------------------------------ J8 KDE

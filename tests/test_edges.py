@@ -136,3 +136,65 @@ def test_exact_session_split_sizes(spark):
     n = sum(sizes.values())
     assert sizes["train"] == n * 70 // 100 and sizes["val"] == n * 15 // 100
     assert s.groupBy("searchid").agg(F.count_distinct("split").alias("k")).filter("k > 1").count() == 0
+
+
+def test_knn_needs_21_train_hotels(spark):
+    from tarifa.operators import spatial as SP
+    t = spark.createDataFrame([(i, -43.2 + i * 1e-3, -22.9, 10.0) for i in range(20)],
+                              "hid long, longitude double, latitude double, precio_mediano double")
+    with pytest.raises(ValueError):
+        SP.knn_features(t.select("hid", "longitude", "latitude"), t)
+
+
+def test_colocated_train_and_non_train_hotel(spark):
+    from tarifa.operators import spatial as SP
+    t = spark.createDataFrame([(i, -43.2 + i * 1e-3, -22.9, float(i)) for i in range(30)],
+                              "hid long, longitude double, latitude double, precio_mediano double")
+    q = spark.createDataFrame([(100, -43.2, -22.9)], "hid long, longitude double, latitude double")
+    r = SP.knn_features(q, t).first()
+    # a non-train hotel on a train hotel's spot also loses that first neighbour (reference rule)
+    assert r.precio_mean_5nn == pytest.approx(np.mean([1, 2, 3, 4, 5]))
+
+
+def test_hotel_with_two_coordinates_keeps_rows(spark):
+    s = D.searches(spark, SF_SMALL)
+    hid = s.groupBy("hid").count().orderBy(F.desc("count"), "hid").first().hid
+    moved = s.withColumn("longitude", F.when((F.col("hid") == hid) & (F.col("position") % 2 == 0),
+                                             F.col("longitude") + 0.01).otherwise(F.col("longitude")))
+    n = R.require(moved, ["hid", "longitude", "latitude"]).count()
+    out = DS.build_dataset(moved, D.amenities(spark, SF_SMALL), mca_dims=0)
+    assert out.count() == n
+
+
+def test_params_without_loss_rejected():
+    from tarifa.operators.boosting import spec_from_params
+    with pytest.raises(ValueError):
+        spec_from_params({"n_estimators": 300, "learning_rate": 0.05, "max_depth": 5})
+    s = spec_from_params({"objective": "tweedie", "tweedie_variance_power": 1.4, "n_estimators": 30})
+    assert s.family == "tweedie" and s.params["power"] == 1.4
+
+
+def test_segment_only_in_test_uses_global_expert(spark):
+    from tarifa.operators.boosting import ExpertSpec, fit_expert, predict_segments_multi
+    tr = spark.createDataFrame([(float(i % 7), float(i), "A" if i % 2 else "B") for i in range(200)],
+                               "a double, y double, seg string")
+    te = spark.createDataFrame([(1.0, "C"), (2.0, "A")], "a double, seg string")
+    glob = fit_expert(tr, ["a"], "y", ExpertSpec("gbt", {"rounds": 2, "depth": 2}))
+    loc = {"A": fit_expert(tr.filter("seg = 'A'"), ["a"], "y", ExpertSpec("gbt", {"rounds": 2, "depth": 2}))}
+    out = {r.seg: r.p for r in predict_segments_multi(te, "seg", {"p": loc}, glob).collect()}
+    g = {r.a: r.p for r in glob.transform(te, "p").collect()}
+    assert out["C"] == g[1.0]
+
+
+def test_empty_and_single_row(spark):
+    empty = spark.createDataFrame([], "hid long, longitude double, latitude double, price_by_night_person double")
+    assert R.hotel_medians(empty).count() == 0
+    assert R.regression_metrics(empty.withColumn("p", F.lit(1.0)), "price_by_night_person", ["p"]).count() == 0
+    one = spark.createDataFrame([(1, -43.2, -22.9, 10.0)], "hid long, longitude double, latitude double, price_by_night_person double")
+    assert R.hotel_medians(one).first().precio_mediano == 10.0
+    from tarifa.operators import spatial as SP
+    with pytest.raises(ValueError):
+        SP.kde2d(one, "hid", "longitude", "latitude")
+    nn = SP.nearest_k(one, "hid", "longitude", "latitude", empty.select(F.col("longitude").alias("x"), F.col("latitude").alias("y")),
+                      "x", "y", k=1)
+    assert nn.first().nn == []
