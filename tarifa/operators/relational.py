@@ -255,19 +255,15 @@ def best_fraction(metrics: DataFrame, score: str = "rmse", key: str = "config_id
 
 
 def vote_finalists(metrics: DataFrame, key: str = "idx") -> DataFrame:
-    """Five criteria (min val MAE, min val RMSE, max val R², min train-val RMSE gap,
-    min |train-val R² gap|); each criterion gives one vote; most votes wins, ties → lowest
-    index. Returns votes per finalist ordered by the decision."""
-    gap_rmse = F.col("val_rmse") - F.col("train_rmse")
-    gap_r2 = F.abs(F.col("train_r2") - F.col("val_r2"))
-    m = metrics.select(key, "val_mae", "val_rmse", "val_r2", gap_rmse.alias("gap_rmse"), gap_r2.alias("gap_r2"))
-    # ties within a criterion go to the lowest index
-    crit = m.agg(
-        F.min_by(key, F.struct("val_mae", key)).alias("c1"),
-        F.min_by(key, F.struct("val_rmse", key)).alias("c2"),
-        F.min_by(key, F.struct(-F.col("val_r2"), F.col(key))).alias("c3"),
-        F.min_by(key, F.struct("gap_rmse", key)).alias("c4"),
-        F.min_by(key, F.struct("gap_r2", key)).alias("c5"),
+    """Five criteria — lowest CV RMSE, lowest CV MAE, highest CV R², lowest validation
+    RMSE, lowest validation MAE — each give one vote; most votes wins; every tie goes to the
+    lowest index. Returns votes per finalist ordered by the decision."""
+    crit = metrics.agg(
+        F.min_by(key, F.struct("cv_rmse", key)).alias("c1"),
+        F.min_by(key, F.struct("cv_mae", key)).alias("c2"),
+        F.min_by(key, F.struct(-F.col("cv_r2"), F.col(key))).alias("c3"),
+        F.min_by(key, F.struct("val_rmse", key)).alias("c4"),
+        F.min_by(key, F.struct("val_mae", key)).alias("c5"),
     )
     votes = crit.select(F.explode(F.array("c1", "c2", "c3", "c4", "c5")).alias(key)) \
         .groupBy(key).agg(F.count(F.lit(1)).alias("votes"))

@@ -506,27 +506,28 @@ def w4_best_half(spark, sf):
          1 - sum((pred - y) * (pred - y)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2
   FROM scored WHERE config_id IN (1, 5, 9) GROUP BY config_id, split),
 w AS (
-  SELECT t.idx, round(v.mae, 9) AS val_mae, round(v.rmse, 9) AS val_rmse, round(v.r2, 9) AS val_r2,
-         round(v.rmse - t.rmse, 9) AS gap_rmse, round(abs(t.r2 - v.r2), 9) AS gap_r2
+  SELECT t.idx, round(t.rmse, 9) AS cv_rmse, round(t.mae, 9) AS cv_mae, round(t.r2, 9) AS cv_r2,
+         round(v.rmse, 9) AS val_rmse, round(v.mae, 9) AS val_mae
   FROM m t JOIN m v ON t.idx = v.idx AND t.split = 'train' AND v.split = 'val'),
 votes AS (
-  SELECT idx FROM (SELECT idx FROM w ORDER BY val_mae, idx LIMIT 1)
+  SELECT idx FROM (SELECT idx FROM w ORDER BY cv_rmse, idx LIMIT 1)
+  UNION ALL SELECT idx FROM (SELECT idx FROM w ORDER BY cv_mae, idx LIMIT 1)
+  UNION ALL SELECT idx FROM (SELECT idx FROM w ORDER BY cv_r2 DESC, idx LIMIT 1)
   UNION ALL SELECT idx FROM (SELECT idx FROM w ORDER BY val_rmse, idx LIMIT 1)
-  UNION ALL SELECT idx FROM (SELECT idx FROM w ORDER BY val_r2 DESC, idx LIMIT 1)
-  UNION ALL SELECT idx FROM (SELECT idx FROM w ORDER BY gap_rmse, idx LIMIT 1)
-  UNION ALL SELECT idx FROM (SELECT idx FROM w ORDER BY gap_r2, idx LIMIT 1))
+  UNION ALL SELECT idx FROM (SELECT idx FROM w ORDER BY val_mae, idx LIMIT 1))
 SELECT w.idx, CAST(count(votes.idx) AS BIGINT) AS votes FROM w LEFT JOIN votes ON w.idx = votes.idx GROUP BY w.idx
 """)
 def w5_vote_finalists(spark, sf):
+    """Three finalists; "cv" metrics from the train split rows, "val" from the val rows."""
     s = _scored_configs(spark, sf).filter(F.col("config_id").isin(1, 5, 9))
     m = R.regression_metrics(s, "y", ["pred"], by=["config_id", "split"])
-    tr = m.filter(F.col("split") == "train").select(F.col("config_id").alias("idx"),
-                                                    F.col("rmse").alias("train_rmse"), F.col("r2").alias("train_r2"))
-    va = m.filter(F.col("split") == "val").select(F.col("config_id").alias("idx"), F.col("mae").alias("val_mae"),
-                                                  F.col("rmse").alias("val_rmse"), F.col("r2").alias("val_r2"))
+    tr = m.filter(F.col("split") == "train").select(F.col("config_id").alias("idx"), F.col("rmse").alias("cv_rmse"),
+                                                    F.col("mae").alias("cv_mae"), F.col("r2").alias("cv_r2"))
+    va = m.filter(F.col("split") == "val").select(F.col("config_id").alias("idx"), F.col("rmse").alias("val_rmse"),
+                                                  F.col("mae").alias("val_mae"))
     w = tr.join(va, "idx")
     # rounded so that float noise cannot decide a vote
-    w = w.select("idx", *[F.round(c, 9).alias(c) for c in ["val_mae", "val_rmse", "val_r2", "train_rmse", "train_r2"]])
+    w = w.select("idx", *[F.round(c, 9).alias(c) for c in ["cv_rmse", "cv_mae", "cv_r2", "val_rmse", "val_mae"]])
     return R.vote_finalists(w, "idx")
 
 
