@@ -36,8 +36,12 @@ def to_column(tree) -> Column:
 
 
 class SymbolicFeatures:
+    """Inputs are median-imputed (medians of the fitting rows); the search runs on at most
+    ``sample`` rows (a stable hash sample) and scores |corr| − parsimony × size."""
+
     def __init__(self, cols, n_keep: int = 3, generations: int = 5, population: int = 40, seed: int = 42,
-                 max_depth: int = 3, prefix: str = "sym_"):
+                 max_depth: int = 3, prefix: str = "symbolic_feat_", parsimony: float = 0.001,
+                 sample: int | None = 50_000, key=None):
         self.cols = list(cols)
         self.n_keep = n_keep
         self.generations = generations
@@ -45,8 +49,19 @@ class SymbolicFeatures:
         self.seed = seed
         self.max_depth = max_depth
         self.prefix = prefix
+        self.parsimony = parsimony
+        self.sample = sample
+        self.key = key
+        self.medians: dict = {}
         self.best: list[tuple] = []
 
+    def _size(self, t):
+        return 1 if isinstance(t, str) else 1 + sum(self._size(a) for a in t[1:])
+
+    def _filled(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get(c)))
+                               for c in self.cols})
+
     def _random_tree(self, rnd, depth):
         if depth <= 0 or rnd.random() < 0.3:
             return rnd.choice(self.cols)
@@ -76,13 +91,19 @@ class SymbolicFeatures:
         return [abs(row[f"c{i}"]) if row[f"c{i}"] is not None else 0.0 for i in range(len(trees))]
 
     def fit(self, df: DataFrame, y: str):
+        from .quantiles import exact_quantiles
+        from .relational import sample_n
+        self.medians = {c: exact_quantiles(df, c, [0.5])[0.5] for c in self.cols}
+        if self.sample is not None and self.key is not None:
+            df = sample_n(df, self.sample, self.key, seed=self.seed)
+        df = self._filled(df)
         rnd = random.Random(self.seed)
         pop = [self._random_tree(rnd, 2) for _ in range(self.population)]
         scored: dict[str, tuple] = {}
         for _ in range(self.generations):
             fresh = [t for t in pop if render(t) not in scored]
             for t, s in zip(fresh, self._score(df, y, fresh) if fresh else []):
-                scored[render(t)] = (s, t)
+                scored[render(t)] = (s - self.parsimony * self._size(t), t)
             ranked = sorted(scored.values(), key=lambda st: (-st[0], render(st[1])))
             parents = [t for _, t in ranked[: max(2, self.population // 2)]]
             pop = parents + [self._vary(rnd, rnd.choice(parents), rnd.choice(parents))
@@ -92,4 +113,11 @@ class SymbolicFeatures:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f"{self.prefix}{i + 1}": sanitize(to_column(t)) for i, (_, _, t) in enumerate(self.best)})
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(self.medians.get(c))) for c in self.cols}
+
+        def col_of(t):
+            if isinstance(t, str):
+                return filled[t]
+            op, *args = t
+            return psym(op, *[col_of(a) for a in args])
+        return df.withColumns({f"{self.prefix}{i + 1}": sanitize(col_of(t)) for i, (_, _, t) in enumerate(self.best)})

@@ -1376,14 +1376,16 @@ def m16_successive_halving(spark, sf):
 
 @query("m18_random_search")
 def m18_random_search(spark, sf):
-    """Rows check: six seeded random configurations scored by 3-fold R² on the largest segment."""
-    s = _search_amen(spark, sf).withColumn("segment", RU.route_rules())
+    """Rows check: six seeded configurations on the largest segment (M20 proxy), trained on
+    its train rows with early stopping on its val rows, scored by val R²."""
+    s = R.session_split(_search_amen(spark, sf).withColumn("segment", RU.route_rules()), "searchid")
     top = R.largest_segment(s, "segment").select("segment")
-    seg = R.semi(s, top, "segment").select(*_KEYS, "price_by_night_person",
+    seg = R.semi(s, top, "segment").select(*_KEYS, "split", "price_by_night_person",
                                            *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _ROUTER_FEATS],
                                            F.col("anticipation").cast("double").alias("anticipation"),
                                            F.col("duration").cast("double").alias("duration"))
-    return TU.random_search(spark, seg, _EXPERT_FEATS, "price_by_night_person", _KEYS, n_trials=6, round_cap=10)
+    return TU.random_search(spark, seg.filter(F.col("split") == "train"), seg.filter(F.col("split") == "val"),
+                            _EXPERT_FEATS, "price_by_night_person", n_trials=6, round_cap=10)
 
 
 @query("m19_early_stopping")
@@ -1423,10 +1425,10 @@ def t12_symbolic_features(spark, sf):
     """Rows check: three formulas found over five numeric columns on train rows (one
     correlation pass per generation), applied to test rows."""
     d = _expert_frame(spark, sf)
-    sym = SymbolicFeatures(_EXPERT_FEATS, n_keep=3, generations=4, population=30, seed=42).fit(
+    sym = SymbolicFeatures(_EXPERT_FEATS, n_keep=3, generations=4, population=30, seed=42, key=_KEYS).fit(
         d.filter(F.col("split") == "train"), "price_by_night_person")
     out = sym.transform(d.filter(F.col("split") == "test"))
-    return out.select(*_KEYS, *[r6(f"sym_{i}").alias(f"sym_{i}") for i in (1, 2, 3)])
+    return out.select(*_KEYS, *[r6(f"symbolic_feat_{i}").alias(f"symbolic_feat_{i}") for i in (1, 2, 3)])
 
 
 @query("r6_permutation_importance")
