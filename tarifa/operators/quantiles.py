@@ -70,9 +70,19 @@ def exact_quantiles(df: DataFrame, col: str, qs, bins: int = 4096, collect_limit
     return out
 
 
+def exact_median_values(df: DataFrame, cols, **kw) -> dict:
+    """{column: exact median}; the projected columns are kept once for all passes."""
+    cols = list(cols)
+    proj = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {c: exact_quantiles(proj, c, [0.5], **kw)[0.5] for c in cols}
+    finally:
+        proj.unpersist()
+
+
 def exact_medians(df: DataFrame, cols, **kw) -> DataFrame:
     """A4 at scale: one-row table of exact medians."""
-    vals = {c: exact_quantiles(df, c, [0.5], **kw)[0.5] for c in cols}
+    vals = exact_median_values(df, cols, **kw)
     return df.sparkSession.createDataFrame([tuple(vals[c] for c in cols)], ", ".join(f"`{c}` double" for c in cols))
 
 

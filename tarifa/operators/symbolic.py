@@ -91,9 +91,9 @@ class SymbolicFeatures:
         return [abs(row[f"c{i}"]) if row[f"c{i}"] is not None else 0.0 for i in range(len(trees))]
 
     def fit(self, df: DataFrame, y: str):
-        from .quantiles import exact_quantiles
+        from .quantiles import exact_median_values
         from .relational import sample_n
-        self.medians = {c: exact_quantiles(df, c, [0.5])[0.5] for c in self.cols}
+        self.medians = exact_median_values(df, self.cols)
         if self.sample is not None and self.key is not None:
             df = sample_n(df, self.sample, self.key, seed=self.seed)
         df = self._filled(df)
