@@ -137,6 +137,20 @@ def _np_dist(metric: str, qx, qy, px, py):
     return EARTH_RADIUS_M * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
+def _densest_fit(points: DataFrame, x: str, y: str, cell: float, max_points: int, max_halvings: int = 16) -> float:
+    """Halve the starting cell until the densest cell holds at most ``max_points`` points
+    (one small aggregation per try). Dense spots then resolve at fine cells while sparse
+    queries climb the doubling levels, so a spot holding a third of all points never
+    pairs each of its queries with all of its points."""
+    for _ in range(max_halvings):
+        densest = points.groupBy(F.floor(F.col(x) / cell).alias("cx"), F.floor(F.col(y) / cell).alias("cy")) \
+            .agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if densest is None or densest <= max_points:
+            break
+        cell /= 2.0
+    return cell
+
+
 def _extent(queries: DataFrame, qx: str, qy: str, points: DataFrame, px: str, py: str) -> dict:
     """Scalars only: bounding box of queries ∪ points and the point count."""
     a = queries.agg(F.min(qx).alias("x0"), F.max(qx).alias("x1"), F.min(qy).alias("y0"),
@@ -225,6 +239,7 @@ def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame
             # far more than k candidates and each block is a sizeable NumPy matrix
             per_cell = max(4.0 * k / 9.0, chunk / 4.0)
             cell = math.sqrt(per_cell * info["area"] / info["n_points"])
+            cell = _densest_fit(pts, "px", "py", cell, 4 * chunk)
         levels = []
     pending = q
     done = []

@@ -84,3 +84,28 @@ def test_nearest_area_defaults(spark):
     r = SP.nearest_area(df, "hid", None).first()
     assert (r.dist_favela_m, r.favela_cercana_size, r.favela_densidad_viviendas, r.favela_vulnerabilidad_salud) == \
         (1200.0, 1000, 50.0, 0.5)
+
+
+def test_knn_hot_spot_exact_and_adaptive(spark):
+    """A third of the train points in one tiny spot: exact against brute force, and the
+    starting cell shrinks to the spot's density."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1500):
+        if i % 3 == 0:
+            rows.append((i, -43.2 + rnd.random() * 1e-4, -22.9 + rnd.random() * 1e-4, float(i % 17)))
+        else:
+            rows.append((i, -43.5 + rnd.random() * 0.4, -23.1 + rnd.random() * 0.3, float(i % 17)))
+    t = spark.createDataFrame(rows, "hid long, longitude double, latitude double, precio_mediano double")
+    q = t.select("hid", "longitude", "latitude")
+    got = {r.hid: r for r in SP.knn_features(q, t, ks=(5,), chunk=64).collect()}
+    pts = t.collect()
+    for r in rnd.sample(pts, 60):
+        ds = sorted((round(math.hypot(s.longitude - r.longitude, s.latitude - r.latitude), 9), s.hid,
+                     math.hypot(s.longitude - r.longitude, s.latitude - r.latitude), s.precio_mediano) for s in pts)[:6]
+        sel = ds[1:] if ds[0][2] < 1e-5 else ds
+        assert got[r.hid].precio_mean_5nn == pytest.approx(np.mean([s[3] for s in sel[:5]]), rel=1e-12)
+    from pyspark.sql import functions as F
+    base = math.sqrt(max(4 * 6 / 9, 64 / 4) * 0.4 * 0.3 / 1500)
+    fitted = SP._densest_fit(t.select(F.col("longitude").alias("x"), F.col("latitude").alias("y")), "x", "y", base, 256)
+    assert fitted < base / 4
