@@ -338,7 +338,7 @@ def kde_fit(df: DataFrame, x: str, y: str) -> dict:
             "norm": 1.0 / (n * 2 * math.pi * math.sqrt(det)), "sxx": sxx, "syy": syy, "sxy": sxy}
 
 
-def _kde_kernel(ixx: float, iyy: float, ixy: float, key: str):
+def _kde_kernel(ixx: float, iyy: float, ixy: float, key: str, weighted: bool = False):
     def run(batches):
         import numpy as np
         import pandas as pd
@@ -352,7 +352,9 @@ def _kde_kernel(ixx: float, iyy: float, ixy: float, key: str):
                 dx = px[None, :] - qx[:, None]
                 dy = py[None, :] - qy[:, None]
                 m = ixx * dx * dx + 2.0 * ixy * dx * dy + iyy * dy * dy
-                outs.append(pd.DataFrame({key: np.asarray(r.q_key), "_s": np.exp(-0.5 * m).sum(axis=1)}))
+                e = np.exp(-0.5 * m)
+                s = (e * np.asarray(r.p_w, float)[None, :]).sum(axis=1) if weighted else e.sum(axis=1)
+                outs.append(pd.DataFrame({key: np.asarray(r.q_key), "_s": s}))
             if outs:
                 yield pd.concat(outs, ignore_index=True)
     return run
@@ -360,7 +362,7 @@ def _kde_kernel(ixx: float, iyy: float, ixy: float, key: str):
 
 def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
           cutoff: float = 9.0, exact: bool = False, qchunk: int = 256, chunk: int = 1024,
-          small_points: int = SMALL_POINTS) -> DataFrame:
+          small_points: int = SMALL_POINTS, bin_frac: float | None = None) -> DataFrame:
     """Density of every row under the KDE fitted on all rows of ``df``.
 
     Pairs are evaluated per (query block, point block) with NumPy; with ``exact`` (or few
@@ -378,9 +380,24 @@ def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
     w = w.withColumn("u", F.lit(a) * F.col("ox") + F.lit(b) * F.col("oy")).withColumn("v", F.lit(c) * F.col("oy"))
     cell = None if (exact or st["n"] <= small_points) else cutoff
     _limit_arrow_batches(df.sparkSession)
-    pairs = _block_pairs(w, "u", "v", ["key", "ox", "oy"], w.select("u", "v", "ox", "oy"), "u", "v",
-                         ["ox", "oy"], cell, qchunk, chunk, st["n"], st["n"])
-    part = pairs.mapInPandas(_kde_kernel(ixx, iyy, ixy, key), f"`{key}` {ktype}, _s double")
+    pts = w.select("u", "v", "ox", "oy")
+    payload = ["ox", "oy"]
+    if bin_frac:
+        # binned form: points snap to whitened cells of ``bin_frac`` bandwidths and become
+        # weighted cell centroids, so a dense spot costs its number of cells, not points;
+        # each term's relative error is at most cutoff × the cell half-diagonal
+        pts = pts.groupBy(F.floor(F.col("u") / bin_frac).alias("_bu"), F.floor(F.col("v") / bin_frac).alias("_bv")) \
+            .agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.avg("ox").alias("ox"), F.avg("oy").alias("oy"),
+                 F.count(F.lit(1)).cast("double").alias("w")).drop("_bu", "_bv")
+        payload = ["ox", "oy", "w"]
+        n_pts = pts.count()
+        if cell is None and n_pts > small_points and not exact:
+            cell = cutoff
+    else:
+        n_pts = st["n"]
+    pairs = _block_pairs(w, "u", "v", ["key", "ox", "oy"], pts, "u", "v",
+                         payload, cell, qchunk, chunk, n_pts, st["n"])
+    part = pairs.mapInPandas(_kde_kernel(ixx, iyy, ixy, key, weighted=bool(bin_frac)), f"`{key}` {ktype}, _s double")
     return part.groupBy(key).agg((F.sum("_s") * F.lit(norm)).alias(out))
 
 

@@ -109,3 +109,11 @@ def test_knn_hot_spot_exact_and_adaptive(spark):
     base = math.sqrt(max(4 * 6 / 9, 64 / 4) * 0.4 * 0.3 / 1500)
     fitted = SP._densest_fit(t.select(F.col("longitude").alias("x"), F.col("latitude").alias("y")), "x", "y", base, 256)
     assert fitted < base / 4
+
+
+def test_kde_binned_close_to_exact_on_hot_spot(spark):
+    df = _pts(spark, 1200, 11, "hid", clustered=True)
+    exact = {r.hid: r.density_kde for r in SP.kde2d(df, "hid", "x", "y", exact=True).collect()}
+    binned = {r.hid: r.density_kde for r in SP.kde2d(df, "hid", "x", "y", bin_frac=0.001).collect()}
+    worst = max(abs(binned[h] - exact[h]) / exact[h] for h in exact)
+    assert worst < 9 * 0.001 * 0.71 * 1.5
