@@ -123,3 +123,20 @@ def params_for(df: DataFrame, params: DataFrame, key: str, defaults: dict) -> Da
 def save_params(df: DataFrame, path: str) -> None:
     """S6 write: one JSON line per ``(segment_model, params)``."""
     df.write.mode("overwrite").json(path)
+
+
+def reference_points(spark: SparkSession, path: str | None = None, fallback=None,
+                     lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Reference points (metro stations, coastline vertices) from a cached CSV with
+    ``lat``/``lon`` columns when it exists, else the given literal (lat, lon) list."""
+    from pyspark.errors import AnalysisException
+    if path:
+        try:
+            df = spark.read.schema(f"{lat} double, {lon} double").option("header", True).csv(path)
+            df.schema  # noqa: B018 - resolves the path now
+            return df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+        except AnalysisException:
+            pass
+    if fallback is None:
+        raise ValueError("no point file and no fallback points")
+    return spark.createDataFrame([(float(a), float(b)) for a, b in fallback], f"{lat} double, {lon} double")

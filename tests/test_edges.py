@@ -198,3 +198,12 @@ def test_empty_and_single_row(spark):
     nn = SP.nearest_k(one, "hid", "longitude", "latitude", empty.select(F.col("longitude").alias("x"), F.col("latitude").alias("y")),
                       "x", "y", k=1)
     assert nn.first().nn == []
+
+
+def test_reference_points_file_or_fallback(spark, tmp_path):
+    from tarifa.operators.spatial import FALLBACK_METRO
+    from tarifa.sources.formats import reference_points
+    assert reference_points(spark, str(tmp_path / "missing.csv"), FALLBACK_METRO).count() == 5
+    p = tmp_path / "metro.csv"
+    p.write_text("lat,lon\n-22.9,-43.2\n,-43.1\n-22.8,-43.3\n")
+    assert reference_points(spark, str(p), FALLBACK_METRO).count() == 2
