@@ -1058,12 +1058,44 @@ def m11_huber(spark, sf):
     return m.coefficients(spark)
 
 
-@query("m12_ridge_cv")
+@query("m12_ridge_cv", V.with_views("split_searches") + f"""
+, lf AS (SELECT CAST(anticipation AS DOUBLE) AS x1, CAST(duration AS DOUBLE) AS x2, price_by_night_person AS y,
+                {V.hash_expr('searchid', 'position', 'hid', 'sid')} % 5 AS fold
+         FROM split_searches WHERE split = 'train'),
+fs AS (SELECT fold, CAST(count(*) AS DOUBLE) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11,
+              sum(x1 * x2) AS s12, sum(x2 * x2) AS s22, sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy
+       FROM lf GROUP BY fold),
+tot AS (SELECT sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(sy) AS sy, sum(s11) AS s11, sum(s12) AS s12,
+               sum(s22) AS s22, sum(s1y) AS s1y, sum(s2y) AS s2y FROM fs),
+al AS (SELECT * FROM (VALUES (0.001::DOUBLE), (0.00206913808111479::DOUBLE), (0.004281332398719396::DOUBLE), (0.008858667904100823::DOUBLE), (0.018329807108324356::DOUBLE), (0.0379269019073225::DOUBLE), (0.07847599703514611::DOUBLE), (0.1623776739188721::DOUBLE), (0.3359818286283781::DOUBLE), (0.6951927961775606::DOUBLE), (1.438449888287663::DOUBLE), (2.976351441631316::DOUBLE), (6.158482110660261::DOUBLE), (12.74274985703132::DOUBLE), (26.366508987303554::DOUBLE), (54.555947811685144::DOUBLE), (112.88378916846884::DOUBLE), (233.57214690901213::DOUBLE), (483.2930238571752::DOUBLE), (1000.0::DOUBLE)) t(alpha)),
+trs AS (SELECT fs.fold, al.alpha, tot.n - fs.n AS n, tot.s1 - fs.s1 AS s1, tot.s2 - fs.s2 AS s2, tot.sy - fs.sy AS sy,
+               tot.s11 - fs.s11 AS s11, tot.s12 - fs.s12 AS s12, tot.s22 - fs.s22 AS s22,
+               tot.s1y - fs.s1y AS s1y, tot.s2y - fs.s2y AS s2y FROM fs, tot, al),
+cen AS (SELECT fold, alpha, s1 / n AS m1, s2 / n AS m2, sy / n AS my,
+               s11 - n * (s1 / n) * (s1 / n) + alpha AS a11, s12 - n * (s1 / n) * (s2 / n) AS a12,
+               s22 - n * (s2 / n) * (s2 / n) + alpha AS a22,
+               s1y - n * (s1 / n) * (sy / n) AS r1, s2y - n * (s2 / n) * (sy / n) AS r2 FROM trs),
+sol AS (SELECT fold, alpha, (a22 * r1 - a12 * r2) / (a11 * a22 - a12 * a12) AS w1,
+               (a11 * r2 - a12 * r1) / (a11 * a22 - a12 * a12) AS w2, m1, m2, my FROM cen),
+sol2 AS (SELECT *, my - m1 * w1 - m2 * w2 AS b FROM sol),
+sc AS (SELECT s.alpha, 1 - (f.syy - 2 * s.b * f.sy - 2 * (s.w1 * f.s1y + s.w2 * f.s2y) + f.n * s.b * s.b
+                         + 2 * s.b * (s.w1 * f.s1 + s.w2 * f.s2)
+                         + s.w1 * s.w1 * f.s11 + 2 * s.w1 * s.w2 * f.s12 + s.w2 * s.w2 * f.s22)
+                        / (f.syy - f.sy * f.sy / f.n) AS r2
+       FROM sol2 s JOIN fs f ON s.fold = f.fold),
+best AS (SELECT alpha FROM (SELECT alpha, avg(r2) AS m FROM sc GROUP BY alpha) ORDER BY m DESC, alpha LIMIT 1),
+fin AS (SELECT best.alpha, s11 - n * (s1 / n) * (s1 / n) + best.alpha AS a11, s12 - n * (s1 / n) * (s2 / n) AS a12,
+               s22 - n * (s2 / n) * (s2 / n) + best.alpha AS a22,
+               s1y - n * (s1 / n) * (sy / n) AS r1, s2y - n * (s2 / n) * (sy / n) AS r2 FROM tot, best)
+SELECT alpha, 'x_anticipation' AS feature, ROUND((a22 * r1 - a12 * r2) / (a11 * a22 - a12 * a12), 6) AS coef FROM fin
+UNION ALL
+SELECT alpha, 'x_duration', ROUND((a11 * r2 - a12 * r1) / (a11 * a22 - a12 * a12), 6) FROM fin
+""")
 def m12_ridge_cv(spark, sf):
-    """Rows check: α by 5-fold CV (one grouped Gram pass), refit on all train rows."""
+    """α by 5-fold CV (mean fold R², one grouped Gram pass), refit on all train rows."""
     lf = _lin_frame(spark, sf).filter(F.col("split") == "train")
     m = LIN.ridge_cv(lf, _LIN_FEATS, "y", k=5, key=["searchid", "position", "hid", "sid"])
-    return spark.createDataFrame([(float(m.params["alpha"]), f, float(w)) for f, w in zip(m.features, m.coef)],
+    return spark.createDataFrame([(float(m.params["alpha"]), f, round(float(w), 6)) for f, w in zip(m.features, m.coef)],
                                  "alpha double, feature string, coef double")
 
 
