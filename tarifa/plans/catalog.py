@@ -1528,3 +1528,25 @@ SELECT split, count(DISTINCT searchid) AS sessions, count(*) AS n_rows FROM sear
 def u3_session_split_exact(spark, sf):
     s = R.session_split_exact(D.searches(spark, sf), "searchid")
     return s.groupBy("split").agg(F.count_distinct("searchid").alias("sessions"), F.count(F.lit(1)).alias("n_rows"))
+
+
+
+@query("t8_scaled_pca_2d", V.with_views("split_searches") + """
+, tr AS (SELECT CAST(anticipation AS DOUBLE) AS x1, coalesce(numberOfRooms, 0.0) AS x2 FROM split_searches WHERE split = 'train'),
+st AS (SELECT avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS sd1, stddev_pop(x2) AS sd2,
+              covar_pop(x1, x2) / (stddev_pop(x1) * stddev_pop(x2)) AS r FROM tr),
+z AS (SELECT s.searchid, s.position, s.hid, s.sid, (CAST(s.anticipation AS DOUBLE) - st.m1) / st.sd1 AS z1,
+             (coalesce(s.numberOfRooms, 0.0) - st.m2) / st.sd2 AS z2, st.r
+      FROM split_searches s, st WHERE s.split = 'test')
+SELECT searchid, position, hid, sid,
+       ROUND(CASE WHEN r >= 0 THEN (z1 + z2) ELSE (z1 - z2) END / sqrt(2.0), 6) AS pca_1,
+       ROUND(CASE WHEN r >= 0 THEN (z1 - z2) ELSE (z1 + z2) END / sqrt(2.0), 6) AS pca_2
+FROM z
+""")
+def t8_scaled_pca_2d(spark, sf):
+    """Two standardised features: the components are (1, ±1)/√2, so DuckDB can check it."""
+    d = VW.split_searches(spark, sf).select(*_KEYS, "split", F.col("anticipation").cast("double").alias("x1"),
+                                            F.coalesce(F.col("numberOfRooms"), F.lit(0.0)).alias("x2"))
+    p = scaled_pca(d.filter(F.col("split") == "train"), ["x1", "x2"], 2)
+    out = p.transform(d.filter(F.col("split") == "test"))
+    return out.select(*_KEYS, r6("pca_1").alias("pca_1"), r6("pca_2").alias("pca_2"))
