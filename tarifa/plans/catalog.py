@@ -1550,3 +1550,15 @@ def t8_scaled_pca_2d(spark, sf):
     p = scaled_pca(d.filter(F.col("split") == "train"), ["x1", "x2"], 2)
     out = p.transform(d.filter(F.col("split") == "test"))
     return out.select(*_KEYS, r6("pca_1").alias("pca_1"), r6("pca_2").alias("pca_2"))
+
+
+@query("st_linear_scoring_stream", _LIN_SQL + """
+SELECT l.searchid, l.position, l.hid, l.sid, ROUND(coef.b + coef.w1 * l.x1 + coef.w2 * l.x2, 6) AS prediction
+FROM lf l, coef
+""")
+def st_linear_scoring_stream(spark, sf):
+    """The m10 ridge model (fitted in batch on train rows) scoring streamed search rows."""
+    _, m = _ridge_model(spark, sf)
+    scored = STR.score_stream(STR.search_rows_stream(spark, sf), m)
+    out = STR.run_available(scored.select(*_KEYS, "prediction"), "scoring")
+    return out.select(*_KEYS, r6("prediction").alias("prediction"))

@@ -41,3 +41,22 @@ def temporal_stream(spark: SparkSession, folder: str, pattern: str = "events.par
     rows = ev.select(F.col("event_id").alias("row_id"), F.col("ts").alias("date"),
                      (F.col("event_id") % 60).cast("int").alias("anticipation"))
     return TM.temporal_features(rows)
+
+
+def score_stream(stream: DataFrame, model, out: str = "prediction") -> DataFrame:
+    """R1 on a stream: a fitted Column-level model (linear, rules) scores each micro-batch."""
+    return model.transform(stream, out)
+
+
+def search_rows_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Search rows as a stream: ``lineitem`` files streamed, ``orders`` joined as a static
+    table (stream-static equi-join, no state)."""
+    from pyspark.sql import functions as F
+    li = stream_table(spark, folder, "lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    od = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_orderdate")
+    j = li.join(od, li.l_orderkey == od.o_orderkey)
+    return j.select(F.col("l_orderkey").alias("searchid"), F.col("l_linenumber").cast("int").alias("position"),
+                    F.col("l_partkey").alias("hid"), F.col("l_suppkey").alias("sid"),
+                    (F.col("l_linenumber") * 9).cast("double").alias("x_anticipation"),
+                    (1 + F.col("l_orderkey") % 7).cast("double").alias("x_duration"))
