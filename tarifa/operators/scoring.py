@@ -70,3 +70,36 @@ def load_bundle(spark: SparkSession, path: str) -> MoEBundle:
         cls = getattr(reg, info["class"])
         models[seg] = _SparkMLExpert(manifest["features"], cls.load(f"{path}/{info['dir']}"))
     return MoEBundle(manifest["features"], models, manifest["log_target"], manifest["family"], manifest.get("meta", {}))
+
+
+def save_flat_stack(spark: SparkSession, stack, path: str) -> None:
+    """S8 for the flat stack: base models as Spark ML directories; PCA (means, sds,
+    components) and meta coefficients in the manifest, with the log-target flag."""
+    manifest = {"kind": "flat_stack", "features": stack.features, "log_target": stack.log_target,
+                "bases": {}, "pca": {"features": stack.pca.features, "mean": list(map(float, stack.pca.mean)),
+                                     "sd": list(map(float, stack.pca.sd)),
+                                     "components": [list(map(float, c)) for c in stack.pca.components],
+                                     "prefix": stack.pca.prefix},
+                "meta": {"features": stack.meta.features, "coef": list(map(float, stack.meta.coef)),
+                         "intercept": float(stack.meta.intercept)}}
+    for i, (name, m) in enumerate(stack.bases.items()):
+        sub = f"base_{i}"
+        m.model.write().overwrite().save(f"{path}/{sub}")
+        manifest["bases"][name] = {"dir": sub, "class": type(m.model).__name__}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").write.mode("overwrite").text(f"{path}/manifest")
+
+
+def load_flat_stack(spark: SparkSession, path: str):
+    import numpy as np
+    from pyspark.ml import regression as reg
+    from .linear import LinearModel
+    from .pca import ScaledPCAModel
+    from .stacking import FlatStack
+    mf = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    bases = {name: _SparkMLExpert(mf["features"], getattr(reg, b["class"]).load(f"{path}/{b['dir']}"))
+             for name, b in mf["bases"].items()}
+    p = mf["pca"]
+    pca = ScaledPCAModel(p["features"], np.array(p["mean"]), np.array(p["sd"]), np.array(p["components"]),
+                         np.zeros(len(p["components"])), p["prefix"])
+    meta = LinearModel(mf["meta"]["features"], np.array(mf["meta"]["coef"]), mf["meta"]["intercept"])
+    return FlatStack(bases, pca, meta, mf["features"], mf["log_target"])
