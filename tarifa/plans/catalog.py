@@ -1562,3 +1562,15 @@ def st_linear_scoring_stream(spark, sf):
     scored = STR.score_stream(STR.search_rows_stream(spark, sf), m)
     out = STR.run_available(scored.select(*_KEYS, "prediction"), "scoring")
     return out.select(*_KEYS, r6("prediction").alias("prediction"))
+
+
+@query("r6_tree_attributions")
+def r6_tree_attributions(spark, sf):
+    """Rows check: additive path attributions of a boosted-tree model on 500 sampled test
+    rows, summarised as the top-5 mean |attribution| (A12)."""
+    d = _expert_frame(spark, sf)
+    m = BO.fit_expert(d.filter(F.col("split") == "train"), _EXPERT_FEATS, "price_by_night_person",
+                      BO.ExpertSpec("gbt", {"rounds": 10, "depth": 4}))
+    att = EX.tree_attributions(d.filter(F.col("split") == "test"), m, _KEYS, sample=500)
+    s = R.attribution_summary(att, k=5)
+    return s.select("feature", r6("mean_abs").alias("mean_abs"))
