@@ -204,7 +204,7 @@ def _topk_kernel(metric: str, k: int, qkey: str, tie: str | None, payload):
 def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame, px: str, py: str,
               k: int, payload=(), tie: str | None = None, metric: str = "euclid",
               cell: float | None = None, qchunk: int = 256, chunk: int = 2048,
-              small_points: int = SMALL_POINTS, out: str = "nn") -> DataFrame:
+              small_points: int = SMALL_POINTS, out: str = "nn", min_points: int = 0) -> DataFrame:
     """For each query row ``(qkey, …)``: ``out`` = the k nearest points as an array of
     ``struct(rd, tie, d, payload…)`` sorted by (round(d, 9), tie). Exact."""
     payload = list(payload)
@@ -217,6 +217,10 @@ def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame
         .persist(StorageLevel.MEMORY_AND_DISK)
     pts = points.select(F.col(px).alias("px"), F.col(py).alias("py"), *payload).persist(StorageLevel.MEMORY_AND_DISK)
     info = _extent(q, "qx", "qy", pts, "px", "py")
+    if info["n_points"] < min_points:
+        q.unpersist()
+        pts.unpersist()
+        raise ValueError(f"need at least {min_points} points, got {info['n_points']}")
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     ktype = dict((f.name, f.dataType.simpleString()) for f in queries.schema.fields)[qkey]
     fields = ["rd double"] + ([f"tie {types[tie]}"] if tie else []) + ["d double"] + \
@@ -302,15 +306,10 @@ def knn_features(query: DataFrame, train: DataFrame, key: str = "hid", x: str =
     k nearest train hotels. The first neighbour is skipped when closer than ``self_eps``
     (the hotel itself, or a co-located train hotel). Ties order by (distance, key)."""
     kmax = max(ks) + 1
-    if min_train is None:
-        min_train = kmax
-    n_train = train.count()
-    if n_train < min_train:
-        raise ValueError(f"kNN features need at least {min_train} train hotels, got {n_train}")
     qk = query_key or key
     tr = train.select(F.col(key).alias("_tk"), F.col(x), F.col(y), F.col(price).alias("_price"))
     nn = nearest_k(query.select(qk, x, y), qk, x, y, tr, x, y, k=kmax, payload=["_price"],
-                   tie="_tk", metric="euclid", out="_nn", **kw)
+                   tie="_tk", metric="euclid", out="_nn", min_points=kmax if min_train is None else min_train, **kw)
     skip = F.when(F.element_at("_nn", 1)["d"] < F.lit(self_eps), 2).otherwise(1)
     cols = []
     for k in ks:
