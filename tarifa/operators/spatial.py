@@ -367,6 +367,8 @@ def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
     Pairs are evaluated per (query block, point block) with NumPy; with ``exact`` (or few
     points) every block meets every block, otherwise only blocks of neighbouring cells of
     side ``cutoff`` in whitened coordinates (a dropped term is below exp(-cutoff²/2))."""
+    # the input feeds the fit and both block sides: derive it once
+    df = df.select(key, x, y).persist(StorageLevel.MEMORY_AND_DISK)
     st = kde_fit(df, x, y)
     ixx, iyy, ixy, norm = st["ixx"], st["iyy"], st["ixy"], st["norm"]
     ktype = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)[key]
@@ -397,7 +399,10 @@ def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
     pairs = _block_pairs(w, "u", "v", ["key", "ox", "oy"], pts, "u", "v",
                          payload, cell, qchunk, chunk, n_pts, st["n"])
     part = pairs.mapInPandas(_kde_kernel(ixx, iyy, ixy, key, weighted=bool(bin_frac)), f"`{key}` {ktype}, _s double")
-    return part.groupBy(key).agg((F.sum("_s") * F.lit(norm)).alias(out))
+    # materialised here so the persisted input can be released
+    res = part.groupBy(key).agg((F.sum("_s") * F.lit(norm)).alias(out)).transform(_ckpt)
+    df.unpersist()
+    return res
 
 
 # ------------------------------------------------------------------ J9 nearest area
