@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from . import chat, exact, sharding
+import public_tokenizers
+
+from . import bpe, chat, exact, quality, rans, sharding, simhash
 from .common import table
 
 
+def op1_simhash_near_dedup(spark, sf_dir):
+    return simhash.fingerprint_groups(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_token_output(spark, sf_dir):
+    return rans.file_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_byte_bpe(spark, sf_dir):
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                       public_tokenizers.PATTERN)
+
+
 def op5_chat_formatting(spark, sf_dir):
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
@@ -18,7 +37,9 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op8_exact_dedup, op9_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op8_exact_dedup,
+    op9_sharding)}
 
 ORACLE = {
     "op5_chat_formatting": chat.SQL,
