@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, exact, quality, rans, sharding, simhash
+from . import bpe, chat, exact, quality, rans, sharding, simhash, substring
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_chat_formatting(spark, sf_dir):
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op7_substring_dedup(spark, sf_dir):
+    return substring.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,8 @@ def op9_sharding(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op8_exact_dedup,
-    op9_sharding)}
+    op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op7_substring_dedup,
+    op8_exact_dedup, op9_sharding)}
 
 ORACLE = {
     "op5_chat_formatting": chat.SQL,
