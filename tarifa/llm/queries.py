@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, exact, quality, rans, sharding, simhash, substring
+from . import bpe, chat, decontam, exact, quality, rans, sharding, simhash, substring
 from .common import table
 
 
@@ -41,9 +41,13 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontam.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op7_substring_dedup,
-    op8_exact_dedup, op9_sharding)}
+    op8_exact_dedup, op9_sharding, op10_decontamination)}
 
 ORACLE = {
     "op5_chat_formatting": chat.SQL,
