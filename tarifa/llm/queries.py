@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, exact, quality, rans, sharding, simhash, substring
+from . import bpe, chat, decontam, exact, pagetext, quality, rans, sharding, simhash, substring
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_chat_formatting(spark, sf_dir):
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op6_html_extraction(spark, sf_dir):
+    return pagetext.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark, sf_dir):
     return substring.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op7_substring_dedup,
+    op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op6_html_extraction, op7_substring_dedup,
     op8_exact_dedup, op9_sharding, op10_decontamination)}
 
 ORACLE = {
