@@ -49,9 +49,16 @@ def op10_decontamination(spark, sf_dir):
     return decontam.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op6_html_extraction, op7_substring_dedup,
-    op8_exact_dedup, op9_sharding, op10_decontamination)}
+    op8_exact_dedup, op9_sharding, op10_decontamination,
+    pipeline)}
 
 ORACLE = {
     "op5_chat_formatting": chat.SQL,
