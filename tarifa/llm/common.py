@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarifa.session import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["checkpoint", "prefix_sum", "scratch_path", "table"]
+__all__ = ["checkpoint", "key_filter", "maybe_in", "prefix_sum", "scratch_path", "table"]
+
+MAX_FILTER_BITS = 1 << 27   # proven bound of a broadcast key filter: 16 MB
+PROBES = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +26,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def prefix_sum(df: DataFrame, keys: list[str], value: str | None, order: list[str], out: str,
-               buckets: int = 4096) -> DataFrame:
+               buckets: int = 4096, first: Column | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` (1 when None) over the rows of the same ``keys`` that come
     earlier. The order is by a hash bucket of ``order``, then by ``order``, so no key is sorted in one
     task: a window only ever sees one bucket of one key, and the bucket totals (at most ``buckets``
-    rows a key) give each bucket its offset."""
+    rows a key and class) give each bucket its offset. ``first``: a class (0, 1, ..) that goes before all else."""
     val = F.lit(1).cast("long") if value is None else F.col(value).cast("long")
-    d = df.withColumn("__v", val).withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
+    d = df.withColumn("__v", val).withColumn("__b", bucket if first is None else first.cast("int") * buckets + bucket)
     by_key = Window.partitionBy(*keys).orderBy("__b") if keys else Window.partitionBy(F.lit(0)).orderBy("__b")
     off = (d.groupBy(*keys, "__b").agg(F.sum("__v").alias("__t"))
            .withColumn("__o", F.sum("__t").over(by_key.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")))
@@ -40,3 +45,30 @@ def prefix_sum(df: DataFrame, keys: list[str], value: str | None, order: list[st
     inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn(out, F.col("__o") + F.sum("__v").over(inside) - F.col("__v"))
     return d.drop("__v", "__b", "__ob", "__o", *[f"__k_{k}" for k in keys])
+
+
+def key_filter(keys: DataFrame, count: int, bits_per_key: int = 16, max_bits: int = MAX_FILTER_BITS):
+    """A broadcast Bloom filter of the one long column of ``keys``: no false negatives, at most ``max_bits`` bits; with more
+    than ``max_bits / bits_per_key`` keys it rules out less, and what it lets through still has to be joined. The slots
+    (key + i * step) mod bits are set by an aggregation, so the driver receives the bits only."""
+    bits = int(min(max_bits, max(1 << 16, 1 << (bits_per_key * max(count, 1) - 1).bit_length())))
+    key, low = F.col(keys.columns[0]), lambda c: c.bitwiseAND(F.lit(bits - 1).cast("long"))
+    step = F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1).cast("long"))
+    slots = F.explode(F.array(*[low(low(key) + F.lit(i) * low(step)) for i in range(PROBES)]))
+    words = (keys.select(slots.alias("s")).groupBy(F.shiftright("s", 5).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("b")))
+    table = np.zeros(bits // 8, np.uint8)
+    view = table.view("<u4")
+    for r in words.toLocalIterator():
+        view[r["w"]] = r["b"]
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def maybe_in(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the keys (unsigned 64-bit) that the filter does not rule out."""
+    at, low = np.arange(len(keys)), np.uint64(len(bits) * 8 - 1)
+    for i in range(PROBES):
+        h = keys[at]
+        p = ((h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & low).astype(np.int64)
+        at = at[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+    return at

@@ -10,17 +10,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, key_filter, maybe_in
 from .substring import _windows
 
 SEED_WORDS = 4
-RARE_SHARE = 0.5         # of an item's seeds, those found in the fewest passages start an alignment
-RARE_LEAST = 8           # but at least so many
+RARE_TIMES = 4           # a seed is rare if found in at most so many times the passages of its item's median seed,
+RARE_LEAST = 16          # or in at most so many at all
 SCORE = 0.5              # of the score of the whole item found unchanged
 MATCH, MISS, GAP = 2, -1, -1
-BITS_PER_SEED = 64
-MAX_BITS = 1 << 27       # proven bound of the broadcast seed filter: 16 MB
-PROBES = 4
+BITS_PER_SEED = 64       # of the broadcast seed filter; its size is bounded
 BLOCK = 1 << 20          # bytes of text looked at together
 
 # Words: letters in lower case; ASCII white space and punctuation part them.
@@ -36,23 +34,6 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter((digest(w) for w in words), np.uint64)
 
 
-def _probes(h: np.ndarray, bits: int):
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((h + np.uint64(i) * step) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _maybe(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Places of the hashes that the filter does not rule out."""
-    at = np.arange(len(h))
-    for i in range(PROBES):
-        if not len(at):
-            break
-        p = list(itertools.islice(_probes(h[at], len(table) * 8), i, i + 1))[0]
-        at = at[(table[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
-    return at
-
-
 def item_seeds(benchmark: DataFrame, n: int = SEED_WORDS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item, words, n_words, hashes (distinct n-gram hashes as longs). Rows without words are left out."""
     def run(batches):
@@ -68,23 +49,6 @@ def item_seeds(benchmark: DataFrame, n: int = SEED_WORDS, id_col: str = "item_id
             .mapInArrow(run, f"item {kind}, words string, n_words long, hashes array<long>").where("n_words > 0"))
 
 
-def _seed_filter(seeds: DataFrame, count: int) -> np.ndarray:
-    """Bits of all seeds. Tasks set them apart; what reaches the driver are at most MAX_BITS bits."""
-    bits = int(min(MAX_BITS, max(1 << 16, 1 << (BITS_PER_SEED * max(count, 1) - 1).bit_length())))
-    spark = seeds.sparkSession
-    table = np.zeros(bits // 8, np.uint8)
-    step = F.shiftrightunsigned("hash", 32).bitwiseOR(F.lit(1).cast("long"))
-    # Written with native functions: slot = (hash + i * step) mod bits, in wrapping arithmetic on the low bits.
-    low = lambda c: c.bitwiseAND(F.lit(bits - 1).cast("long"))
-    slots = F.explode(F.array(*[low(low(F.col("hash")) + F.lit(i) * low(step)) for i in range(PROBES)]))
-    words = (seeds.select(slots.alias("s")).groupBy(F.shiftright("s", 5).alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("b")))
-    view = table.view("<u4")
-    for r in words.toLocalIterator():
-        view[r["w"]] = r["b"]
-    return spark.sparkContext.broadcast(table)
-
-
 def passages(docs: DataFrame, shared, reach: int, n: int = SEED_WORDS) -> DataFrame:
     """``docs`` (id, key, text): one row per stretch of words around seed hits: id, key, start, words, hashes.
 
@@ -106,7 +70,7 @@ def passages(docs: DataFrame, shared, reach: int, n: int = SEED_WORDS) -> DataFr
         count = np.array([len(w) for w in words], np.int64)
         end = np.cumsum(count)
         grams = _windows(_hashes(itertools.chain.from_iterable(words)), n)
-        at = _maybe(grams, table)
+        at = maybe_in(grams, table)
         doc = np.searchsorted(end, at, side="right")
         ok = at + n <= end[doc]
         at, doc = at[ok], doc[ok]
@@ -159,9 +123,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per (row of ``docs``, benchmark item) whose best alignment scores ``threshold`` of the whole item or more:
     id, key, item, score, first_word, end_word (places among the document's words).
 
-    Seeds are the ``n``-grams of an item; of these the rarer half, counted over the passages of all documents, start
-    alignments, so a phrase common in the corpus doesn't. The rank is within an item: an item copied into a third of all
-    documents keeps half of its seeds. A document found several times for an item is reported with its best passage.
+    Seeds are the ``n``-grams of an item; the rare ones, counted over the passages of all documents, start alignments, so
+    a phrase common in the corpus doesn't. Rare is measured against the item's other seeds: an item copied into a third of
+    all documents keeps them all. A document found several times for an item is reported with its best passage.
     Null or empty texts match nothing, nor do items of fewer than ``n`` words; rows that repeat an id are told apart by
     their text; equal rows are reported once. Items repeated under one item_id count as one item each. Empty tables give
     no rows."""
@@ -171,14 +135,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     seeds = items.select("ref", F.explode("hashes").alias("hash"))
     distinct = seeds.select("hash").distinct()
     reach = int((items.agg(F.max("n_words")).first()[0] or 0) * 1.25) + 8
-    shared = _seed_filter(distinct, seeds.count())
+    shared = key_filter(distinct, seeds.count(), BITS_PER_SEED)
     found = checkpoint(passages(keyed, shared, reach, n))
     hits = found.select("key", "start", F.explode("hashes").alias("hash"))
     seen = hits.groupBy("hash").agg(F.count("*").alias("df"))
-    by_item = Window.partitionBy("ref")
-    rare = checkpoint(seeds.join(seen, "hash").withColumn("r", F.row_number().over(by_item.orderBy("df", "hash")))
-                      .join(items.select("ref", F.size("hashes").alias("all")), "ref")
-                      .where((F.col("r") <= RARE_LEAST) | (F.col("r") <= RARE_SHARE * F.col("all"))).select("hash", "ref"))
+    found_seeds = seeds.join(seen, "hash").withColumn("usual", F.percentile("df", 0.5).over(Window.partitionBy("ref")))
+    rare = checkpoint(found_seeds.where((F.col("df") <= RARE_LEAST) | (F.col("df") <= RARE_TIMES * F.col("usual"))).select("hash", "ref"))
     pairs = checkpoint(hits.join(rare, "hash").select("key", "start", "ref").distinct())
     texts = (pairs.join(found.select("id", "key", "start", "words"), ["key", "start"])
              .join(items.select("ref", "item", F.col("words").alias("item_words")), "ref")
