@@ -12,29 +12,48 @@ def _pick(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), index + 1)
 
 
+def _quotas(asked: dict, room: list[int]) -> dict:
+    """Documents that may move per (from, to): as many as ask to go the other way, and what room there is."""
+    quota = {k: min(n, asked.get((k[1], k[0]), 0)) for k, n in asked.items()}
+    left = list(room)
+    for (a, b), n in sorted(asked.items()):
+        more = min(n - quota[a, b], max(0, left[b]))
+        quota[a, b] += more
+        left[b] -= more
+    return quota
+
+
 def propagate(cells: DataFrame, targets: list[int], rounds: int) -> DataFrame:
     """``cells`` (grp, shard, c): how many documents of a group a shard holds. Documents of one cell are
     alike, so a hot group is at most one row per shard.
 
-    In each round every group looks at the shards of its members and asks to move each cell to the
-    fullest of them that still has room; a shard admits requests up to its quota, its target less the
-    linked documents it holds (unlinked documents make way). Requests to a shard are admitted in hash
-    order by a distributed running sum; the last may be admitted in part. Ends when nothing moves."""
-    shards = len(targets)
-    for _ in range(rounds):
+    In each round every group looks at the shards of its members and asks to move its smaller cells to the
+    fullest; every other round only shards with room count, else swaps with documents that want to go the
+    other way are possible too. Quotas per pair of shards keep each shard within its target (documents without
+    links make way). Requests of a pair are admitted, larger gains first, by a distributed running sum; the
+    last may be admitted in part. Ends when two rounds in a row move nothing."""
+    shards, idle = len(targets), 0
+    group = Window.partitionBy("grp")
+    for turn in range(rounds):
         held = {r["shard"]: r["c"] for r in cells.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # one row a shard
         room = [targets[s] - held.get(s, 0) for s in range(shards)]
         rank = F.struct(F.col("c"), F.xxhash64("grp", "shard").alias("tie"), F.col("shard").alias("to"))
-        group = Window.partitionBy("grp")
-        asks = (cells.withColumn("rank", rank)
-                .withColumn("best", F.max(F.when(_pick(room, F.col("shard")) > 0, F.col("rank"))).over(group))
-                .where(F.col("best").isNotNull() & (F.col("rank") < F.col("best")))
-                .select("grp", "shard", "c", F.col("best.to").alias("to")))
-        asks = prefix_sum(asks, ["to"], "c", ["grp", "shard"], "ahead")
-        moves = checkpoint(asks.withColumn("m", F.least(F.col("c"), _pick(room, F.col("to")) - F.col("ahead")))
-                           .where("m > 0").select("grp", "shard", "to", "m"))
-        if moves.isEmpty():
-            break
+        may = _pick(room, F.col("shard")) > 0 if turn % 2 == 0 else F.lit(True)
+        asks = checkpoint(cells.withColumn("rank", rank).withColumn("best", F.max(F.when(may, F.col("rank"))).over(group))
+                          .where(F.col("best").isNotNull() & (F.col("rank") < F.col("best")))
+                          .select("grp", "shard", "c", F.col("best.to").alias("to"), F.col("best.c").alias("gain")))
+        asked = {(r["shard"], r["to"]): r["n"] for r in asks.groupBy("shard", "to").agg(F.sum("c").alias("n")).collect()}  # shards^2
+        quota = _quotas(asked, room)
+        if not any(quota.values()):
+            idle += 1
+            if idle == 2:
+                break
+            continue
+        idle = 0
+        limit = F.element_at(F.create_map(*[x for (a, b), q in quota.items() for x in (F.lit(a * shards + b), F.lit(q).cast("long"))]),
+                             F.col("shard") * shards + F.col("to"))
+        asks = prefix_sum(asks, ["shard", "to"], "c", ["grp"], "ahead", 256, 63 - F.least(F.lit(63), F.floor(F.log2("gain"))))
+        moves = checkpoint(asks.withColumn("m", F.least(F.col("c"), limit - F.col("ahead"))).where("m > 0").select("grp", "shard", "to", "m"))
         cells = checkpoint(cells.select("grp", "shard", "c")
                            .unionByName(moves.select("grp", "shard", (-F.col("m")).alias("c")))
                            .unionByName(moves.select("grp", F.col("to").alias("shard"), F.col("m").alias("c")))
@@ -42,7 +61,7 @@ def propagate(cells: DataFrame, targets: list[int], rounds: int) -> DataFrame:
     return cells
 
 
-def shard_rows(df: DataFrame, group_col: str, order_cols: list[str], shards: int = 24, rounds: int = 6) -> DataFrame:
+def shard_rows(df: DataFrame, group_col: str, order_cols: list[str], shards: int = 24, rounds: int = 10) -> DataFrame:
     """``df`` with ``shard`` (0..shards-1) and ``slot`` (gapless from 0 in each shard).
 
     Shard sizes in rows differ by at most one. Rows with the same ``group_col`` are linked; as few groups
@@ -80,7 +99,7 @@ def shard_rows(df: DataFrame, group_col: str, order_cols: list[str], shards: int
     return prefix_sum(checkpoint(own.unionByName(rest)), ["shard"], None, order_cols, "slot")
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 10) -> DataFrame:
     """Documents in ``shards`` shards under the law ``rows``; equal texts (null: empty) are linked.
     Returns doc_id, size (UTF-8 bytes + 8), text_crc32, law, shard, slot, grown_shard (null)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
