@@ -240,6 +240,9 @@ def test_merge_long_and_lower_ranks():
         for _ in range(60):
             t = "".join(rng.choice("abcdz") for _ in range(n))
             assert bpe.merge(t.encode(), ranks | {b"zzzz": 258}) == enc.encode_ordinary(t)
+    many = ["".join(rng.choice("abcdz") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    got = bpe.merge_many([t.encode() for t in many], ranks, bpe.Table(ranks))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [bpe.merge(t.encode(), ranks) for t in many]
 
 
 # --- chat -------------------------------------------------------------------------------------------------------
