@@ -29,6 +29,20 @@ def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, coun
     [lo, hi] hold ranks below … below + count − 1. Bucketing by floor((v − lo)/width) is
     monotone in v, so each bucket is a contiguous run of the sorted values and its own
     min / max bound exactly its values."""
+    for edge in (-math.inf, math.inf):            # infinities have no place in an equal-width histogram
+        if edge in (lo, hi):
+            at = df.filter((F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi)))
+            st = at.agg(F.count_if(F.col(col) == F.lit(edge)).alias("e"), F.min(F.when(F.col(col) > F.lit(-math.inf), F.col(col))).alias("mn"),
+                        F.max(F.when(F.col(col) < F.lit(math.inf), F.col(col))).alias("mx")).first()
+            if edge < 0:
+                if k - below < st["e"]:
+                    return edge
+                lo, below = st["mn"], below + st["e"]
+            else:
+                if k - below >= count - st["e"]:
+                    return edge
+                hi = st["mx"]
+            count -= st["e"]
     while True:
         if lo == hi:
             return lo
@@ -36,16 +50,21 @@ def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, coun
         if count <= collect_limit:
             vals = sorted(r[0] for r in inb.select(col).collect())
             return vals[k - below]
-        width = (hi - lo) / bins
-        b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(bins - 1))
+        width = hi / bins - lo / bins             # not (hi - lo) / bins, which may overflow
+        b = F.least(F.floor(F.col(col) / F.lit(width) - F.lit(lo) / F.lit(width)).cast("long"), F.lit(bins - 1)) if width > 0 else F.col(col)
         hist = sorted(tuple(r) for r in inb.groupBy(b.alias("b")).agg(
             F.count(F.lit(1)).alias("c"), F.min(col).alias("mn"), F.max(col).alias("mx")).collect())
-        acc = below
+        acc, before = below, (lo, hi, count)
         for _, c, mn, mx in hist:
             if acc + c > k:
                 lo, hi, below, count = mn, mx, acc, c
                 break
             acc += c
+        if (lo, hi, count) == before:             # neighbouring floats: split by value
+            for v, c in sorted(tuple(r) for r in inb.groupBy(col).agg(F.count(F.lit(1))).collect()):
+                if acc + c > k:
+                    return v
+                acc += c
 
 
 def exact_quantiles(df: DataFrame, col: str, qs, bins: int = 4096, collect_limit: int = 100_000) -> dict:
@@ -65,7 +84,7 @@ def exact_quantiles(df: DataFrame, col: str, qs, bins: int = 4096, collect_limit
             if r not in cache:
                 cache[r] = _kth(d, "v", r, st["mn"], st["mx"], 0, n, bins, collect_limit)
         lo_v, hi_v = cache[r_lo], cache[r_hi]
-        out[q] = lo_v + (hi_v - lo_v) * (pos - r_lo)
+        out[q] = lo_v if lo_v == hi_v or pos == r_lo else lo_v + (hi_v - lo_v) * (pos - r_lo)
     d.unpersist()
     return out
 
@@ -88,7 +107,7 @@ def exact_medians(df: DataFrame, cols, **kw) -> DataFrame:
 
 def nearest_rank(df: DataFrame, col: str, q: float, **kw):
     """Value at sorted index round(q·(n−1)) (the 'nearest' interpolation)."""
-    d = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    d = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     st = d.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).first()
     if st["n"] == 0:
         return None

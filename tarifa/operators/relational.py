@@ -109,8 +109,10 @@ def join_hotels(searches: DataFrame, amen: DataFrame) -> DataFrame:
 
 
 def semi(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """Membership filter as a left-semi join."""
-    return df.join(keys, on=on, how="left_semi")
+    """Membership filter as a left-semi join. The keys are made distinct first (map-side combine),
+    so a key that holds a third of the right rows reaches the join once."""
+    names = [on] if isinstance(on, str) else list(on)
+    return df.join(keys.select(*names).distinct(), on=names, how="left_semi")
 
 
 # ---------------------------------------------------------------- aggregations
@@ -173,22 +175,21 @@ def largest_segment(df: DataFrame, key: str) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, y: str, preds, by=None) -> DataFrame:
-    """MAE, MSE, RMSE, R² per model in one pass: predictions are unpivoted into
-    ``(model, pred)`` rows and aggregated together with the label moments."""
+    """MAE, MSE, RMSE, R² per model in one wide aggregate, its row(s) then unpivoted. A model is
+    judged on the rows where both its prediction and the label are present; ``n`` counts those."""
     by = list(by or [])
-    long = df.select(*by, F.col(y).alias("_y"), F.explode(F.array(*[
-        F.struct(F.lit(p).alias("model"), F.col(p).cast("double").alias("pred")) for p in preds])).alias("_p"))
-    long = long.select(*by, "_y", "_p.model", "_p.pred")
-    err = F.col("pred") - F.col("_y")
-    agg = long.groupBy(*by, "model").agg(
-        F.avg(F.abs(err)).alias("mae"),
-        F.avg(err * err).alias("mse"),
-        F.sum(err * err).alias("_sse"),
-        (F.sum(F.col("_y") * F.col("_y")) - F.sum("_y") * F.sum("_y") / F.count(F.lit(1))).alias("_sst"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return agg.select(*by, "model", "n", "mae", "mse", F.sqrt("mse").alias("rmse"),
-                      (1 - F.try_divide(F.col("_sse"), F.col("_sst"))).alias("r2"))
+    preds = list(preds)
+    aggs = []
+    for i, p in enumerate(preds):
+        err = F.col(p).cast("double") - F.col(y)
+        aggs += [F.count(err).alias(f"_n{i}"), F.avg(F.abs(err)).alias(f"_a{i}"), F.avg(err * err).alias(f"_s{i}"),
+                 F.var_pop(F.when(err.isNotNull(), F.col(y))).alias(f"_v{i}")]
+    wide = df.groupBy(*by).agg(*aggs)
+    rows = wide.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(p).alias("model"), F.col(f"_n{i}").alias("n"), F.col(f"_a{i}").alias("mae"), F.col(f"_s{i}").alias("mse"),
+                 F.col(f"_v{i}").alias("var")) for i, p in enumerate(preds)])).alias("_m"))
+    return rows.select(*by, "_m.model", "_m.n", "_m.mae", "_m.mse", F.sqrt("_m.mse").alias("rmse"),
+                       (1 - F.try_divide(F.col("_m.mse"), F.col("_m.var"))).alias("r2")).where("n > 0")
 
 
 def distance_summary(df: DataFrame, col: str, q: float = 0.9, interpolation: str = "nearest") -> DataFrame:
@@ -299,13 +300,29 @@ def session_split(df: DataFrame, key: str = "searchid", fracs=(70, 15, 15), out:
                          .when(b < fracs[0] + fracs[1], "val").otherwise("test"))
 
 
+TOP_K = 10_000
+
+
 def sample_n(df: DataFrame, n: int, key, seed: int = 42, tiebreak=()) -> DataFrame:
-    """U4: a stable sample of exactly ``min(n, rows)`` rows: the n smallest seeded key hashes.
-    ``orderBy().limit()`` runs as a distributed top-k (each task keeps n, then merges)."""
+    """U4: a stable sample of exactly ``min(n, rows)`` rows: the n smallest seeded key hashes. Up to
+    TOP_K rows are a top-k, where each task hands on at most n; for more, the n-th hash is located by
+    histogram passes and rows are filtered against it, so no task merges the sample."""
     keys = [key] if isinstance(key, str) else list(key)
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"),
                                              *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
-    return df.withColumn("_h", h).orderBy("_h", *keys, *tiebreak).limit(n).drop("_h")
+    d = df.withColumn("_h", h)
+    if n <= TOP_K:
+        return d.orderBy("_h", *keys, *tiebreak).limit(n).drop("_h")
+    from .quantiles import _kth
+    st = d.agg(F.count(F.lit(1)).alias("n"), F.min("_h").alias("mn"), F.max("_h").alias("mx")).first()
+    if st["n"] <= n:
+        return df
+    cut = int(_kth(d.select(F.col("_h").cast("double").alias("_h")), "_h", n - 1, float(st["mn"]), float(st["mx"]),
+                   0, st["n"], 4096, 100_000))
+    below = d.filter(F.col("_h") < F.lit(cut))
+    # rows with exactly the n-th hash are few
+    ties = d.filter(F.col("_h") == F.lit(cut)).orderBy(*keys, *tiebreak).limit(n - below.count())
+    return below.unionByName(ties).drop("_h")
 
 
 def assign_folds(df: DataFrame, k: int, key, group: str | None = None, out: str = "fold") -> DataFrame:

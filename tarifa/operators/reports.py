@@ -34,7 +34,10 @@ def feature_sample(df: DataFrame, cols, n: int, key: str, seed: int = 42) -> Dat
 
 
 def segment_profile(df: DataFrame, segment: str, y: str, cols) -> DataFrame:
-    """Size, mean and median target and column means per segment."""
-    return df.groupBy(segment).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_price"),
-                                   F.median(y).alias("median_price"),
-                                   *[F.avg(c).alias(f"mean_{c}") for c in cols])
+    """Size, mean and median target and column means per segment. The exact median weighs distinct
+    prices by their counts (A1), so a segment of a third of all rows is not gathered row by row."""
+    means = df.groupBy(segment).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean_price"),
+                                    *[F.avg(c).alias(f"mean_{c}") for c in cols])
+    med = R.hotel_medians(df, (segment,), y, "median_price").withColumnRenamed(segment, "_segment")
+    return means.join(med, F.col(segment).eqNullSafe(F.col("_segment"))).select(
+        segment, "n", "mean_price", "median_price", *[f"mean_{c}" for c in cols])

@@ -12,14 +12,16 @@ stay exact:
 * nearest / kNN: a query is final when its k-th distance is within the ring's guaranteed
   radius; the rest repeat with doubled cells, until a cell spans the whole extent;
 * KDE: the cell is the cut-off radius in whitened units (default 9, so a dropped term is
-  below e^-40 of the self term; ``exact=True`` uses one cell).
+  below e^-40 of the self term), at every input size; ``exact=True`` uses one cell instead.
 
-Point sets under ``small_points`` rows (checked with a count) use a single cell: every
-query block meets every point block, still in bounded blocks.
+Longitudes wrap: with the haversine metric the grid has a whole number of columns around the
+globe and the ring of an edge cell continues on the other side. A point set that fits one
+block uses a single cell: every query block meets it.
 """
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 from pyspark import StorageLevel
@@ -39,6 +41,7 @@ AREA_DEFAULTS = {"dist_favela_m": 1200.0, "favela_cercana_size": 1000,
                  "favela_densidad_viviendas": 50.0, "favela_vulnerabilidad_salud": 0.5}
 
 SMALL_POINTS = 20000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 # ------------------------------------------------------------------ metrics
@@ -68,15 +71,26 @@ def _ring_bound(metric: str, cell: float, max_abs_lat: float) -> float:
 
 
 # ------------------------------------------------------------------ blocks
+def _columns_around(metric: str, cell: float | None) -> int | None:
+    """Whole number of grid columns around the globe, each at least ``cell`` degrees wide."""
+    return max(1, math.floor(360.0 / cell)) if metric == "haversine" and cell is not None else None
+
+
+def _cell_x(x: Column, cell: float, around: int | None) -> Column:
+    if around is None:
+        return F.floor(x / cell).cast("long")
+    return F.pmod(F.floor((x + 180.0) / (360.0 / around)).cast("long"), F.lit(around).cast("long"))
+
+
 def _blocks(df: DataFrame, x: str, y: str, cols, cell: float | None, chunk: int, prefix: str,
-            n_total: int | None = None) -> DataFrame:
+            n_total: int | None = None, around: int | None = None) -> DataFrame:
     """Bin rows into grid cells (one cell when ``cell`` is None) and pack each cell into
     hash chunks of about ``chunk`` rows: ``(cx, cy, blk, <prefix>x, <prefix>y, <prefix><col>…)``
     with one array per column (same element order). A hot cell becomes many chunks."""
     if cell is None:
         cx, cy = F.lit(0).cast("long"), F.lit(0).cast("long")
     else:
-        cx = F.floor(F.col(x) / cell).cast("long")
+        cx = _cell_x(F.col(x), cell, around)
         cy = F.floor(F.col(y) / cell).cast("long")
     cols = [c for c in cols if c not in (x, y)]
     b = df.select(cx.alias("cx"), cy.alias("cy"), F.col(x).alias("_x"), F.col(y).alias("_y"), *cols)
@@ -95,7 +109,7 @@ def _blocks(df: DataFrame, x: str, y: str, cols, cell: float | None, chunk: int,
 
 def _block_pairs(queries: DataFrame, qx: str, qy: str, qcols, points: DataFrame, px: str, py: str,
                  payload, cell: float | None, qchunk: int, pchunk: int, n_points: int,
-                 n_queries: int | None = None) -> DataFrame:
+                 n_queries: int | None = None, around: int | None = None) -> DataFrame:
     """Each query block paired with every point block it must meet, by equi-joins only:
 
     * grid (``cell``): the point blocks of the 3×3 ring of cells (join on the cell key);
@@ -103,24 +117,31 @@ def _block_pairs(queries: DataFrame, qx: str, qy: str, qcols, points: DataFrame,
       ⌈n_points / pchunk⌉, a bounded fan-out) and joined on that id.
 
     No query × point rows are formed: a pair of blocks is one row."""
-    qb = _blocks(queries, qx, qy, list(qcols), cell, qchunk, "q_", n_total=n_queries).drop("blk")
-    pb = _blocks(points, px, py, list(payload), cell, pchunk, "p_", n_total=n_points)
+    qb = _blocks(queries, qx, qy, list(qcols), cell, qchunk, "q_", n_total=n_queries, around=around).drop("blk")
+    pb = _blocks(points, px, py, list(payload), cell, pchunk, "p_", n_total=n_points, around=around)
     if cell is not None:
         offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                         for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+                         for dx in ((-1, 0, 1) if around is None or around > 2 else range(around)) for dy in (-1, 0, 1)])
+        cx = F.col("cx") + F.col("_o.dx")
         qb = qb.withColumn("_o", F.explode(offs)) \
-            .withColumn("cx", F.col("cx") + F.col("_o.dx")).withColumn("cy", F.col("cy") + F.col("_o.dy")).drop("_o")
+            .withColumn("cx", cx if around is None else F.pmod(cx, F.lit(around).cast("long"))) \
+            .withColumn("cy", F.col("cy") + F.col("_o.dy")).drop("_o")
         return qb.join(pb, ["cx", "cy"]).drop("cx", "cy", "blk")
     nblk = max(1, math.ceil(n_points / pchunk))
     qb = qb.drop("cx", "cy").withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nblk - 1).cast("long"))))
     return qb.join(pb.drop("cx", "cy"), "blk").drop("blk")
 
 
-def _limit_arrow_batches(spark, rows: int = 64) -> None:
-    # one input row carries two blocks of up to a few thousand values: keep Arrow batches small
-    cur = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if cur > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def _small_arrow_batches(spark, rows: int = 64):
+    """One input row carries two blocks of up to a few thousand values: small Arrow batches while the
+    pairs are evaluated, the session's own setting afterwards."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def _np_dist(metric: str, qx, qy, px, py):
@@ -138,17 +159,19 @@ def _np_dist(metric: str, qx, qy, px, py):
 
 
 def _densest_fit(points: DataFrame, x: str, y: str, cell: float, max_points: int, max_halvings: int = 16) -> float:
-    """Halve the starting cell until the densest cell holds at most ``max_points`` points
-    (one small aggregation per try). Dense spots then resolve at fine cells while sparse
-    queries climb the doubling levels, so a spot holding a third of all points never
-    pairs each of its queries with all of its points."""
-    for _ in range(max_halvings):
-        densest = points.groupBy(F.floor(F.col(x) / cell).alias("cx"), F.floor(F.col(y) / cell).alias("cy")) \
-            .agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if densest is None or densest <= max_points:
-            break
-        cell /= 2.0
-    return cell
+    """Halve the starting cell until the densest cell holds at most ``max_points`` points. One job: the
+    finest grid is counted once and its counts are added up for every coarser one. Dense spots then
+    resolve at fine cells while sparse queries climb the doubling levels, so a spot holding a third of
+    all points never pairs each of its queries with all of its points."""
+    fine = cell / 2 ** max_halvings
+    counts = points.groupBy(F.floor(F.col(x) / fine).alias("cx"), F.floor(F.col(y) / fine).alias("cy")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    up = counts.withColumn("up", F.explode(F.sequence(F.lit(0), F.lit(max_halvings))))
+    side = F.pow(F.lit(2.0), F.col("up"))
+    densest = {r["up"]: r["n"] for r in up.groupBy("up", F.floor(F.col("cx") / side).alias("cx"), F.floor(F.col("cy") / side).alias("cy"))
+               .agg(F.sum("n").alias("n")).groupBy("up").agg(F.max("n").alias("n")).collect()}
+    fits = [u for u, n in densest.items() if n <= max_points]
+    return fine * 2 ** max(fits, default=0) if densest else cell
 
 
 def _extent(queries: DataFrame, qx: str, qy: str, points: DataFrame, px: str, py: str) -> dict:
@@ -230,7 +253,6 @@ def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame
         q.unpersist()
         pts.unpersist()
         return queries.select(qkey).withColumn(out, F.array().cast(f"array<{elem}>"))
-    _limit_arrow_batches(spark)
     schema = f"`{qkey}` {ktype}, " + ", ".join(fields)
     kernel = _topk_kernel(metric, k, qkey, tie, payload)
     struct_cols = [F.col("rd")] + ([F.col("tie")] if tie else []) + [F.col("d")] + \
@@ -251,17 +273,19 @@ def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame
         cur = levels[0] if levels else cell
         last = cur is None or cur >= info["extent"]
         pairs = _block_pairs(pending, "qx", "qy", ["key"], pts, "px", "py", payload, cur, qchunk, chunk,
-                             info["n_points"], info["n_queries"])
+                             info["n_points"], info["n_queries"], _columns_around(metric, cur))
         best = pairs.mapInPandas(kernel, schema)
         merged = best.groupBy(qkey).agg(F.slice(F.array_sort(F.collect_list(F.struct(*struct_cols))), 1, k).alias(out))
         merged = pending.select(F.col("key").alias(qkey)).join(merged, qkey, "left")
         if last:
-            done.append(merged.withColumn(out, F.coalesce(F.col(out), F.array().cast(f"array<{elem}>")))
-                        .transform(_ckpt))
+            with _small_arrow_batches(spark):
+                done.append(merged.withColumn(out, F.coalesce(F.col(out), F.array().cast(f"array<{elem}>")))
+                            .transform(_ckpt))
             break
         bound = _ring_bound(metric, cur, info["max_abs_lat"])
         ok = (F.size(out) >= F.lit(min(k, info["n_points"]))) & (F.element_at(out, -1)["d"] <= F.lit(bound))
-        merged = merged.withColumn("_ok", F.coalesce(ok, F.lit(False))).transform(_ckpt)
+        with _small_arrow_batches(spark):
+            merged = merged.withColumn("_ok", F.coalesce(ok, F.lit(False))).transform(_ckpt)
         done.append(merged.filter("_ok").drop("_ok"))
         pending = merged.filter(~F.col("_ok")).select(F.col(qkey).alias("key")).join(q, "key")
         if pending.isEmpty():
@@ -361,12 +385,12 @@ def _kde_kernel(ixx: float, iyy: float, ixy: float, key: str, weighted: bool = F
 
 def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
           cutoff: float = 9.0, exact: bool = False, qchunk: int = 256, chunk: int = 1024,
-          small_points: int = SMALL_POINTS, bin_frac: float | None = None) -> DataFrame:
+          bin_frac: float | None = None) -> DataFrame:
     """Density of every row under the KDE fitted on all rows of ``df``.
 
-    Pairs are evaluated per (query block, point block) with NumPy; with ``exact`` (or few
-    points) every block meets every block, otherwise only blocks of neighbouring cells of
-    side ``cutoff`` in whitened coordinates (a dropped term is below exp(-cutoff²/2))."""
+    Pairs are evaluated per (query block, point block) with NumPy, at every input size for blocks of
+    neighbouring cells of side ``cutoff`` in whitened coordinates (a dropped term is below
+    exp(-cutoff²/2)); with ``exact`` every block meets every block."""
     # the input feeds the fit and both block sides: derive it once
     df = df.select(key, x, y).persist(StorageLevel.MEMORY_AND_DISK)
     st = kde_fit(df, x, y)
@@ -379,8 +403,7 @@ def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
     c = math.sqrt(max(iyy - b * b, 1e-300))
     w = df.select(F.col(key).alias("key"), F.col(x).alias("ox"), F.col(y).alias("oy"))
     w = w.withColumn("u", F.lit(a) * F.col("ox") + F.lit(b) * F.col("oy")).withColumn("v", F.lit(c) * F.col("oy"))
-    cell = None if (exact or st["n"] <= small_points) else cutoff
-    _limit_arrow_batches(df.sparkSession)
+    cell = None if exact else cutoff
     pts = w.select("u", "v", "ox", "oy")
     payload = ["ox", "oy"]
     if bin_frac:
@@ -391,16 +414,15 @@ def kde2d(df: DataFrame, key: str, x: str, y: str, out: str = "density_kde",
             .agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.avg("ox").alias("ox"), F.avg("oy").alias("oy"),
                  F.count(F.lit(1)).cast("double").alias("w")).drop("_bu", "_bv")
         payload = ["ox", "oy", "w"]
-        n_pts = pts.count()
-        if cell is None and n_pts > small_points and not exact:
-            cell = cutoff
+        n_pts = pts.count() if exact else 0          # the block count of the one-cell form
     else:
         n_pts = st["n"]
     pairs = _block_pairs(w, "u", "v", ["key", "ox", "oy"], pts, "u", "v",
                          payload, cell, qchunk, chunk, n_pts, st["n"])
     part = pairs.mapInPandas(_kde_kernel(ixx, iyy, ixy, key, weighted=bool(bin_frac)), f"`{key}` {ktype}, _s double")
     # materialised here so the persisted input can be released
-    res = part.groupBy(key).agg((F.sum("_s") * F.lit(norm)).alias(out)).transform(_ckpt)
+    with _small_arrow_batches(df.sparkSession):
+        res = part.groupBy(key).agg((F.sum("_s") * F.lit(norm)).alias(out)).transform(_ckpt)
     df.unpersist()
     return res
 

@@ -41,7 +41,7 @@ class SymbolicFeatures:
 
     def __init__(self, cols, n_keep: int = 3, generations: int = 5, population: int = 40, seed: int = 42,
                  max_depth: int = 3, prefix: str = "symbolic_feat_", parsimony: float = 0.001,
-                 sample: int | None = 50_000, key=None):
+                 sample: int | None = None, key=None):
         self.cols = list(cols)
         self.n_keep = n_keep
         self.generations = generations

@@ -3,7 +3,7 @@
 The test tables carry no hotels, coordinates or missing values, so hotels, searches,
 reference points and predictions are derived from ``part``, ``lineitem``/``orders``,
 ``supplier`` and ``events`` with integer arithmetic only. Every view has a DuckDB twin in
-``tarifa.plans.oracle`` written from the same formulas; nothing here samples or caps rows, so
+``tarifa.plans.sqlviews`` written from the same formulas; nothing here samples or caps rows, so
 each view grows with its source tables.
 """
 

@@ -207,3 +207,83 @@ def test_reference_points_file_or_fallback(spark, tmp_path):
     p = tmp_path / "metro.csv"
     p.write_text("lat,lon\n-22.9,-43.2\n,-43.1\n-22.8,-43.3\n")
     assert reference_points(spark, str(p), FALLBACK_METRO).count() == 2
+
+
+def test_nulls_in_metrics_gram_and_segments(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+    from tarifa.operators import linear as LIN, relational as R
+    from tarifa.operators.boosting import ExpertSpec, fit_expert, fit_segment_experts, predict_segments, predict_segments_multi
+    d = spark.createDataFrame([(1.0, 1.0), (2.0, None), (3.0, 4.0), (9.0, None)], "y double, p double")
+    m = R.regression_metrics(d, "y", ["p"]).first()
+    assert (m["n"], m["mae"], m["r2"]) == (2, 0.5, 0.5)
+    line = spark.createDataFrame([(float(i), 2.0 * i) for i in range(10)] + [(None, 70.0), (3.0, None)], "x double, y double")
+    w = LIN.ols(line, ["x"], "y")
+    assert abs(w.coef[0] - 2) < 1e-9 and abs(w.intercept) < 1e-9
+    s = spark.createDataFrame([("a" if i % 2 else "b", float(i % 7), float(i % 5)) for i in range(200)], "seg string, x double, y double")
+    models = fit_segment_experts(s, "seg", ["x"], "y", ExpertSpec("gbt", {"rounds": 2, "depth": 2}))
+    odd = spark.createDataFrame([("a", 1.0, 1.0), (None, 2.0, 1.0), ("new", 3.0, 1.0)], "seg string, x double, y double")
+    glob = fit_expert(s, ["x"], "y", ExpertSpec("gbt", {"rounds": 2, "depth": 2}))
+    assert predict_segments(odd, "seg", models, "p", glob).filter(F.col("p").isNotNull()).count() == 3
+    assert predict_segments_multi(odd, "seg", {"p": models}, glob).filter(F.col("p").isNotNull()).count() == 3
+    with pytest.raises(PySparkException, match="no expert for segment"):
+        predict_segments(odd, "seg", models, "p").collect()
+
+
+def test_mae_expert_fits_the_median(spark):
+    from tarifa.operators.boosting import ExpertSpec, fit_expert
+    d = spark.createDataFrame([(1.0, 100.0 if i % 10 < 8 else 1000.0) for i in range(1000)], "x double, y double")
+    m = fit_expert(d, ["x"], "y", ExpertSpec("mae", {"rounds": 3, "depth": 3}))
+    assert abs(m.transform(d.limit(1), "p").first()["p"] - 100.0) < 1e-6
+    step = spark.createDataFrame([(float(i % 2), float((i % 2) * 500 + (i % 7) + (3000 if i % 10 == 0 else 0))) for i in range(2000)], "x double, y double")
+    m = fit_expert(step, ["x"], "y", ExpertSpec("mae", {"rounds": 40, "depth": 2, "step": 0.3}))
+    got = {r["x"]: r["p"] for r in m.transform(step, "p").select("x", "p").distinct().collect()}
+    assert abs(got[1.0] - 503) < 3 and abs(got[0.0] - 4) < 3
+
+
+def test_many_categories_fit(spark):
+    from tarifa.operators.boosting import ExpertSpec, fit_expert
+    from tarifa.operators.transformers import CategoryIndexer
+    d = spark.createDataFrame([(f"c{i % 40:02d}", float(i % 40)) for i in range(800)], "c string, y double")
+    ci = CategoryIndexer(["c"]).fit(d)
+    t = ci.transform(d)
+    for family in ("gbt", "rf", "tweedie", "mae"):
+        assert fit_expert(t, ci.output_columns(), "y", ExpertSpec(family, {} if family == "rf" else {"rounds": 2})).transform(t, "p").count() == 800
+
+
+def test_nearest_across_the_date_line(spark):
+    from tarifa.operators import spatial as SP
+    q = spark.createDataFrame([(i, 179.999 - i * 0.01, 0.0) for i in range(50)] + [(99, -179.999, 0.0)], "qid long, x double, y double")
+    rows = [(i, -179.999 + i * 0.01, 0.0) for i in range(50)] + [(100 + i, -100.0 + i * 0.001, 40.0) for i in range(400)]
+    p = spark.createDataFrame(rows, "pid long, x double, y double")
+    exact = {r["qid"]: r["nn"][0]["d"] for r in SP.nearest_k(q, "qid", "x", "y", p, "x", "y", k=1, tie="pid", metric="haversine", small_points=10**9, chunk=10**6).collect()}
+    before = spark.conf.get(SP.ARROW_ROWS)
+    grid = {r["qid"]: r["nn"][0]["d"] for r in SP.nearest_k(q, "qid", "x", "y", p, "x", "y", k=1, tie="pid", metric="haversine", small_points=0, chunk=16).collect()}
+    assert grid == exact and grid[0] < 300 and spark.conf.get(SP.ARROW_ROWS) == before
+
+
+def test_quantiles_with_infinities(spark):
+    import math
+    from tarifa.operators.quantiles import exact_quantiles, nearest_rank
+    v = [-math.inf] * 5 + [float(i) for i in range(300)] + [math.inf] * 5 + [math.nan] * 3
+    d = spark.createDataFrame([(x,) for x in v], "v double")
+    got = exact_quantiles(d, "v", [0.0, 0.5, 1.0], bins=8, collect_limit=10)
+    assert got[0.0] == -math.inf and got[1.0] == math.inf and got[0.5] == 149.5
+    assert nearest_rank(d, "v", 0.5, bins=8, collect_limit=10) in (149.0, 150.0)
+    close = spark.createDataFrame([(1.0 + k * 2.0**-52,) for k in range(4) for _ in range(50)], "v double")
+    assert exact_quantiles(close, "v", [0.0, 0.3], bins=8, collect_limit=10)[0.3] == 1.0 + 2.0**-52
+
+
+def test_sample_n_by_threshold(spark):
+    from tarifa.operators import relational as R
+    d = spark.range(30_000).withColumnRenamed("id", "k")
+    top = {r["k"] for r in R.sample_n(d, 9_000, "k").collect()}
+    more = {r["k"] for r in R.sample_n(d, 12_345, "k").collect()}
+    assert len(top) == 9_000 and len(more) == 12_345 and top <= more
+    assert R.sample_n(d, 30_001, "k").count() == 30_000
+
+
+def test_all_rounds_of_the_search_space():
+    from tarifa.operators import tuning as TU
+    assert {TU.to_spec(c).params["rounds"] for c in TU.random_configs(300)} == {n for _, n in TU.LR_ROUNDS}

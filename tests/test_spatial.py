@@ -59,7 +59,7 @@ def test_knn_features_grid_equals_bruteforce(spark):
 def test_kde_grid_equals_exact_and_numpy(spark):
     df = _pts(spark, 500, 5, "hid", clustered=True)
     exact = {r.hid: r.density_kde for r in SP.kde2d(df, "hid", "x", "y", exact=True).collect()}
-    grid = {r.hid: r.density_kde for r in SP.kde2d(df, "hid", "x", "y", small_points=0, chunk=32).collect()}
+    grid = {r.hid: r.density_kde for r in SP.kde2d(df, "hid", "x", "y", chunk=32).collect()}
     rows = df.collect()
     xy = np.array([[r.x, r.y] for r in rows]).T
     n = xy.shape[1]
