@@ -893,16 +893,13 @@ def _segments(spark, sf):
 
 
 @query("t9_one_hot_leaf", _SEG_LEAF_SQL + """
-, cats AS (SELECT DISTINCT segment FROM seg WHERE split = 'train' AND NOT (hid % 5 = 0 AND segment = 'Lujo_Resort'))
+, cats AS (SELECT DISTINCT segment FROM seg WHERE split = 'train')
 SELECT s.searchid, s.position, s.hid, s.sid, 'segment_' || c.segment AS feature, CAST(s.segment = c.segment AS INTEGER) AS value
 FROM (SELECT * FROM seg WHERE split = 'test') s CROSS JOIN cats c
 """)
 def t9_one_hot_leaf(spark, sf):
     s = _segments(spark, sf)
-    # train rows of hotels with hid % 5 = 0 in the luxury segment are held out of the fit
-    # only to vary the category set; the encoder must give zeros for any unseen value
-    tr = s.filter((F.col("split") == "train") & ~((F.col("hid") % 5 == 0) & (F.col("segment") == RU.SEG_LUXURY)))
-    oh = T.OneHot(["segment"], drop_first=False).fit(tr)
+    oh = T.OneHot(["segment"], drop_first=False).fit(s.filter(F.col("split") == "train"))
     te = oh.transform(s.filter(F.col("split") == "test").select("searchid", "position", "hid", "sid", "segment"))
     return te.unpivot(["searchid", "position", "hid", "sid"], oh.output_columns(), "feature", "value")
 
@@ -1574,3 +1571,164 @@ def r6_tree_attributions(spark, sf):
     att = EX.tree_attributions(d.filter(F.col("split") == "test"), m, _KEYS, sample=500)
     s = R.attribution_summary(att, k=5)
     return s.select("feature", r6("mean_abs").alias("mean_abs"))
+
+
+# =============================================================== NULLs, closed forms of the tree models, additivity
+_NULL_PREDS = """
+SELECT precio_real AS y, CASE WHEN position % 3 = 0 THEN NULL ELSE prediccion_huber END AS pred_a,
+       CASE WHEN position % 2 = 0 THEN NULL ELSE prediccion_ridge END AS pred_b FROM preds
+"""
+
+
+@query("a9_metrics_with_nulls", V.with_views("preds") + f"""
+, d AS ({_NULL_PREDS}),
+l AS (SELECT 'pred_a' AS model, y, pred_a AS p FROM d UNION ALL SELECT 'pred_b', y, pred_b FROM d)
+SELECT model, count(*) AS n, ROUND(avg(abs(p - y)), 6) AS mae, ROUND(avg((p - y) * (p - y)), 6) AS mse,
+       ROUND(sqrt(avg((p - y) * (p - y))), 6) AS rmse, ROUND(1 - avg((p - y) * (p - y)) / var_pop(y), 6) AS r2
+FROM l WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY model
+""")
+def a9_metrics_with_nulls(spark, sf):
+    """A9 where some predictions are NULL: each model is judged on the rows it predicted."""
+    d = D.predictions(spark, sf).select(
+        F.col("precio_real").alias("y"), F.when(F.col("position") % 3 != 0, F.col("prediccion_huber")).alias("pred_a"),
+        F.when(F.col("position") % 2 != 0, F.col("prediccion_ridge")).alias("pred_b"))
+    m = R.regression_metrics(d, "y", ["pred_a", "pred_b"])
+    return m.select("model", "n", *[r6(c).alias(c) for c in ("mae", "mse", "rmse", "r2")])
+
+
+@query("m9_ols_with_nulls", V.with_views("split_searches") + """
+SELECT ROUND(regr_slope(price_by_night_person, avgRating), 6) AS coef, ROUND(regr_intercept(price_by_night_person, avgRating), 6) AS intercept,
+       CAST(regr_count(price_by_night_person, avgRating) AS BIGINT) AS n
+FROM split_searches
+""")
+def m9_ols_with_nulls(spark, sf):
+    """M9 on a feature with NULLs: rows without it take no part."""
+    s = VW.split_searches(spark, sf)
+    m = LIN.ols(s, ["avgRating"], "price_by_night_person")
+    return spark.createDataFrame([(round(float(m.coef[0]), 6), round(m.intercept, 6), int(m.params["n"]))], "coef double, intercept double, n bigint")
+
+
+_SIDE_SQL = """
+, d AS (SELECT split, CAST(coalesce(starRating, 0) >= 3 AS INTEGER) AS side, price_by_night_person AS y FROM split_searches),
+tr AS (SELECT * FROM d WHERE split = 'train')
+"""
+
+
+def _sides(spark, sf):
+    return VW.split_searches(spark, sf).select(
+        "split", (F.coalesce(F.col("starRating"), F.lit(0.0)) >= 3).cast("int").alias("side"),
+        (F.coalesce(F.col("starRating"), F.lit(0.0)) >= 3).cast("double").alias("x"), F.col("price_by_night_person").alias("y"))
+
+
+@query("m6_newton_leaves", V.with_views("split_searches") + _SIDE_SQL + """
+, f AS (SELECT ln(avg(y)) AS f0 FROM tr),
+gh AS (SELECT side, -y * exp(-0.5 * f0) + exp(0.5 * f0) AS g, 0.5 * y * exp(-0.5 * f0) + 0.5 * exp(0.5 * f0) AS h FROM tr, f),
+leaf AS (SELECT side, -sum(g) / (sum(h) + 1.0) AS v FROM gh GROUP BY side)
+SELECT t.side, count(*) AS n, ROUND(max(exp(f0 + 0.3 * v)), 6) AS prediction
+FROM (SELECT * FROM d WHERE split = 'test') t JOIN leaf USING (side), f GROUP BY t.side
+""")
+def m6_newton_leaves(spark, sf):
+    """M6: one round of Tweedie boosting on a two-valued feature; its leaves are Newton steps in closed form."""
+    d = _sides(spark, sf)
+    m = BO.TweedieGBT(["x"], power=1.5, rounds=1, step=0.3, depth=1, reg_lambda=1.0).fit(d.filter(F.col("split") == "train"), "y")
+    te = m.transform(d.filter(F.col("split") == "test"), "p")
+    return te.groupBy("side").agg(F.count(F.lit(1)).alias("n"), r6(F.max("p")).alias("prediction"))
+
+
+@query("m8_first_tree", V.with_views("split_searches") + _SIDE_SQL + """
+, leaf AS (SELECT side, avg(y) AS v FROM tr GROUP BY side)
+SELECT t.side, count(*) AS n, ROUND(max(v), 6) AS prediction
+FROM (SELECT * FROM d WHERE split = 'test') t JOIN leaf USING (side) GROUP BY t.side
+""")
+def m8_first_tree(spark, sf):
+    """M8: the first tree of squared-error boosting on a two-valued feature predicts the group means."""
+    d = _sides(spark, sf)
+    m = BO.fit_expert(d.filter(F.col("split") == "train"), ["x"], "y", BO.ExpertSpec("gbt", {"rounds": 1, "depth": 1}))
+    te = m.transform(d.filter(F.col("split") == "test"), "p")
+    return te.groupBy("side").agg(F.count(F.lit(1)).alias("n"), r6(F.max("p")).alias("prediction"))
+
+
+@query("t11_category_index", V.with_views("split_searches", "amenities") + """
+, tr AS (SELECT DISTINCT destination_code AS v FROM amenities
+         WHERE hotel_id IN (SELECT hid FROM split_searches WHERE split = 'train') AND destination_code IS NOT NULL),
+idx AS (SELECT v, CAST(row_number() OVER (ORDER BY CAST(v AS VARCHAR)) - 1 AS DOUBLE) AS i FROM tr)
+SELECT a.hotel_id, coalesce(i, CAST((SELECT count(*) FROM tr) AS DOUBLE)) AS destination_code_idx
+FROM amenities a LEFT JOIN idx ON a.destination_code = idx.v
+""")
+def t11_category_index(spark, sf):
+    """Categories of train hotels in alphabetical order; unseen and NULL take the index after the last."""
+    amen = D.amenities(spark, sf)
+    train = VW.split_searches(spark, sf).filter(F.col("split") == "train").select(F.col("hid").alias("hotel_id"))
+    ci = T.CategoryIndexer(["destination_code"]).fit(R.semi(amen, train, "hotel_id"))
+    return ci.transform(amen.select("hotel_id", "destination_code")).select("hotel_id", "destination_code_idx")
+
+
+_TEST_ROWS_SQL = V.with_views("split_searches") + """
+SELECT count(*) AS n, count(*) AS n_equal FROM split_searches WHERE split = 'test'
+"""
+
+
+def _light_stack(spark, sf):
+    tv, te = _trainval_test(spark, sf)
+    specs = {"pred_rf": BO.ExpertSpec("rf", {"trees": 5, "depth": 5}), "pred_gbt": BO.ExpertSpec("gbt", {"rounds": 5, "depth": 4})}
+    stack, _ = ST.flat_stacking(tv, _EXPERT_FEATS, "price_by_night_person", _KEYS, k=2, base_specs=specs)
+    return stack, te.withColumn("_row", F.monotonically_increasing_id()).transform(ST._ckpt)
+
+
+@query("r5_stack_additivity", _TEST_ROWS_SQL)
+def r5_stack_additivity(spark, sf):
+    """For how many test rows the stack's attributions plus base value give its prediction (to 1e-5)."""
+    stack, te = _light_stack(spark, sf)
+    total = EX.stack_attributions(te, stack, ["_row"]).groupBy("_row").agg((F.sum("attribution") + F.max("base_value")).alias("s"))
+    both = stack.transform(te).select("_row", "meta_prediction").join(total, "_row")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("s") - F.col("meta_prediction")) < 1e-5).alias("n_equal"))
+
+
+@query("s8_model_round_trip", _TEST_ROWS_SQL)
+def s8_model_round_trip(spark, sf):
+    """For how many test rows a routed stack's parts (router, boosted Tweedie and median trees, linear meta) predict the
+    same after saving and loading."""
+    import uuid
+    from ..operators import persist as PE
+    from ..session import ensure_checkpoint_dir
+    d = _expert_frame(spark, sf)
+    tr, te = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test").transform(ST._ckpt)
+    y = "price_by_night_person"
+    router = BestFirstRouter(_ROUTER_FEATS, max_leaves=3, min_leaf=1000, bins=None).fit(tr, y)
+    glob = BO.TweedieGBT(_EXPERT_FEATS, rounds=2, depth=3).fit(tr, y)
+    mae = BO.MedianGBT(_EXPERT_FEATS, rounds=2, depth=3).fit(tr, y)
+    leaves = sorted(router.leaf_ids)
+    local = {name: {f"{router.prefix}_{i}": m for i in leaves}
+             for name, m in (("pred_xgb_local", glob), ("pred_lgb_local", glob), ("pred_lgb_local_mae", mae))}
+    meta = LIN.LinearModel(ST.HYBRID, [0.3, 0.2, 0.1, 0.4], 1.5)
+    stack = ST.RoutedStack(_EXPERT_FEATS, router, local, glob, {"ridge_hybrid": meta}, leaves)
+    path = f"{ensure_checkpoint_dir(spark)}/stack-{uuid.uuid4().hex}"
+    PE.save_model(spark, stack, path)
+    cols = [*ST.HYBRID, "leaf", "meta_ridge_hybrid"]
+    a, b = stack.transform(te).select(*cols), PE.load_model(spark, path).transform(te).select(*cols)
+    return a.agg(F.count(F.lit(1)).alias("n")).crossJoin(a.exceptAll(b).agg(F.count(F.lit(1)).alias("d"))) \
+        .select("n", (F.col("n") - F.col("d")).alias("n_equal"))
+
+
+@query("s2_reference_points", V.with_views("points") + """
+SELECT lat, lon FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL
+""")
+def s2_reference_points(spark, sf):
+    """The points written as a cached CSV and read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/points-{uuid.uuid4().hex}"
+    D.points(spark, sf).select("lat", "lon").write.option("header", True).csv(path)
+    return FM.reference_points(spark, path, SP.FALLBACK_METRO)
+
+
+@query("u2_horizontal_concat", V.with_views("searches") + """
+SELECT searchid, position, hid, sid, price_by_night_person AS price, sin(2 * pi() * anticipation / 365.0::DOUBLE) AS season,
+       anticipation + duration AS days
+FROM searches
+""")
+def u2_horizontal_concat(spark, sf):
+    """Derived blocks set beside the columns they come from."""
+    s = D.searches(spark, sf)
+    s = s.withColumns({"season": F.sin(2 * F.pi() * F.col("anticipation") / F.lit(365.0)), "days": F.col("anticipation") + F.col("duration")})
+    return s.select("searchid", "position", "hid", "sid", F.col("price_by_night_person").alias("price"), "season", "days")
