@@ -19,6 +19,7 @@ from ..functions import temporal as TM
 from ..operators import relational as R
 from ..operators import spatial as SP
 from ..operators import transformers as T
+from ..session import checkpoint
 from ..sources import domain as D
 from ..sources import formats as FM
 from . import sqlviews as V
@@ -767,7 +768,8 @@ SELECT * FROM f WHERE dist_metro_m <= 2000 ORDER BY precio_mediano DESC, hid LIM
 
 @query("flagship_top_hotels_near_metro", _FLAGSHIP_SQL)
 def flagship(spark, sf):
-    h = VW.hotels(spark, sf)
+    # written out first: else the distance filter moves below the aggregates, to one distance per search row
+    h = checkpoint(VW.hotels(spark, sf))
     h = h.withColumn("dist_metro_m", r6(SP.nearest_distance_literal("latitude", "longitude", SP.FALLBACK_METRO)))
     h = G.landmark_distances(h).withColumns({n: r6(n) for n in G.LANDMARKS})
     return (h.filter(F.col("dist_metro_m") <= 2000)
