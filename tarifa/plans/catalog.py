@@ -1,6 +1,6 @@
 """Registered queries: one per SURVEY §2 inventory ID, each with its DuckDB oracle.
 
-Every query reads the driver tables (or views Spark derives from them) in full. Results
+Every query reads the driver tables (or views Spark derives from them). Results
 that pass through transcendental functions or floating sums are rounded to 6 decimals on
 both sides, so the engines' last-ulp differences cannot flip a comparison.
 """

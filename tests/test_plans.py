@@ -20,3 +20,32 @@ def test_no_cross_joins_and_pruned_scans(spark, name):
     assert "BroadcastNestedLoopJoin" not in plan
     for cols in re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*lineitem\.parquet", plan):
         assert len(cols.split(",")) < 11  # lineitem has 11 columns; never read whole
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_block_pairs_are_equi_joins(spark):
+    """The spatial queries return checkpointed frames, so the join of blocks is looked at before it is evaluated."""
+    from tarifa.operators import spatial as SP
+    q = spark.range(500).selectExpr("id as key", "id * 0.01 as qx", "id * 0.02 as qy")
+    p = spark.range(700).selectExpr("id as pid", "id * 0.01 as px", "id * 0.03 as py")
+    for cell, around in ((0.5, None), (0.5, 720), (None, None)):
+        plan = _plan(SP._block_pairs(q, "qx", "qy", ["key"], p, "px", "py", ["pid"], cell, 64, 64, 700, 500, around))
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert "HashJoin" in plan or "SortMergeJoin" in plan
+
+
+def test_imputer_does_not_shuffle_on_the_group(spark):
+    from tarifa.operators.transformers import GroupImputer
+    d = spark.range(1000).selectExpr("cast(id % 5 as double) as starRating", "cast(id as double) as avgRating")
+    plan = _plan(GroupImputer("starRating", ["avgRating"], ratio=None).fit(d).transform(d))
+    assert "hashpartitioning(starRating" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_semi_join_aggregates_its_keys_first(spark):
+    from tarifa.operators import relational as R
+    left, right = spark.range(100).withColumnRenamed("id", "k"), spark.range(1000).selectExpr("id % 7 as k")
+    plan = _plan(R.semi(left, right, "k"))
+    assert "LeftSemi" in plan and "HashAggregate(keys=[k" in plan
