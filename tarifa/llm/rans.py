@@ -21,12 +21,16 @@ states before its step, so parts of a frame can be decoded apart.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,15 +42,19 @@ LANES = 2048
 INTERVAL = 128           # steps between checkpoints
 BLOCK = 1 << 20          # a frame is closed once it holds this many tokens
 LOW = np.uint64(1 << 31)
-CACHE = 400_000
-MARK = "\x01"            # set between words that are encoded in one call
+CACHE = 1_000_000          # words and matches a worker remembers; past that it starts afresh
+ROWS = 2500              # documents encoded together
+MARK = "\x01"            # set between matches that are encoded in one call
+BEYOND = re.compile("[^\x00-\u017f]").search
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space, remembering the words already encoded.
+    """Ids of whole texts by a tokenizer that lower-cases, drops white space and encodes each match of its pattern by
+    itself, remembering the words and matches already encoded.
 
-    White space always ends a pre-token of such a tokenizer and is not encoded, so the ids of a text are
-    those of its words, one after the other."""
+    White space always ends a match and is not encoded, so the ids of a text are those of its words, one after the other,
+    and the ids of a word those of its matches. Texts of plain letters (up to U+017F, where normalisation is lower-casing)
+    are cut into matches here; a text with any other character is given to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,40 +62,50 @@ class WordEncoder:
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True          # their strings in a text are ordinary text
+        steps = json.loads(self.t.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.mark = self._ids(MARK)
         self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def _learn(self, new: list[str]) -> None:
+        """Encode matches, many in one call, set apart by a mark of a single id."""
         plain = [w for w in new if MARK not in w]
-        got = {w: np.array(self._ids(w), "<u4").tobytes() for w in new if MARK in w}
-        if plain and len(self.mark) == 1:
-            ids = np.array(self._ids(f" {MARK} ".join(plain)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            if len(cuts) == len(plain) - 1:
-                raw, ends = ids.tobytes(), [*cuts.tolist(), len(ids)]
-                at = 0
-                for w, e in zip(plain, ends, strict=True):
-                    got[w] = raw[4 * at:4 * e]
-                    at = e + 1
-                return got
-        got.update((w, np.array(self._ids(w), "<u4").tobytes()) for w in plain)
-        return got
+        ids = np.array(self._ids(f" {MARK} ".join(plain)), "<u4")
+        cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
+        if plain and len(cuts) == len(plain) - 1:
+            raw, at = ids.tobytes(), 0
+            for w, e in zip(plain, [*cuts.tolist(), len(ids)], strict=True):
+                self.parts[w] = raw[4 * at:4 * e]
+                at = e + 1
+        for w in new:
+            if w not in self.parts:
+                self.parts[w] = np.array(self._ids(w), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = self.words
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in words))
-        if len(words) + len(new) > CACHE:
+        words, parts = self.words, self.parts
+        if len(words) > CACHE or len(parts) > CACHE:
             words.clear()
+            parts.clear()
             words[""] = b""
-            new = list(dict.fromkeys(w for ws in split for w in ws if w))
-        for i in range(0, len(new), 5000):
-            words.update(self._learn(new[i:i + 5000]))
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+        split = [t.lower().replace("\n", " ").split(" ") if t.isascii() or not BEYOND(t) else None for t in texts]
+        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(ws for ws in split if ws is not None)) if w not in words]
+        cut = list(map(self.find, new))
+        fresh = list(dict.fromkeys(p for ps in cut for p in ps if p not in parts))
+        for i in range(0, len(fresh), 5000):
+            self._learn(fresh[i:i + 5000])
+        for w, ps in zip(new, cut, strict=True):
+            words[w] = parts[ps[0]] if len(ps) == 1 else b"".join(map(parts.__getitem__, ps))
+        out = [b"".join(map(words.__getitem__, ws)) if ws is not None else np.array(self._ids(t), "<u4").tobytes()
+               for t, ws in zip(texts, split, strict=True)]
+        for kept, seen in ((words, new), (parts, fresh)):
+            for w in [w for w in seen if len(w) > 64]:
+                del kept[w]                          # very long pieces are not remembered
+        return out
 
 
 @functools.lru_cache(maxsize=1)
@@ -101,8 +119,8 @@ def tokenize(df: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
         enc, z = word_encoder(path), zstandard.ZstdCompressor(level=1)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
