@@ -53,7 +53,7 @@ def key_filter(keys: DataFrame, count: int, bits_per_key: int = 16, max_bits: in
     (key + i * step) mod bits are set by an aggregation, so the driver receives the bits only."""
     bits = int(min(max_bits, max(1 << 16, 1 << (bits_per_key * max(count, 1) - 1).bit_length())))
     key, low = F.col(keys.columns[0]), lambda c: c.bitwiseAND(F.lit(bits - 1).cast("long"))
-    step = F.shiftrightunsigned(key, 32).bitwiseOR(F.lit(1).cast("long"))
+    step = F.shiftrightunsigned(key, 20).bitwiseOR(F.lit(1).cast("long"))
     slots = F.explode(F.array(*[low(low(key) + F.lit(i) * low(step)) for i in range(PROBES)]))
     words = (keys.select(slots.alias("s")).groupBy(F.shiftright("s", 5).alias("w"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("b")))
@@ -69,6 +69,6 @@ def maybe_in(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
     at, low = np.arange(len(keys)), np.uint64(len(bits) * 8 - 1)
     for i in range(PROBES):
         h = keys[at]
-        p = ((h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & low).astype(np.int64)
+        p = ((h + np.uint64(i) * ((h >> np.uint64(20)) | np.uint64(1))) & low).astype(np.int64)
         at = at[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
     return at
