@@ -16,8 +16,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 LEAF = 8                 # ranks per leaf bitmap: 2^LEAF
 LOW = (1 << LEAF) - 1
-CACHE = 600_000          # words and pre-tokens a worker remembers; past that it starts afresh
-PORTION = 8 << 20        # bytes of text encoded together
+CACHE = 300_000          # words and pre-tokens a worker remembers; past that it starts afresh
+PORTION = 4 << 20        # bytes of text encoded together
 
 
 @functools.lru_cache(maxsize=2)
