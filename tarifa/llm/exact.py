@@ -123,7 +123,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = flagged.where(~F.col("maybe")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     maybe = flagged.where("maybe").groupBy("sha", "id").agg(F.count("*").alias("copies"))
-    groups = maybe.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # written out, so that the join has plain exchanges on both sides and a hot group's rows can be split
+    groups = checkpoint(maybe.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size")))
     found = (maybe.join(groups, "sha")
              .select("id", "keep_id", "group_size", "sha", F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
              .select("id", "keep_id", "group_size",
