@@ -1,21 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, key_filter, maybe_in
 from .substring import _windows
 
 SEED_WORDS = 4
-RARE_TIMES = 4           # a seed is rare if found in at most so many times the passages of its item's median seed,
-RARE_LEAST = 16          # or in at most so many at all
 SCORE = 0.5              # of the score of the whole item found unchanged
 MATCH, MISS, GAP = 2, -1, -1
 BITS_PER_SEED = 64       # of the broadcast seed filter; its size is bounded
@@ -123,9 +122,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per (row of ``docs``, benchmark item) whose best alignment scores ``threshold`` of the whole item or more:
     id, key, item, score, first_word, end_word (places among the document's words).
 
-    Seeds are the ``n``-grams of an item; the rare ones, counted over the passages of all documents, start alignments, so
-    a phrase common in the corpus doesn't. Rare is measured against the item's other seeds: an item copied into a third of
-    all documents keeps them all. A document found several times for an item is reported with its best passage.
+    Seeds are the ``n``-grams of an item. Each passage that shares one, however common, is aligned, unless it has too few of
+    the item's words to reach the threshold in any order. Equal passages are aligned once. A document found several times
+    for an item is reported with its best passage.
     Null or empty texts match nothing, nor do items of fewer than ``n`` words; rows that repeat an id are told apart by
     their text; equal rows are reported once. Items repeated under one item_id count as one item each. Empty tables give
     no rows."""
@@ -136,34 +135,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     distinct = seeds.select("hash").distinct()
     reach = int((items.agg(F.max("n_words")).first()[0] or 0) * 1.25) + 8
     shared = key_filter(distinct, seeds.count(), BITS_PER_SEED)
-    found = checkpoint(passages(keyed, shared, reach, n))
-    hits = found.select("key", "start", F.explode("hashes").alias("hash"))
-    seen = hits.groupBy("hash").agg(F.count("*").alias("df"))
-    found_seeds = seeds.join(seen, "hash").withColumn("usual", F.percentile("df", 0.5).over(Window.partitionBy("ref")))
-    rare = checkpoint(found_seeds.where((F.col("df") <= RARE_LEAST) | (F.col("df") <= RARE_TIMES * F.col("usual"))).select("hash", "ref"))
-    pairs = checkpoint(hits.join(rare, "hash").select("key", "start", "ref").distinct())
-    texts = (pairs.join(found.select("id", "key", "start", "words"), ["key", "start"])
-             .join(items.select("ref", "item", F.col("words").alias("item_words")), "ref")
-             .select("id", "key", "item", "ref", "start", "words", "item_words"))
+    found = checkpoint(passages(keyed, shared, reach, n).withColumn("passage", F.xxhash64("words")))
+    texts = checkpoint(found.select("passage", "words", "hashes").dropDuplicates(["passage"]))   # equal words have equal hits
+    pairs = checkpoint(texts.select("passage", F.explode("hashes").alias("hash")).join(seeds, "hash").select("passage", "ref").distinct())
+    both = (pairs.join(texts.select("passage", "words"), "passage")
+            .join(items.select("ref", "item", F.col("words").alias("item_words")), "ref")
+            .select("passage", "item", "ref", "words", "item_words"))
 
     def run(batches):
         for b in batches:
             got = []
-            for i, (start, passage, item) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 6)), strict=True)):
-                want = item.split(" ")
-                s, first, end = align(want, passage.split(" "))
-                if s >= threshold * MATCH * len(want):
-                    got.append((i, s / (MATCH * len(want)), start + first, start + end))
+            for i, (passage, item) in enumerate(zip(*(b.column(c).to_pylist() for c in (3, 4)), strict=True)):
+                want, have = item.split(" "), passage.split(" ")
+                least = threshold * MATCH * len(want)
+                if MATCH * (Counter(want) & Counter(have)).total() < least:   # no alignment scores more than its matches
+                    continue
+                s, first, end = align(want, have)
+                if s >= least:
+                    got.append((i, s / (MATCH * len(want)), first, end))
             rows = pa.array([g[0] for g in got], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(rows) for c in range(4)), pa.array([g[1] for g in got], pa.float64()),
+                [*(b.column(c).take(rows) for c in range(3)), pa.array([g[1] for g in got], pa.float64()),
                  pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64())],
-                names=["id", "key", "item", "ref", "score", "first_word", "end_word"])
+                names=["passage", "item", "ref", "score", "first", "end"])
 
-    kinds = f"id {keyed.schema['id'].dataType.simpleString()}, key long, item {items.schema['item'].dataType.simpleString()}"
-    scored = texts.mapInArrow(run, f"{kinds}, ref long, score double, first_word long, end_word long")
-    best = F.max(F.struct("score", (-F.col("first_word")).alias("neg"), "end_word", "id", "item")).alias("b")
-    return (scored.groupBy("key", "ref").agg(best)
+    kind = items.schema["item"].dataType.simpleString()
+    scored = checkpoint(both.mapInArrow(run, f"passage long, item {kind}, ref long, score double, first long, end long"))
+    best = F.max(F.struct("score", (-F.col("start") - F.col("first")).alias("neg"), (F.col("start") + F.col("end")).alias("end_word"),
+                          "id", "item")).alias("b")
+    return (found.select("id", "key", "start", "passage").join(scored, "passage").groupBy("key", "ref").agg(best)
             .select("b.id", "key", "b.item", "b.score", (-F.col("b.neg")).alias("first_word"), "b.end_word"))
 
 

@@ -404,6 +404,23 @@ def test_decontamination(spark, docs, rows):
     assert collections.Counter(r["doc_id"] for r in clean.collect()) == collections.Counter([r[0] for r in rows] + [5004])
 
 
+@pytest.mark.parametrize("copies", [15, 17, 1000])
+def test_decontamination_edited_copies(spark, copies):
+    """Seeds that many edited copies share lead to them, whatever else of the item a single verbatim copy keeps."""
+    rng = random.Random(copies)
+    item = [f"w{i}" for i in range(20)]
+    edited = ["changed" if i in (5, 10, 15) else w for i, w in enumerate(item)]
+    rows = [(0, words(rng, 40) + " " + " ".join(item) + " " + words(rng, 40))]
+    rows += [(1 + i, words(rng, 40) + " " + " ".join(edited) + " " + words(rng, 40)) for i in range(copies)]
+    rows += [(5000 + i, words(rng, 40) + " " + " ".join(item[:4]) + " " + words(rng, 40)) for i in range(30)]
+    rows += [(6000 + i, rows[1][1]) for i in range(20)]
+    got = decontam.contaminated_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4),
+                                          spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["score"], r["first_word"], r["end_word"]) for r in got} == {
+        0: (1.0, 40, 60), **{i: (0.775, 40, 60) for i in [*range(1, 1 + copies), *range(6000, 6020)]}}
+    assert len(got) == copies + 21
+
+
 def brute_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
