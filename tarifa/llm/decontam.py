@@ -34,11 +34,12 @@ def _hashes(words) -> np.ndarray:
 
 
 def item_seeds(benchmark: DataFrame, n: int = SEED_WORDS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, words, n_words, hashes (distinct n-gram hashes as longs). Rows without words are left out."""
+    """item, words, n_words, hashes (distinct n-gram hashes as longs; of fewer than n words that of all words). Rows
+    without words are left out."""
     def run(batches):
         for b in batches:
             words = [words_of(t) for t in b.column(1).to_pylist()]
-            grams = [np.unique(_windows(_hashes(w), n)).view(np.int64).tolist() if len(w) >= n else [] for w in words]
+            grams = [np.unique(_windows(_hashes(w), min(n, len(w)))).view(np.int64).tolist() if w else [] for w in words]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([b" ".join(w).decode(errors="replace") for w in words]), pa.array([len(w) for w in words], pa.int64()),
                  pa.array(grams, pa.list_(pa.int64()))], names=["item", "words", "n_words", "hashes"])
@@ -48,8 +49,9 @@ def item_seeds(benchmark: DataFrame, n: int = SEED_WORDS, id_col: str = "item_id
             .mapInArrow(run, f"item {kind}, words string, n_words long, hashes array<long>").where("n_words > 0"))
 
 
-def passages(docs: DataFrame, shared, reach: int, n: int = SEED_WORDS) -> DataFrame:
-    """``docs`` (id, key, text): one row per stretch of words around seed hits: id, key, start, words, hashes.
+def passages(docs: DataFrame, shared, reach: int, lengths: list[int]) -> DataFrame:
+    """``docs`` (id, key, text): one row per stretch of words around hits of seeds of any of the ``lengths``: id, key,
+    start, words, hashes.
 
     A stretch covers ``reach`` words to either side of its hits; overlapping stretches are one."""
     def run(batches):
@@ -68,11 +70,17 @@ def passages(docs: DataFrame, shared, reach: int, n: int = SEED_WORDS) -> DataFr
         words = [words_of(t) for t in texts]
         count = np.array([len(w) for w in words], np.int64)
         end = np.cumsum(count)
-        grams = _windows(_hashes(itertools.chain.from_iterable(words)), n)
-        at = maybe_in(grams, table)
+        each = _hashes(itertools.chain.from_iterable(words))
+        hits = []
+        for n in lengths:
+            grams = _windows(each, n)
+            at = maybe_in(grams, table)
+            at = at[at + n <= end[np.searchsorted(end, at, side="right")]]
+            hits.append((at, at + n, grams[at]))
+        at, to, seed = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(at, kind="stable")
+        at, to, seed = at[order], to[order], seed[order]
         doc = np.searchsorted(end, at, side="right")
-        ok = at + n <= end[doc]
-        at, doc = at[ok], doc[ok]
         begin = (end - count)[doc]
         out = []
         i = 0
@@ -81,9 +89,9 @@ def passages(docs: DataFrame, shared, reach: int, n: int = SEED_WORDS) -> DataFr
             while j + 1 < len(at) and doc[j + 1] == doc[i] and at[j + 1] - at[j] <= 2 * reach:
                 j += 1
             d, w0 = int(doc[i]), int(begin[i])
-            lo, hi = max(0, int(at[i]) - w0 - reach), int(at[j]) - w0 + n + reach
+            lo, hi = max(0, int(at[i]) - w0 - reach), int(to[i:j + 1].max()) - w0 + reach
             out.append((d, keys[d], lo, b" ".join(words[d][lo:hi]).decode(errors="replace"),
-                        np.unique(grams[at[i:j + 1]]).view(np.int64).tolist()))
+                        np.unique(seed[i:j + 1]).view(np.int64).tolist()))
             i = j + 1
         return pa.RecordBatch.from_arrays(
             [ids.take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.int64()),
@@ -122,11 +130,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per (row of ``docs``, benchmark item) whose best alignment scores ``threshold`` of the whole item or more:
     id, key, item, score, first_word, end_word (places among the document's words).
 
-    Seeds are the ``n``-grams of an item. Each passage that shares one, however common, is aligned, unless it has too few of
+    Seeds are the ``n``-grams of an item; of one of fewer than ``n`` words, all its words in order. Each passage that shares one, however common, is aligned, unless it has too few of
     the item's words to reach the threshold in any order. Equal passages are aligned once. A document found several times
     for an item is reported with its best passage.
-    Null or empty texts match nothing, nor do items of fewer than ``n`` words; rows that repeat an id are told apart by
-    their text; equal rows are reported once. Items repeated under one item_id count as one item each. Empty tables give
+    Null or empty texts match nothing; rows that repeat an id are told apart by their text; equal rows are reported once. Items repeated under one item_id count as one item each. Empty tables give
     no rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
@@ -135,7 +142,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     distinct = seeds.select("hash").distinct()
     reach = int((items.agg(F.max("n_words")).first()[0] or 0) * 1.25) + 8
     shared = key_filter(distinct, seeds.count(), BITS_PER_SEED)
-    found = checkpoint(passages(keyed, shared, reach, n).withColumn("passage", F.xxhash64("words")))
+    lengths = sorted(r[0] for r in items.select(F.least("n_words", F.lit(n))).distinct().collect()) or [n]   # at most n
+    found = checkpoint(passages(keyed, shared, reach, lengths).withColumn("passage", F.xxhash64("words")))
     texts = checkpoint(found.select("passage", "words", "hashes").dropDuplicates(["passage"]))   # equal words have equal hits
     pairs = checkpoint(texts.select("passage", F.explode("hashes").alias("hash")).join(seeds, "hash").select("passage", "ref").distinct())
     both = (pairs.join(texts.select("passage", "words"), "passage")

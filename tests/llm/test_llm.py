@@ -421,6 +421,18 @@ def test_decontamination_edited_copies(spark, copies):
     assert len(got) == copies + 21
 
 
+def test_decontamination_short_items(spark):
+    rng = random.Random(3)
+    items = ["Paris", "blue whale", "forty two degrees", "日本の首都は東京です", "four words make seeds"]
+    rows = [(i, f"{words(rng, 30)} {t.upper()}, {words(rng, 30)}") for i, t in enumerate(items)]
+    rows += [(10, "blue"), (11, "whale blue"), (12, "forty two"), (13, "Blue\nwhale"), (14, "paris"), (15, "parisian"), (16, None)]
+    got = decontam.contaminated_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3),
+                                          spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [*((i, i) for i in range(5)), (13, 1), (14, 0)]
+    assert {r["score"] for r in got} == {1.0}
+    assert {(r["first_word"], r["end_word"]) for r in got if r["doc_id"] == 2} == {(30, 33)}
+
+
 def brute_align(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
