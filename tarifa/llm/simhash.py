@@ -204,14 +204,17 @@ def links(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFr
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, limit: int = 50) -> DataFrame:
+def components(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(node, root) for all nodes with a link: root is the smallest node reachable. Alternating star contraction:
     each round every node hands its larger neighbours, then its smaller ones, to the smallest it knows; ends when
-    the links no longer change. Only joins and partial minima; ``limit`` rounds are far beyond what is needed."""
+    the links no longer change, after about log rounds; raises if ``limit`` rounds don't suffice. Only joins and
+    partial minima."""
     e = checkpoint(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
     sign = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = sign(e)
-    for _ in range(limit):
+    for turn in itertools.count():
+        if turn == limit:
+            raise RuntimeError(f"components still change after {limit} rounds")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -222,9 +225,8 @@ def components(edges: DataFrame, limit: int = 50) -> DataFrame:
                        .select("x.u", "x.v").where("u <> v").distinct())
         after = sign(e)
         if after == before:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

@@ -140,6 +140,16 @@ def test_links_and_chunks(spark, radius):
         assert len(set(zip(mine, label))) == len(set(label)) == len(set(mine))
 
 
+def test_components_until_stable(spark):
+    order = random.Random(2).sample(range(-1000, 1000), 600)
+    chains = [order[:400], order[400:]]
+    edges = spark.createDataFrame([e for c in chains for e in zip(c, c[1:])], "a long, b long")
+    got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert got == {n: min(c) for c in chains for n in c if n != min(c)}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, limit=1)
+
+
 def test_keep_one(docs, rows):
     got = simhash.keep_one(docs)
     assert got.columns == docs.columns
