@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -20,6 +21,9 @@ TREES, DEPTH, SEED = 12, 4, 7
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video title".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+KEPT = frozenset("script style template title".split())     # not ended by the end of a parent
+FOREIGN, HTML_IN_FOREIGN = frozenset(("svg", "math")), frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search
 section select summary table tbody td textarea tfoot th thead tr ul""".split())
@@ -70,7 +74,9 @@ class Page(HTMLParser):
         self.stack: list[tuple[str, int]] = [("#page", 0)]     # open elements and the node each belongs to
         self.blocks: list[list[tuple[int, str]]] = []
         self.run: list[tuple[int, str]] = []
-        self.silent: list[str] = []
+        self.silent: list[str] = []                            # open elements from the outermost silent one inward,
+        self.marks: list[int] = []                             # and the places of the silent ones among them
+        self.ends = Counter(m.lower() for m in re.findall(r"</([a-zA-Z]+)", html))   # end tags still to come
         self.link = 0
         self.feed(html)
         self.close()
@@ -89,14 +95,37 @@ class Page(HTMLParser):
             if tag in BLOCKS:
                 self._flush()
 
+    def _holds(self, tag: str) -> bool:
+        """Whether the innermost open silent element can have the element that starts inside it."""
+        at = self.marks[-1]
+        kind = self.silent[at]
+        if kind == "head":
+            return tag in IN_HEAD
+        if not self.ends[kind]:                                 # left open: ends where a block starts
+            return tag not in BLOCKS
+        if kind in ("title", "template"):
+            return True
+        if tag == "body" or kind in FOREIGN and tag in BLOCKS and HTML_IN_FOREIGN.isdisjoint(self.silent[at + 1:]):
+            return False
+        if tag in SIBLINGS and SCOPE[tag].isdisjoint(self.silent[at + 1:]):   # ends an open element around the silent one
+            near = next((t for t, _ in reversed(self.stack) if t in SIBLINGS[tag] or t in SCOPE[tag]), None)
+            return near not in SIBLINGS[tag]
+        return True
+
+    def _cut(self, at: int):
+        del self.silent[at:]
+        while self.marks and self.marks[-1] >= at:
+            self.marks.pop()
+
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
+        while self.silent and not self._holds(tag):
+            self._cut(self.marks[-1])
+        if tag in SILENT or self.silent:
             if tag not in VOID:
+                if tag in SILENT:
+                    self.marks.append(len(self.silent))
                 self.silent.append(tag)
             return
-        if self.silent and not (self.silent == ["head"] and tag == "body"):
-            return
-        self.silent = []
         if tag in BLOCKS:
             if tag in CLOSES_P:
                 self._close_open({"p"}, {"button", "td", "th", "caption", "table"})
@@ -137,17 +166,23 @@ class Page(HTMLParser):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in SILENT:
             self.handle_endtag(tag)
-        elif tag in SILENT and self.silent and self.silent[-1] == tag:
-            self.silent.pop()
+        elif self.silent and self.silent[-1] == tag:
+            self._cut(len(self.silent) - 1)
 
     def handle_endtag(self, tag):
-        if tag in SILENT:
-            if tag in self.silent:
-                while self.silent.pop() != tag:
-                    pass
+        self.ends[tag] -= 1
+        if tag in self.silent:
+            at = len(self.silent) - 1
+            while self.silent[at] != tag:
+                at -= 1
+            self._cut(at)
             return
-        if self.silent:
+        if tag in SILENT:
             return
+        if self.silent:                                        # the end of a parent ends them too
+            if not KEPT.isdisjoint(self.silent) or all(t != tag for t, _ in self.stack):
+                return
+            self._cut(0)
         for i in range(len(self.stack) - 1, 0, -1):
             open_tag = self.stack[i][0]
             if open_tag == tag:
@@ -157,6 +192,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.silent == ["head"] and not data.isspace():
+            self._cut(0)
         if not self.silent:
             at = self.stack[-1][1]
             self.run.append((at, data))

@@ -300,6 +300,17 @@ def test_main_text(trees, name):
     assert pagetext.main_text(PAGES[name][0], trees) == PAGES[name][1]
 
 
+@pytest.mark.parametrize("html", [
+    "<html><head><title>no</title><meta charset=utf-8><article><p>after</p></article>", "<head><title>no</title>after", "<head><noscript>no<div>after",
+    "<head><title>no<meta charset=utf-8><body>after", "<div><svg><path d=x>no</div><p>after</p>", "<svg><g><text>no</text><p>after</p>",
+    "<p><object data=x>no</p>after", "<video src=x>no<p>after", "<p><iframe src=x>no<div>after", "<ul><li><canvas>no<li>after</ul><canvas>no</canvas>",
+    "<object>no<p>no</p></object><p>after", "<head><noscript><img><div>no</div></noscript></head><p>after", "<ul><noscript><li>no</li></noscript></ul>after",
+    "<svg><title>no</title><foreignObject><p>no</p></foreignObject></svg><p>after", "<script>'<p>no</p>'</script><p>after",
+    "<div><template><tr><td>no</div>no</template>after", "<p><svg/>after"])
+def test_silent_elements_left_open(html):
+    assert "".join(piece for block in pagetext.Page(html).blocks for _, piece in block).strip() == "after"
+
+
 def test_extract(spark, trees):
     long = "<article>" + "".join(f"<p>paragraph number {i} of a long page.</p>" for i in range(3000)) + "</article>"
     deep = "<article>" + "<div>" * 3000 + "<p>deep text in here, at last.</p>"
