@@ -969,6 +969,20 @@ def j4_assemble(spark, sf):
                       "total_amenities")
 
 
+@query("j4_whole_build")
+def j4_whole_build(spark, sf):
+    """The build with every part: MCA axes and the point and area tables in place of the fallback points and constants.
+    Rows check only (the MCA columns have no SQL twin); its parts are compared with j9, an MCA fitted apart and brute-force distances in pytest."""
+    points = D.points(spark, sf)
+    out = DS.build_dataset(D.searches(spark, sf), D.amenities(spark, sf), metro=points.filter("point_id % 2 = 0"),
+                           coast=points.filter("point_id % 2 = 1"), areas=FM.customer_areas(spark, sf),
+                           area_attrs={"favela_cercana_size": "SUM_EDOC", "favela_vulnerabilidad_salud": "UH_Dist"}, mca_dims=8)
+    return out.select("searchid", "position", "hid", "sid", "split", "longitude", "latitude", "total_amenities", "favela_cercana_size",
+                      "favela_vulnerabilidad_salud",
+                      *[r6(c).alias(c) for c in ("density_kde", "dist_metro_m", "dist_playa_m", "dist_favela_m", "dist_cristo_m",
+                                                 "precio_mean_10nn", "dist_mean_20nn", *(f"mca_dim_{d}" for d in range(1, 9)))])
+
+
 @query("t7_mca")
 def t7_mca(spark, sf):
     """Rows check only: eigen-decomposition has no SQL twin (NumPy SVD parity is a pytest)."""

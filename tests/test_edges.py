@@ -102,6 +102,36 @@ def test_fan_out_preserved(spark):
     assert out.count() == n
 
 
+def test_whole_build_has_every_part(spark):
+    q = __import__("__spark_entry__").queries()
+    out = q["j4_whole_build"](spark, SF_SMALL).cache()
+    assert out.count() == R.require(D.searches(spark, SF_SMALL), ["hid", "longitude", "latitude"]).count()
+    cols = [f"mca_dim_{d}" for d in range(1, 9)]
+    rio = R.filter_eq(D.amenities(spark, SF_SMALL), "destination_name", "Rio de Janeiro")   # t7 fits on all destinations
+    train = out.filter("split = 'train'").select(F.col("hid").alias("hotel_id")).distinct()
+    axes = MCA(D.AMENITY_COLS, k=8).fit(R.semi(rio, train, "hotel_id"))
+    mca = {r["hotel_id"]: [r[c] for c in cols] for r in axes.transform(rio).collect()}
+    area = {}
+    for r in q["j9_nearest_area"](spark, SF_SMALL).collect():
+        area.setdefault(r["hid"], set()).add((r["dist_favela_m"], r["favela_cercana_size"], r["favela_vulnerabilidad_salud"]))
+    pts = [(p["point_id"] % 2, p["lat"], p["lon"]) for p in D.points(spark, SF_SMALL).collect()]
+    rows = out.collect()
+    assert len({r["dist_favela_m"] for r in rows}) > 1 and any(r["mca_dim_8"] for r in rows)
+    for r in rows:
+        got = [r[c] for c in cols]
+        if r["hid"] in mca:
+            assert np.allclose(np.abs(got), np.abs(mca[r["hid"]]), atol=1e-5)
+        else:                                                 # no amenity row at the destination
+            assert got == [None] * 8
+        assert (r["dist_favela_m"], r["favela_cercana_size"], r["favela_vulnerabilidad_salud"]) in area[r["hid"]]
+    for r in rows[::97]:
+        for odd, c in ((0, "dist_metro_m"), (1, "dist_playa_m")):
+            la, lo = np.radians([p[1] for p in pts if p[0] == odd]), np.radians([p[2] for p in pts if p[0] == odd])
+            a, b = np.radians(r["latitude"]), np.radians(r["longitude"])
+            h = np.sin((la - a) / 2) ** 2 + np.cos(a) * np.cos(la) * np.sin((lo - b) / 2) ** 2
+            assert abs(r[c] / (2 * np.arcsin(np.sqrt(h)).min()) / 6371000 - 1) < 2e-3
+
+
 def test_features_do_not_leak_val_test_prices(spark):
     s = R.session_split(D.searches(spark, SF_SMALL))
     bumped = s.withColumn("price_by_night_person", F.when(F.col("split") == "train", F.col("price_by_night_person"))
