@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, chat, decontam, exact, pagetext, quality, rans, sharding, simhash, substring
+from . import bpe, chat, covertree, decontam, exact, pagetext, quality, rans, sharding, simhash, spelling, substring, whitening
 from .common import table
 
 
@@ -49,6 +49,18 @@ def op10_decontamination(spark, sf_dir):
     return decontam.contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_topk_search(spark, sf_dir):
+    return covertree.top_scores(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.document_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -57,7 +69,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_quality_classifier, op3_token_output, op4_byte_bpe, op5_chat_formatting, op6_html_extraction, op7_substring_dedup,
-    op8_exact_dedup, op9_sharding, op10_decontamination,
+    op8_exact_dedup, op9_sharding, op10_decontamination, op11_topk_search, op12_spelling_variants, op13_embedding_whitening,
     pipeline)}
 
 ORACLE = {
@@ -69,5 +81,18 @@ WITH n AS (
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
 FROM n WINDOW g AS (PARTITION BY t)
+""",
+    "op11_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(r.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER w <= 5
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
 """,
 }
