@@ -12,11 +12,12 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 from .boosting import TweedieGBTModel, _SparkMLExpert
+from .forest import PackedForest
 from .linear import LinearModel
 from .pca import ScaledPCAModel
 from .routing import BestFirstRouter
 from .scoring import MoEBundle
-from .stacking import FlatStack, RoutedStack
+from .stacking import FlatStack, ForestStack, RoutedStack
 
 
 def _write(spark: SparkSession, path: str, manifest: dict) -> None:
@@ -32,8 +33,8 @@ def _parts(spark: SparkSession, models: dict, path: str, name: str) -> dict:
 
 
 def save_model(spark: SparkSession, model, path: str) -> None:
-    """Save a Spark ML expert, boosted Tweedie or median trees, a linear model, scaled PCA, the best-first router, a
-    flat stack, a routed stack or a mixture of experts below ``path``."""
+    """Save a Spark ML expert, boosted Tweedie or median trees, a packed forest, a linear model, scaled PCA, the best-first
+    router, a flat stack, a routed stack (of either kind) or a mixture of experts below ``path``."""
     if isinstance(model, _SparkMLExpert):
         model.model.write().overwrite().save(f"{path}/ml")
         out = {"kind": "ml", "class": type(model.model).__name__, "features": model.features}
@@ -61,6 +62,14 @@ def save_model(spark: SparkSession, model, path: str) -> None:
                "metas": _parts(spark, model.metas, path, "meta"), "order": list(model.metas)}
         save_model(spark, model.router, f"{path}/router")
         save_model(spark, model.glob, f"{path}/global")
+    elif isinstance(model, PackedForest):
+        model.save(spark, f"{path}/forest")
+        out = {"kind": "forest"}
+    elif isinstance(model, ForestStack):
+        out = {"kind": "forest_stack", "features": model.features, "leaves": [int(x) for x in model.leaves], "params": model.params,
+               "metas": _parts(spark, model.metas, path, "meta"), "order": list(model.metas)}
+        save_model(spark, model.router, f"{path}/router")
+        save_model(spark, model.forest, f"{path}/experts")
     elif isinstance(model, MoEBundle):
         out = {"kind": "moe", "features": model.features, "log_target": model.log_target, "family": model.family, "meta": model.meta,
                "models": _parts(spark, model.models, path, "expert")}
@@ -96,6 +105,12 @@ def load_model(spark: SparkSession, path: str):
         metas = part(m["metas"])
         return RoutedStack(m["features"], load_model(spark, f"{path}/router"), {name: part(f) for name, f in m["local"].items()},
                            load_model(spark, f"{path}/global"), {k: metas[k] for k in m["order"]}, m["leaves"], None, m["params"])
+    if kind == "forest":
+        return PackedForest.load(spark, f"{path}/forest")
+    if kind == "forest_stack":
+        metas = part(m["metas"])
+        return ForestStack(m["features"], load_model(spark, f"{path}/router"), load_model(spark, f"{path}/experts"),
+                           {k: metas[k] for k in m["order"]}, m["leaves"], None, m["params"])
     if kind == "moe":
         return MoEBundle(m["features"], part(m["models"]), m["log_target"], m["family"], m["meta"])
     raise ValueError(f"unknown model kind {kind!r}")

@@ -1285,32 +1285,69 @@ def _expert_frame(spark, sf):
 _EXPERT_FEATS = _ROUTER_FEATS + ["anticipation", "duration"]
 
 
+from ..operators import forest as FO  # noqa: E402
+
+
 @query("m6_tweedie_boosting")
 def m6_tweedie_boosting(spark, sf):
-    """Rows check: Tweedie-boosted trees (ρ = 1.5) fitted on train rows; test-split metrics."""
+    """Rows check: Tweedie-boosted trees (ρ = 1.5, 300 rounds, step 0.05, depth 5) fitted on train rows; test-split metrics."""
     d = _expert_frame(spark, sf)
-    m = BO.TweedieGBT(_EXPERT_FEATS, power=1.5, rounds=10, step=0.3, depth=4).fit(
-        d.filter(F.col("split") == "train"), "price_by_night_person")
-    te = m.transform(d.filter(F.col("split") == "test"), "pred")
+    m = FO.grow(d.filter(F.col("split") == "train"), _EXPERT_FEATS, "price_by_night_person", [FO.Slot("global", FO.Family())])
+    te = m.transform(d.filter(F.col("split") == "test"), {"pred": ("global", None)})
     return R.regression_metrics(te, "price_by_night_person", ["pred"])
 
 
 @query("m3_segment_experts")
 def m3_segment_experts(spark, sf):
-    """Rows check: per-segment experts (M3: Tweedie GLM form, M4: absolute-loss boosting) and
-    the global expert (M5) as fallback; test metrics per family."""
+    """Rows check: two Tweedie families (M3) and the absolute-loss family (M4) per segment and the global expert (M5), 300 rounds
+    each, grown together; test metrics per family."""
     d = _expert_frame(spark, sf)
     tr = d.filter(F.col("split") == "train")
     router = BestFirstRouter(_ROUTER_FEATS, max_leaves=6, min_leaf=1000, bins=256).fit(tr, "price_by_night_person")
-    trs = router.transform(tr)
+    seg = F.col("segmento")
+    slots = [FO.Slot(name, fam, seg) for name, fam in ST.LOCAL_FAMILIES.items()] + [FO.Slot("pred_lgb_global", ST.GLOBAL_FAMILY)]
+    m = FO.grow(router.transform(tr), _EXPERT_FEATS, "price_by_night_person", slots)
     te = router.transform(d.filter(F.col("split") == "test"))
-    glob = BO.fit_expert(tr, _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("tweedie_glm"))
-    tw = BO.fit_segment_experts(trs, "segmento", _EXPERT_FEATS, "price_by_night_person", BO.ExpertSpec("tweedie_glm"))
-    mae = BO.fit_segment_experts(trs, "segmento", _EXPERT_FEATS, "price_by_night_person",
-                                 BO.ExpertSpec("mae", {"rounds": 10, "depth": 4}))
-    p = BO.predict_segments_multi(te, "segmento", {"pred_tweedie": tw, "pred_mae": mae}, fallback=glob)
-    p = glob.transform(p, "pred_global")
-    return R.regression_metrics(p, "price_by_night_person", ["pred_tweedie", "pred_mae", "pred_global"])
+    p = m.transform(te, {**{name: (name, seg) for name in ST.LOCAL_FAMILIES}, "pred_lgb_global": ("pred_lgb_global", None)}, fallback="pred_lgb_global")
+    return R.regression_metrics(p, "price_by_night_person", ST.HYBRID)
+
+
+_TWO_ROUNDS_SQL = V.with_views("split_searches") + """
+, d AS (SELECT split, CAST(coalesce(starRating, 0) >= 3 AS INTEGER) AS side, CASE WHEN coalesce(avgRating, 0) >= 7 THEN 'high' ELSE 'low' END AS seg,
+               price_by_night_person AS y FROM split_searches),
+tr AS (SELECT * FROM d WHERE split = 'train'),
+"""
+
+
+@query("m3_two_round_trees", _TWO_ROUNDS_SQL + """
+f AS (SELECT seg, ln(avg(y)) AS f0 FROM tr GROUP BY seg),
+g1 AS (SELECT seg, side, y, f0, -y * exp(-0.5 * f0) + exp(0.5 * f0) AS g, 0.5 * y * exp(-0.5 * f0) + 0.5 * exp(0.5 * f0) AS h FROM tr JOIN f USING (seg)),
+l1 AS (SELECT seg, side, max(f0) - 0.3 * sum(g) / (sum(h) + 1.0) AS f1 FROM g1 GROUP BY seg, side),
+g2 AS (SELECT seg, side, f1, -y * exp(-0.5 * f1) + exp(0.5 * f1) AS g, 0.5 * y * exp(-0.5 * f1) + 0.5 * exp(0.5 * f1) AS h FROM tr JOIN l1 USING (seg, side)),
+l2 AS (SELECT seg, side, exp(max(f1) - 0.3 * sum(g) / (sum(h) + 1.0)) AS p FROM g2 GROUP BY seg, side)
+SELECT seg, side, count(*) AS n, ROUND(max(p), 6) AS prediction FROM (SELECT * FROM d WHERE split = 'test') t JOIN l2 USING (seg, side) GROUP BY seg, side
+""")
+def m3_two_round_trees(spark, sf):
+    """M3, M6: two rounds of Tweedie boosting per segment on a two-valued feature, all segments grown together."""
+    d = _sides(spark, sf, VW.split_searches(spark, sf).withColumn("seg", F.when(F.coalesce(F.col("avgRating"), F.lit(0.0)) >= 7, F.lit("high")).otherwise(F.lit("low"))), ["seg"])
+    fam = FO.Family("tweedie", rounds=2, step=0.3, depth=1, reg_lambda=1.0, min_rows=1)
+    m = FO.grow(d.filter(F.col("split") == "train"), ["x"], "y", [FO.Slot("s", fam, F.col("seg"))])
+    te = m.transform(d.filter(F.col("split") == "test"), {"p": ("s", F.col("seg"))})
+    return te.groupBy("seg", "side").agg(F.count(F.lit(1)).alias("n"), r6(F.max("p")).alias("prediction"))
+
+
+@query("m8_two_round_trees", _TWO_ROUNDS_SQL + """
+f AS (SELECT avg(y) AS f0 FROM tr),
+l1 AS (SELECT side, f0 + 0.5 * avg(y - f0) AS f1 FROM tr, f GROUP BY side, f0),
+l2 AS (SELECT side, max(f1) + 0.5 * avg(y - f1) AS p FROM tr JOIN l1 USING (side) GROUP BY side)
+SELECT side, count(*) AS n, ROUND(max(p), 6) AS prediction FROM (SELECT * FROM d WHERE split = 'test') t JOIN l2 USING (side) GROUP BY side
+""")
+def m8_two_round_trees(spark, sf):
+    """M8: two rounds of squared-error boosting on a two-valued feature."""
+    d = _sides(spark, sf)
+    m = FO.grow(d.filter(F.col("split") == "train"), ["x"], "y", [FO.Slot("s", FO.Family("squared", rounds=2, step=0.5, depth=1, min_rows=1))])
+    te = m.transform(d.filter(F.col("split") == "test"), {"p": ("s", None)})
+    return te.groupBy("side").agg(F.count(F.lit(1)).alias("n"), r6(F.max("p")).alias("prediction"))
 
 
 @query("m7_m8_tree_bases")
@@ -1340,9 +1377,9 @@ def _trainval_test(spark, sf):
 
 @query("m13_routed_stacking")
 def m13_routed_stacking(spark, sf):
-    """Rows check: 5-fold routed stacking on train ∪ val; the meta quadrant (M21) on test."""
+    """Rows check: 5-fold routed stacking on train ∪ val, 300 boosted rounds for every expert; the meta quadrant (M21) on test."""
     tv, te = _trainval_test(spark, sf)
-    stack = ST.routed_stacking(tv, _EXPERT_FEATS, _ROUTER_FEATS, "price_by_night_person", _KEYS, k=5)
+    stack = ST.routed_forest_stacking(tv, _EXPERT_FEATS, _ROUTER_FEATS, "price_by_night_person", _KEYS, k=5)
     return ST.evaluate_quadrant(stack, te, "price_by_night_person")
 
 
@@ -1435,13 +1472,13 @@ def m18_random_search(spark, sf):
 
 @query("m19_early_stopping")
 def m19_early_stopping(spark, sf):
-    """Rows check: boosting stopped by a 20 % hash-chosen validation set; trees kept and test metrics."""
+    """Rows check: boosting that ends after 20 rounds without a smaller loss on the val split and keeps its best round."""
     d = _expert_frame(spark, sf)
-    m = TU.early_stopped_gbt(d.filter(F.col("split") == "train"), _EXPERT_FEATS, "price_by_night_person", _KEYS,
-                             rounds=100, step=0.2)
-    te = m.transform(d.filter(F.col("split") == "test"), "pred")
-    return R.regression_metrics(te, "price_by_night_person", ["pred"]) \
-        .withColumn("trees", F.lit(len(m.model.trees)))
+    fam = FO.Family("tweedie", step=0.2, depth=6)
+    m = FO.grow(d.filter(F.col("split") != "test"), _EXPERT_FEATS, "price_by_night_person", [FO.Slot("m", fam)],
+                valid=F.col("split") == "val", patience=20)
+    te = m.transform(d.filter(F.col("split") == "test"), {"pred": ("m", None)})
+    return R.regression_metrics(te, "price_by_night_person", ["pred"]).withColumn("trees", F.lit(int(m.slots["m"].rounds[0])))
 
 
 # =============================================================== T11, T12, R6, streaming
@@ -1589,6 +1626,40 @@ def r6_tree_attributions(spark, sf):
     return s.select("feature", r6("mean_abs").alias("mean_abs"))
 
 
+@query("r6_tree_shapley")
+def r6_tree_shapley(spark, sf):
+    """Rows check: exact Shapley values (log scale) of a Tweedie booster for 500 sampled test rows against all train rows as
+    background, summarised as the top-5 mean |attribution| (A12)."""
+    from ..operators.shapley import shapley_values
+    d = _expert_frame(spark, sf)
+    tr = d.filter(F.col("split") == "train")
+    m = FO.grow(tr, _EXPERT_FEATS, "price_by_night_person", [FO.Slot("m", FO.Family("tweedie", rounds=50, step=0.2))])
+    rows = R.sample_n(d.filter(F.col("split") == "test"), 500, _KEYS, seed=42)
+    s = R.attribution_summary(shapley_values(rows, m, "m", _KEYS, tr), k=5)
+    return s.select("feature", r6("mean_abs").alias("mean_abs"))
+
+
+@query("r6_shapley_two_features", V.with_views("split_searches") + """
+, d AS (SELECT split, CAST(coalesce(starRating, 0) >= 3 AS INTEGER) AS side, price_by_night_person AS y FROM split_searches),
+l AS (SELECT side, avg(y) AS v FROM d WHERE split = 'train' GROUP BY side),
+b AS (SELECT avg(v) AS base FROM d JOIN l USING (side) WHERE split = 'train')
+SELECT side, count(*) AS n, ROUND(max(v - base), 6) AS attribution, 0.0::DOUBLE AS other, ROUND(max(base), 6) AS base_value
+FROM d JOIN l USING (side), b WHERE split = 'test' GROUP BY side
+""")
+def r6_shapley_two_features(spark, sf):
+    """With one tree split on one of two features, the Shapley value of the split feature is the row's leaf less the
+    background's mean leaf, that of the other (constant) one is 0."""
+    from ..operators.shapley import shapley_values
+    d = _sides(spark, sf).withColumn("z", F.lit(1.0)).withColumn("_row", F.monotonically_increasing_id()).transform(ST._ckpt)
+    tr, te = d.filter(F.col("split") == "train"), d.filter(F.col("split") == "test")
+    m = FO.grow(tr, ["x", "z"], "y", [FO.Slot("s", FO.Family("squared", rounds=1, step=1.0, depth=1, min_rows=1))])
+    a = shapley_values(te, m, "s", ["side", "_row"], tr)
+    wide = a.groupBy("side", "_row", "base_value").agg(F.sum(F.when(F.col("feature") == "x", F.col("attribution"))).alias("ax"),
+                                                      F.sum(F.when(F.col("feature") == "z", F.col("attribution"))).alias("az"))
+    return wide.groupBy("side").agg(F.count(F.lit(1)).alias("n"), r6(F.max("ax")).alias("attribution"), r6(F.max(F.abs("az"))).alias("other"),
+                                    r6(F.max("base_value")).alias("base_value"))
+
+
 # =============================================================== NULLs, closed forms of the tree models, additivity
 _NULL_PREDS = """
 SELECT precio_real AS y, CASE WHEN position % 3 = 0 THEN NULL ELSE prediccion_huber END AS pred_a,
@@ -1630,9 +1701,9 @@ tr AS (SELECT * FROM d WHERE split = 'train')
 """
 
 
-def _sides(spark, sf):
-    return VW.split_searches(spark, sf).select(
-        "split", (F.coalesce(F.col("starRating"), F.lit(0.0)) >= 3).cast("int").alias("side"),
+def _sides(spark, sf, rows=None, more=()):
+    return (VW.split_searches(spark, sf) if rows is None else rows).select(
+        *more, "split", (F.coalesce(F.col("starRating"), F.lit(0.0)) >= 3).cast("int").alias("side"),
         (F.coalesce(F.col("starRating"), F.lit(0.0)) >= 3).cast("double").alias("x"), F.col("price_by_night_person").alias("y"))
 
 
