@@ -1695,6 +1695,36 @@ def m9_ols_with_nulls(spark, sf):
     return spark.createDataFrame([(round(float(m.coef[0]), 6), round(m.intercept, 6), int(m.params["n"]))], "coef double, intercept double, n bigint")
 
 
+_OFFSET = 1_000_000_000.0
+
+
+@query("m9_offset_columns", V.with_views("split_searches") + """
+SELECT ROUND(regr_slope(price_by_night_person, anticipation), 6) AS slope, ROUND(regr_r2(price_by_night_person, anticipation), 6) AS r2,
+       ROUND(3.0::DOUBLE, 6) AS exact_slope, CAST(regr_count(price_by_night_person, anticipation) AS BIGINT) AS n FROM split_searches
+""")
+def m9_offset_columns(spark, sf):
+    """M9 on a feature and a label far from zero: the slope is that of the columns without the offset; and a line's own slope."""
+    s = VW.split_searches(spark, sf).select(F.col("price_by_night_person").alias("y"), (F.col("anticipation") + F.lit(_OFFSET)).alias("x"))
+    s = s.withColumns({"far": F.col("y") + F.lit(_OFFSET), "line": F.lit(3.0) * (F.col("x") - F.lit(_OFFSET))})
+    m, line = LIN.ols(s, ["x"], "y"), LIN.ols(s, ["x"], "line")
+    scored = s.withColumn("p", F.lit(float(m.coef[0])) * (F.col("x") - F.lit(_OFFSET)) + F.lit(m.intercept + float(m.coef[0]) * _OFFSET))
+    r2 = R.regression_metrics(scored, "y", ["p"]).first()["r2"]
+    return spark.createDataFrame([(round(float(m.coef[0]), 6), round(float(r2), 6), round(float(line.coef[0]), 6), int(m.params["n"]))],
+                                 "slope double, r2 double, exact_slope double, n bigint")
+
+
+@query("t8_offset_columns", V.with_views("split_searches") + """
+, tr AS (SELECT CAST(anticipation AS DOUBLE) AS x1, CAST(duration AS DOUBLE) AS x2 FROM split_searches WHERE split = 'train')
+SELECT ROUND(stddev_pop(x1), 6) AS sd_1, ROUND(stddev_pop(x2), 6) AS sd_2,
+       ROUND((1 + abs(covar_pop(x1, x2) / (stddev_pop(x1) * stddev_pop(x2)))) / 2, 6) AS explained FROM tr
+""")
+def t8_offset_columns(spark, sf):
+    """T8 on columns far from zero: deviations and explained share are those of the columns without the offset."""
+    d = VW.split_searches(spark, sf).filter(F.col("split") == "train")
+    p = scaled_pca(d.select((F.col("anticipation") + F.lit(_OFFSET)).alias("x1"), (F.col("duration") - F.lit(_OFFSET)).alias("x2")), ["x1", "x2"], 1)
+    return spark.createDataFrame([(round(float(p.sd[0]), 6), round(float(p.sd[1]), 6), round(float(p.explained[0]), 6))], "sd_1 double, sd_2 double, explained double")
+
+
 _SIDE_SQL = """
 , d AS (SELECT split, CAST(coalesce(starRating, 0) >= 3 AS INTEGER) AS side, price_by_night_person AS y FROM split_searches),
 tr AS (SELECT * FROM d WHERE split = 'train')
