@@ -84,15 +84,15 @@ FROM n WINDOW g AS (PARTITION BY t)
 """,
     "op11_topk_search": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (
   SELECT q.vec_id AS query_id, r.vec_id,
          CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(r.x AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER w <= 5
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
 """,
 }
