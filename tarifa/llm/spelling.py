@@ -6,7 +6,8 @@ dynamic programming so that their frequencies sum to the least. One edit destroy
 bigrams, so of two near words, the one whose prefix ends earlier in the order (either one on a tie) has a pivot that
 stands in the other's prefix. As the edit lies wholly before or wholly after that bigram, the bigram keeps its distance
 to the front and all letters there, or its distance to the end and all letters there. That is the position limit; it
-is part of the join key, so only words that agree up to one side of a rare bigram meet, and each meeting is verified.
+is part of the join key, so only words that agree on one side of a rare bigram meet, and each meeting is verified. Where
+that side has few letters, the other one is halved: the edit leaves one of its halves, and the key takes that in too.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ MIN_LENGTH = 5      # code points of a word; three bigrams (four code points) ar
 MIN_COUNT = 3
 RATIO = 2           # a form is at least so many times as frequent
 SLIP = 97
+KNOWN = 5           # letters of a word that a join key without halves has at least
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _GAP = re.compile("[^a-zÀ-ÿ]")
 _PORTION = 1 << 20  # code points of a text that are cut into words at a time
@@ -110,10 +112,29 @@ def pivots(prefix: list, want: int = 2) -> list:
     return list(best[-1][want][1])
 
 
-def _keys(word: str, g: tuple) -> list:
-    """The bigram with the letters before it, and the bigram with those after it."""
-    p = g[0]
-    return ["<" + word[:p + 2], ">" + word[p:]]
+def _keys(word: str, p: int, lengths) -> list:
+    """Join keys of the bigram at ``p``. ``lengths``: those that the word whose pivot it is may have; where a key needs halves, they
+    are those of that word, the places before and after the bigram being counted from the front or from the end."""
+    n, out = len(word), []
+    if p + 2 >= KNOWN:                                          # edit after the bigram, all before it known
+        out.append("<" + word[:p + 2])
+    else:
+        for m in lengths:
+            tail = m - p - 2 - (half := (m - p - 2) // 2)
+            if n >= p + 2 + half:                               # edit in the second half
+                out.append(f"{m}<" + word[:p + 2 + half])
+            if n >= p + 2 + tail:                               # edit in the first half
+                out.append(f"{m}=" + word[:p + 2] + "|" + word[n - tail:])
+    if n - p >= KNOWN:                                          # edit before the bigram, all after it known
+        out.append(">" + word[p:])
+    else:
+        for m in lengths:
+            half = (m - n + p) // 2
+            if m - n + p >= 0 and n >= m - half:                # edit in the first half
+                out.append(f"{m}>" + word[n - m + half:])
+            if 0 <= half <= p:                                  # edit in the second half
+                out.append(f"{m}~" + word[:half] + "|" + word[p:])
+    return out
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -131,25 +152,26 @@ def near_words(words: DataFrame) -> DataFrame:
     def cut(batches):
         rank = shared.value
         for b in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], []]
             for w in b.column(0).to_pylist():
-                all_ = [(p, rank[w[p:p + 2]][1], rank[w[p:p + 2]][0]) for p in range(len(w) - 1)]
+                n = len(w)
+                all_ = [(p, rank[w[p:p + 2]][1], rank[w[p:p + 2]][0]) for p in range(n - 1)]
                 last = sorted(x[2] for x in all_)[2]
                 prefix = [x for x in all_ if x[2] <= last]
-                for pivot, chosen in ((True, pivots(prefix)), (False, prefix)):
-                    for g in chosen:
-                        for k in _keys(w, g):
-                            for c, v in zip(out, (pivot, k, w, g[0], last), strict=True):
-                                c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.bool_()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()),
-                                              pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32())],
-                                             names=["pivot", "key", "word", "pos", "last"])
-
-    cuts = checkpoint(words.select("word").mapInArrow(cut, "pivot boolean, key string, word string, pos int, last int"))
-    r = cuts.where("pivot").select("key", F.col("word").alias("a"), F.col("pos").alias("a_pos"), F.col("last").alias("a_last"))
-    s = cuts.where("not pivot").select("key", F.col("word").alias("b"), F.col("pos").alias("b_pos"), F.col("last").alias("b_last"))
-    limits = ((F.col("a_last") <= F.col("b_last")) & (F.abs(F.length("a") - F.length("b")) <= 1)
-              & (F.abs(F.col("a_pos") - F.col("b_pos")) <= 1) & (F.col("a") != F.col("b")))
+                for pivot, chosen, lengths in ((True, pivots(prefix), (n,)), (False, prefix, (n - 1, n, n + 1))):
+                    keys = {k for g in chosen for k in _keys(w, g[0], lengths)}
+                    out[0] += [pivot] * len(keys)
+                    out[1] += keys
+                    out[2] += [w] * len(keys)
+                    out[3] += [last] * len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.bool_(), pa.string(), pa.string(), pa.int32()), strict=True)],
+                                             names=["pivot", "key", "word", "last"])
+
+    cuts = words.select("word").mapInArrow(cut, "pivot boolean, key string, word string, last int").withColumn("key", F.xxhash64("key"))
+    cuts = checkpoint(cuts)       # a hash of the key is enough, as what meets is verified
+    r = cuts.where("pivot").select("key", F.col("word").alias("a"), F.col("last").alias("a_last"))
+    s = cuts.where("not pivot").select("key", F.col("word").alias("b"), F.col("last").alias("b_last"))
+    limits = (F.col("a_last") <= F.col("b_last")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") != F.col("b"))
     met = r.join(s, "key").where(limits).where(F.levenshtein("a", "b", 1) == 1)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
