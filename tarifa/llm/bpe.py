@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .common import by_place
+
 LEAF = 8                 # ranks per leaf bitmap: 2^LEAF
 LOW = (1 << LEAF) - 1
 CACHE = 300_000          # words and pre-tokens a worker remembers; past that it starts afresh
@@ -326,8 +328,9 @@ def _portions(source: pa.Array):
 
 def encode_texts(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with ``out``: the ids of the whole text as little-endian unsigned 32-bit integers. A null or
-    empty text has no ids. Every row stays, extra columns pass through; no special tokens."""
-    return _columns(df, text_col, {out: lambda: encoder(path, pattern).encode}, True)
+    empty text has no ids. Every row stays, extra columns pass through, whatever their names (where one is called ``out``, the new
+    column gets an underscore); no special tokens."""
+    return by_place(df, [text_col], lambda d, t: _columns(d, t, {out: lambda: encoder(path, pattern).encode}, True), (out,))
 
 
 def decode_ids(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarifa.session import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["checkpoint", "key_filter", "maybe_in", "prefix_sum", "scratch_path", "table"]
+__all__ = ["by_place", "checkpoint", "key_filter", "maybe_in", "prefix_sum", "scratch_path", "table"]
 
 MAX_FILTER_BITS = 1 << 27   # proven bound of a broadcast key filter: 16 MB
 PROBES = 4
@@ -25,6 +25,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def by_place(df: DataFrame, cols: list[str], run, added: tuple = ()) -> DataFrame:
+    """``run`` on ``df`` with its columns named c0, c1, .. and the new names of ``cols``, so that no column of the input, whatever its
+    name, meets one of the operator's own. ``run`` returns those columns in order and then ``added``; the input's names
+    return, and an added name that the input has already gets underscores until it is new."""
+    names, new = df.columns, []
+    out = run(df.toDF(*[f"c{i}" for i in range(len(names))]), *[f"c{names.index(c)}" for c in cols])
+    for name in added:
+        while name in [*names, *new]:
+            name += "_"
+        new.append(name)
+    return out.toDF(*names, *new)
+
+
 def prefix_sum(df: DataFrame, keys: list[str], value: str | None, order: list[str], out: str,
                buckets: int = 4096, first: Column | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` (1 when None) over the rows of the same ``keys`` that come

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, key_filter, maybe_in
+from .common import by_place, checkpoint, key_filter, maybe_in
 from .substring import _windows
 
 SEED_WORDS = 4
@@ -181,7 +181,11 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
+    """The rows of ``docs``, all columns, that hold no benchmark item. Columns may have any names."""
+    return by_place(docs, [id_col, text_col], lambda d, i, t: _drop_contaminated(d, benchmark, i, t))
+
+
+def _drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bad = checkpoint(contaminated(docs, benchmark, id_col, text_col).select(F.col("key").alias("__key")).distinct())
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return docs.withColumn("__own", key).join(bad, F.col("__own") == F.col("__key"), "left_anti").drop("__own")

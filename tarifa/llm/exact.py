@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 
-from .common import checkpoint
+from .common import by_place, checkpoint
 
 SEGMENT = 1 << 16        # filter slots that are merged together
 SLOTS_PER_ROW = 16       # with 4 hash positions about 0.3 % of the unrepeated rows are shuffled needlessly
@@ -136,7 +136,12 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       max_slots: int = MAX_SLOTS) -> DataFrame:
     """The rows of ``df``, all columns, with one row per group of equal texts: that of the largest id; of
-    rows with the same id and text the largest in all columns. Rows cleared by the filter do not shuffle."""
+    rows with the same id and text the largest in all columns. Rows cleared by the filter do not shuffle. Columns may
+    have any names."""
+    return by_place(df, [id_col, text_col], lambda d, i, t: _drop_exact_copies(d, i, t, max_slots))
+
+
+def _drop_exact_copies(df: DataFrame, id_col: str, text_col: str, max_slots: int) -> DataFrame:
     flagged, shared, slots = _candidates(df, id_col, text_col, max_slots)
     keep = (flagged.where("maybe").groupBy(F.col("sha").alias("__k")).agg(F.max("id").alias("__keep")))
     rows = with_digest(df, text_col, shared, slots)

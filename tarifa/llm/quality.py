@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import by_place
+
 BLOCK = 2048             # bytes compressed at a time
 FRAME = 8                # bytes of a frame that hold no text
 LEVEL = 3
@@ -166,5 +168,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that score THRESHOLD or more."""
-    return (score(docs, fit(docs, labels, sample), out="__score").where(F.col("__score") >= THRESHOLD).drop("__score"))
+    """The rows of ``docs``, all columns, that score THRESHOLD or more. Columns may have any names."""
+    model = fit(docs.select("doc_id", "text"), labels, sample)
+    return by_place(docs, ["text"], lambda d, t: score(d, model, t, "__score").where(F.col("__score") >= THRESHOLD).drop("__score"))

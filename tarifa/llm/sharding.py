@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, prefix_sum
+from .common import by_place, checkpoint, prefix_sum
 
 
 def _pick(values: list[int], index: Column) -> Column:
@@ -66,7 +66,12 @@ def shard_rows(df: DataFrame, group_col: str, order_cols: list[str], shards: int
 
     Shard sizes in rows differ by at most one. Rows with the same ``group_col`` are linked; as few groups
     as the quotas allow are cut, and a group larger than a shard fills whole shards. Null is a group value
-    like any other. Rows equal in ``order_cols`` are interchangeable. An empty table gives no rows."""
+    like any other. Rows equal in ``order_cols`` are interchangeable. An empty table gives no rows. Columns may have any names; where
+    one is called ``shard`` or ``slot``, the new one gets an underscore."""
+    return by_place(df, [group_col, *order_cols], lambda d, g, *o: _shard_rows(d, g, list(o), shards, rounds), ("shard", "slot"))
+
+
+def _shard_rows(df: DataFrame, group_col: str, order_cols: list[str], shards: int, rounds: int) -> DataFrame:
     df = checkpoint(df)
     n = df.count()
     targets = [n // shards + (s < n % shards) for s in range(shards)]
@@ -105,6 +110,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 10) -> Data
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"),
                        F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("grp_key"))
-    out = shard_rows(rows, "grp_key", ["doc_id", "grp_key"], shards, rounds)
+    out = _shard_rows(rows, "grp_key", ["doc_id", "grp_key"], shards, rounds)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))

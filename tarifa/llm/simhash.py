@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpoint
+from .common import by_place, checkpoint
 
 SHINGLE = 4
 RADIUS = 4
@@ -258,7 +258,11 @@ def fingerprint_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, with one row per near-duplicate group: that of the smallest id (null ids last, then
-    the smaller text hash); rows alike in id and text collapse to the largest in all columns."""
+    the smaller text hash); rows alike in id and text collapse to the largest in all columns. Columns may have any names."""
+    return by_place(df, [id_col, text_col], _keep_one)
+
+
+def _keep_one(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = near_groups(df, id_col, text_col)
     same = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("row") == F.col("lead.row"))
     leads = checkpoint(groups.where(same).groupBy(F.col("id").alias("__id"), F.col("row").alias("__row"))
