@@ -54,14 +54,15 @@ class WordEncoder:
 
     White space always ends a match and is not encoded, so the ids of a text are those of its words, one after the other,
     and the ids of a word those of its matches. Texts of plain letters (up to U+017F, where normalisation is lower-casing)
-    are cut into matches here; a text with any other character is given to the tokenizer whole."""
+    are cut into matches here; a text with any other character, or with the string of a special token in any case, is given to
+    the tokenizer whole, which reads such a string as its one id."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True          # their strings in a text are ordinary text
+        self.special = [t.content.lower() for t in self.t.get_added_tokens_decoder().values()]
         steps = json.loads(self.t.to_str())["pre_tokenizer"]["pretokenizers"]
         self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.mark = self._ids(MARK)
@@ -92,7 +93,8 @@ class WordEncoder:
             words.clear()
             parts.clear()
             words[""] = b""
-        split = [t.lower().replace("\n", " ").split(" ") if t.isascii() or not BEYOND(t) else None for t in texts]
+        low = [t.lower() if t.isascii() or not BEYOND(t) else None for t in texts]
+        split = [None if t is None or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in low]
         new = [w for w in dict.fromkeys(itertools.chain.from_iterable(ws for ws in split if ws is not None)) if w not in words]
         cut = list(map(self.find, new))
         fresh = list(dict.fromkeys(p for ps in cut for p in ps if p not in parts))
