@@ -19,9 +19,11 @@ from __future__ import annotations
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint as _ckpt
+
 
 def _kth(df: DataFrame, col: str, k: int, lo: float, hi: float, below: int, count: int,
          bins: int, collect_limit: int):
@@ -113,3 +115,47 @@ def nearest_rank(df: DataFrame, col: str, q: float, **kw):
         return None
     k = int(math.floor(q * (st["n"] - 1) + 0.5))
     return _kth(d, "v", k, st["mn"], st["mx"], 0, st["n"], kw.get("bins", 4096), kw.get("collect_limit", 100_000))
+
+
+# ---------------------------------------------------------------- sorted running totals
+def ordered_totals(df: DataFrame, keys, order: str, sums) -> DataFrame:
+    """``run_<c>`` (sum of ``c`` up to and including the row), ``all_<c>`` (sum over its key) for each ``c`` of ``sums``, and
+    ``next_<order>`` (the following value of its key, NULL at the last).
+
+    ``(keys, order)`` must be unique. The rows are cut into ranges of (keys, order) of even size by sampling, so a key that
+    holds most rows lies in many ranges; a window sees one range of one key, and the range totals (one row per range and key)
+    give every range its offset. NULL keys form a key of their own."""
+    keys = list(keys)
+    kept = _ckpt(df)                                         # the sampling and the exchange read it
+    ranged = _ckpt(kept.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()))
+    by_key = Window.partitionBy(*keys).orderBy("_range")
+    before, whole = by_key.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    totals = ranged.groupBy(*keys, "_range").agg(F.min(F.struct(order)).alias("_first"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"),
+                           F.lead("_first").over(by_key).alias("_next"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+                           *[F.sum(f"_t_{c}").over(whole).alias(f"all_{c}") for c in sums])
+    same = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_range").orderBy(order)
+    up_to = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(totals, same).withColumns({
+        **{f"run_{c}": F.col(f"_o_{c}") + F.sum(c).over(up_to) for c in sums},
+        f"next_{order}": F.coalesce(F.lead(F.struct(order)).over(inside), F.col("_next"))[order]})
+    return out.drop("_range", "_at", "_next", *[f"_k{i}" for i in range(len(keys))], *[f"_o_{c}" for c in sums])
+
+
+def grouped_quantile(counted: DataFrame, keys, value: str, count: str, q: float, out: str) -> DataFrame:
+    """Exact interpolated quantile of every key from its (value, count) rows. No task gathers the values of a key
+    (``ordered_totals``); the two ranks are then picked by an aggregation that combines before it shuffles. NULL values do
+    not count; a key without any other value has a NULL quantile."""
+    keys = list(keys)
+    d = counted.select(*keys, F.col(value).cast("double").alias("_v"),
+                       F.when(F.col(value).isNull(), F.lit(0)).otherwise(F.col(count)).cast("long").alias("_c"))
+    pos = F.lit(q) * (F.col("all__c") - 1)
+    picked = ordered_totals(d, keys, "_v", ["_c"]).groupBy(*keys).agg(
+        F.min(F.when(F.col("run__c") > F.floor(pos), F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("run__c") > F.ceil(pos), F.col("_v"))).alias("_hi"), F.max(pos).alias("_pos"))
+    part = F.col("_pos") - F.floor("_pos")
+    return picked.select(*keys, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo"))
+                         .otherwise((1 - part) * F.col("_lo") + part * F.col("_hi")).alias(out))

@@ -122,12 +122,13 @@ def hotel_medians(df: DataFrame, keys=("hid", "longitude", "latitude"), value: s
 
     Stage 1 counts each (hotel, price) pair — its shuffle is keyed by the price too, so a hotel
     holding a third of all rows spreads over many tasks, and map-side combine collapses
-    repeated prices. Stage 2 takes the weighted median (``percentile`` with a frequency) from
-    one row per distinct price: identical to ``median`` over the raw rows."""
+    repeated prices. Stage 2 sorts the pairs into even ranges and adds up counts range by range
+    (``quantiles.grouped_quantile``), so a hotel's distinct prices need not fit one task either."""
+    from .quantiles import grouped_quantile
     keys = list(keys)
     # NULL prices stay as their own (skipped) group, so all-NULL hotels keep a NULL median
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    return counted.groupBy(*keys).agg(F.percentile(F.col(value), F.lit(0.5), F.col("_c")).alias(out))
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return grouped_quantile(counted, keys, value, "_n", 0.5, out)
 
 
 def group_means(df: DataFrame, key: str, cols) -> DataFrame:
