@@ -25,7 +25,7 @@ import contextlib
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS_M, haversine
@@ -224,12 +224,35 @@ def _topk_kernel(metric: str, k: int, qkey: str, tie: str | None, payload):
     return run
 
 
+def _closest_of_spot(points: DataFrame, px: str, py: str, k: int, tie: str | None) -> DataFrame:
+    """Of the points on one coordinate the ``k`` first by ``tie``: the others are nobody's k nearest. The rank limit is
+    applied before the shuffle too, so a coordinate that holds a third of all points sends k rows a task."""
+    w = Window.partitionBy(px, py).orderBy(tie or px)
+    return points.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
+
+
 def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame, px: str, py: str,
               k: int, payload=(), tie: str | None = None, metric: str = "euclid",
               cell: float | None = None, qchunk: int = 256, chunk: int = 2048,
               small_points: int = SMALL_POINTS, out: str = "nn", min_points: int = 0) -> DataFrame:
     """For each query row ``(qkey, …)``: ``out`` = the k nearest points as an array of
-    ``struct(rd, tie, d, payload…)`` sorted by (round(d, 9), tie). Exact."""
+    ``struct(rd, tie, d, payload…)`` sorted by (round(d, 9), tie). Exact.
+
+    Points on one coordinate are cut to the k that can count, and each distinct query coordinate is searched once, so
+    co-located hotels do not pair with each other."""
+    spot = F.concat_ws(",", F.col(qx).cast("double") + F.lit(0.0), F.col(qy).cast("double") + F.lit(0.0))   # one text per coordinate
+    asked = queries.select(F.col(qkey), spot.alias("_spot"))
+    spots = queries.where(F.col(qx).isNotNull() & F.col(qy).isNotNull()).groupBy(spot.alias("_spot")).agg(F.first(qx).alias("_sx"), F.first(qy).alias("_sy"))
+    if min_points and (n := points.count()) < min_points:
+        raise ValueError(f"need at least {min_points} points, got {n}")
+    nn = _nearest_spots(spots, "_spot", "_sx", "_sy", _closest_of_spot(points, px, py, k, tie), px, py, k, payload, tie, metric, cell, qchunk,
+                        chunk, small_points, out)
+    kind = nn.schema[out].dataType
+    return asked.join(nn, "_spot", "left").select(qkey, F.coalesce(F.col(out), F.array().cast(kind)).alias(out))
+
+
+def _nearest_spots(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame, px: str, py: str, k: int, payload, tie, metric: str,
+                   cell: float | None, qchunk: int, chunk: int, small_points: int, out: str) -> DataFrame:
     payload = list(payload)
     if tie and tie not in payload:
         payload = [tie] + payload
@@ -240,10 +263,6 @@ def nearest_k(queries: DataFrame, qkey: str, qx: str, qy: str, points: DataFrame
         .persist(StorageLevel.MEMORY_AND_DISK)
     pts = points.select(F.col(px).alias("px"), F.col(py).alias("py"), *payload).persist(StorageLevel.MEMORY_AND_DISK)
     info = _extent(q, "qx", "qy", pts, "px", "py")
-    if info["n_points"] < min_points:
-        q.unpersist()
-        pts.unpersist()
-        raise ValueError(f"need at least {min_points} points, got {info['n_points']}")
     types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
     ktype = dict((f.name, f.dataType.simpleString()) for f in queries.schema.fields)[qkey]
     fields = ["rd double"] + ([f"tie {types[tie]}"] if tie else []) + ["d double"] + \
