@@ -22,7 +22,7 @@ def scatter_sample(df: DataFrame, y: str, preds, key, n: int, seed: int = 42) ->
     """The points of the scatter plots, a stable sample of ``n`` rows: one row per (row, model) with key, model, actual,
     predicted and error. All models show the same rows. NULL predictions give no point."""
     keys = [key] if isinstance(key, str) else list(key)
-    rows = R.sample_n(df.select(*keys, y, *preds).where(F.col(y).isNotNull()), n, keys, seed=seed)
+    rows = R.sample_n(df.select(*keys, y, *preds).where(F.col(y).isNotNull()), n, keys, seed=seed, tiebreak=[y])
     models = F.array(*[F.struct(F.lit(p).alias("model"), F.col(p).cast("double").alias("predicted")) for p in preds])
     return rows.select(*keys, F.col(y).cast("double").alias("actual"), F.explode(models).alias("m")) \
         .where("m.predicted IS NOT NULL") \

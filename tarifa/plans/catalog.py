@@ -1173,6 +1173,20 @@ def r8_pred_vs_actual(spark, sf):
     return r.select("model", r6("rmse").alias("rmse"), r6("r2").alias("r2"), "axis_min", "axis_max")
 
 
+@query("r8_scatter_sample", V.with_views("preds") + """,
+s AS (SELECT * FROM preds WHERE precio_real IS NOT NULL
+      ORDER BY ('0x' || substr(md5('42:' || CAST(searchid AS VARCHAR) || ':' || CAST(position AS VARCHAR) || ':' || CAST(hid AS VARCHAR) || ':'
+                || CAST(sid AS VARCHAR)), 1, 8))::BIGINT, searchid, position, hid, sid, precio_real LIMIT 2000)
+SELECT searchid, position, hid, sid, model, actual, predicted, predicted - actual AS error
+FROM (SELECT searchid, position, hid, sid, 'prediccion_huber' AS model, CAST(precio_real AS DOUBLE) AS actual, CAST(prediccion_huber AS DOUBLE) AS predicted FROM s
+      UNION ALL SELECT searchid, position, hid, sid, 'prediccion_ridge', CAST(precio_real AS DOUBLE), CAST(prediccion_ridge AS DOUBLE) FROM s)
+WHERE predicted IS NOT NULL
+""")
+def r8_scatter_sample(spark, sf):
+    from ..operators import reports as RP
+    return RP.scatter_sample(D.predictions(spark, sf), "precio_real", ["prediccion_huber", "prediccion_ridge"], ["searchid", "position", "hid", "sid"], 2000)
+
+
 @query("r9_audit", V.with_views("preds") + """
 SELECT hotel, precio_real, prediccion_huber, prediccion_ridge,
        prediccion_huber - precio_real AS delta_huber, prediccion_ridge - precio_real AS delta_ridge
@@ -1470,6 +1484,19 @@ def m18_random_search(spark, sf):
                             _EXPERT_FEATS, "price_by_night_person", n_trials=6, round_cap=10)
 
 
+@query("m18_density_ratio_search")
+def m18_density_ratio_search(spark, sf):
+    """Rows check: 15 trials in batches of five on the largest segment (M20 proxy), each batch after the first proposed from
+    the trials before it; patience of 20 rounds on the val rows, scored by val R²."""
+    from ..operators import search as SE
+    s = R.session_split(_search_amen(spark, sf).withColumn("segment", RU.route_rules()), "searchid")
+    top = R.largest_segment(s, "segment").select("segment")
+    seg = R.semi(s, top, "segment").filter(F.col("split") != "test").select(
+        "split", "price_by_night_person", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in _ROUTER_FEATS],
+        F.col("anticipation").cast("double").alias("anticipation"), F.col("duration").cast("double").alias("duration"))
+    return SE.boosted_search(seg, F.col("split") == "val", _EXPERT_FEATS, "price_by_night_person")
+
+
 @query("m19_early_stopping")
 def m19_early_stopping(spark, sf):
     """Rows check: boosting that ends after 20 rounds without a smaller loss on the val split and keeps its best round."""
@@ -1502,6 +1529,16 @@ def t11_category_indexer(spark, sf):
     return R.regression_metrics(te, "price_by_night_person", ["pred"])
 
 
+@query("t12_evolved_features")
+def t12_evolved_features(spark, sf):
+    """Rows check: three formulas evolved on all train rows (1000 programs, 15 generations), applied to test rows."""
+    from ..operators.evolution import EvolvedFeatures
+    d = _expert_frame(spark, sf)
+    ev = EvolvedFeatures(_EXPERT_FEATS, _KEYS).fit(d.filter(F.col("split") == "train"), "price_by_night_person")
+    out = ev.transform(d.filter(F.col("split") == "test"))
+    return out.select(*_KEYS, *[r6(f"symbolic_feat_{i}").alias(f"symbolic_feat_{i}") for i in (1, 2, 3)])
+
+
 @query("t12_symbolic_features")
 def t12_symbolic_features(spark, sf):
     """Rows check: three formulas found over five numeric columns on train rows (one
