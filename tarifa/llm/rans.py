@@ -63,6 +63,7 @@ class WordEncoder:
 
         self.t = Tokenizer.from_file(path)
         self.special = [t.content.lower() for t in self.t.get_added_tokens_decoder().values()]
+        self.lead = os.path.commonprefix(self.special)
         steps = json.loads(self.t.to_str())["pre_tokenizer"]["pretokenizers"]
         self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.mark = self._ids(MARK)
@@ -86,6 +87,15 @@ class WordEncoder:
             if w not in self.parts:
                 self.parts[w] = np.array(self._ids(w), "<u4").tobytes()
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The lower-case words of a text that need not be given to the tokenizer whole."""
+        if not text.isascii() and BEYOND(text):
+            return None
+        text = text.lower()
+        if self.lead in text and any(s in text for s in self.special):
+            return None
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words, parts = self.words, self.parts
@@ -93,9 +103,8 @@ class WordEncoder:
             words.clear()
             parts.clear()
             words[""] = b""
-        low = [t.lower() if t.isascii() or not BEYOND(t) else None for t in texts]
-        split = [None if t is None or any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in low]
-        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(ws for ws in split if ws is not None)) if w not in words]
+        split = [self._cut(t) for t in texts]
+        new = list(set().union(*(ws for ws in split if ws is not None)).difference(words))
         cut = list(map(self.find, new))
         fresh = list(dict.fromkeys(p for ps in cut for p in ps if p not in parts))
         for i in range(0, len(fresh), 5000):
