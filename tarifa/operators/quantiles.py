@@ -91,14 +91,105 @@ def exact_quantiles(df: DataFrame, col: str, qs, bins: int = 4096, collect_limit
     return out
 
 
-def exact_median_values(df: DataFrame, cols, **kw) -> dict:
-    """{column: exact median}; the projected columns are kept once for all passes."""
-    cols = list(cols)
-    proj = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist(StorageLevel.MEMORY_AND_DISK)
+class _Bracket:
+    """Values of one column in [lo, hi], ``count`` of them, ``below`` smaller ones; ``ranks`` fall inside."""
+
+    def __init__(self, col: int, lo: float, hi: float, below: int, count: int, ranks: list):
+        self.col, self.lo, self.hi, self.below, self.count, self.ranks = col, lo, hi, below, count, ranks
+        self.stuck = False
+
+    def split(self, runs) -> list:
+        """The brackets among ``runs`` (count, smallest, largest; ascending) that hold a rank."""
+        out, acc = [], self.below
+        for c, mn, mx in runs:
+            inside = [r for r in self.ranks if acc <= r < acc + c]
+            if inside:
+                out.append(_Bracket(self.col, mn, mx, acc, c, inside))
+            acc += c
+        return out
+
+
+def _refine(d: DataFrame, names: list, open_: list, bucket) -> dict:
+    """{bracket: [(count, smallest, largest), ..] ascending} of all brackets by one aggregation: a row is counted in the
+    bucket (``bucket(value, bracket)``) of each bracket that its values fall in."""
+    hits = [F.when((F.col(names[b.col]) >= F.lit(b.lo)) & (F.col(names[b.col]) <= F.lit(b.hi)),
+                   F.struct(F.lit(i).alias("i"), bucket(F.col(names[b.col]), b).cast("double").alias("b"),
+                            F.col(names[b.col]).alias("v"))) for i, b in enumerate(open_)]
+    found = (d.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).groupBy("h.i", "h.b")
+             .agg(F.count(F.lit(1)).alias("c"), F.min("h.v").alias("mn"), F.max("h.v").alias("mx")).collect())
+    runs: dict = {}
+    for r in sorted(found, key=lambda r: (r["i"], r["b"])):
+        runs.setdefault(r["i"], []).append((r["c"], r["mn"], r["mx"]))
+    return runs
+
+
+def column_quantiles(df: DataFrame, wanted: dict, bins: int = 4096, collect_limit: int = 100_000) -> dict:
+    """{column: {q: exact interpolated quantile}} for ``wanted`` {column: [q, ..]}, all columns in the same passes.
+
+    One aggregation counts every column; each further one refines the open brackets of all columns at once, so the number of
+    passes is that of the slowest column, not the sum. NULL and NaN don't count; infinities do; a column without values
+    gives None. The driver receives at most ``bins`` rows a bracket in a pass, fewer when many are open, and at most
+    ``collect_limit`` values in all once brackets are small."""
+    cols = list(wanted)
+    names = [f"v{i}" for i in range(len(cols))]
+    if not cols:
+        return {}
+    value = [F.col(f"`{c}`").cast("double") for c in cols]
+    d = df.select(*[F.when(~F.isnan(v), v).alias(n) for v, n in zip(value, names, strict=True)]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return {c: exact_quantiles(proj, c, [0.5], **kw)[0.5] for c in cols}
+        inf = F.lit(math.inf)
+        stats = d.agg(*[e.alias(f"{n}_{k}") for n in names for k, e in (
+            ("n", F.count(n)), ("low", F.count_if(F.col(n) == -inf)), ("high", F.count_if(F.col(n) == inf)),
+            ("mn", F.min(F.when(F.abs(n) < inf, F.col(n)))), ("mx", F.max(F.when(F.abs(n) < inf, F.col(n)))))]).first()
+        open_, at = [], {}
+        for i, c in enumerate(cols):
+            n, low, high = (stats[f"{names[i]}_{k}"] for k in ("n", "low", "high"))
+            ranks = {r for q in wanted[c] for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))} if n else set()
+            at |= {(i, r): -math.inf if r < low else math.inf for r in ranks if r < low or r >= n - high}
+            inside = sorted(r for r in ranks if low <= r < n - high)
+            if inside:
+                open_.append(_Bracket(i, stats[f"{names[i]}_mn"], stats[f"{names[i]}_mx"], low, n - low - high, inside))
+        while True:
+            at |= {(b.col, r): b.lo for b in open_ if b.lo == b.hi for r in b.ranks}
+            open_ = [b for b in open_ if b.lo < b.hi]
+            if not open_:
+                break
+            room = collect_limit // len(open_)
+            width = max(16, min(bins, 16 * bins // len(open_)))
+
+            def bucket(v, b, room=room, width=width):
+                step = b.hi / width - b.lo / width        # not (hi - lo) / width, which may overflow
+                if b.count <= room or b.stuck or step == 0:
+                    return v                              # each value by itself
+                return F.least(F.floor(v / F.lit(step) - F.lit(b.lo) / F.lit(step)), F.lit(width - 1))
+
+            runs = _refine(d, names, open_, bucket)
+            parts = []
+            for i, b in enumerate(open_):
+                new = b.split(runs[i])
+                for x in new:
+                    x.stuck = (x.lo, x.hi) == (b.lo, b.hi)     # neighbouring floats share a bucket: by value next
+                parts += new
+            open_ = parts
     finally:
-        proj.unpersist()
+        d.unpersist()
+    out: dict = {}
+    for i, c in enumerate(cols):
+        n = stats[f"{names[i]}_n"]
+        out[c] = {}
+        for q in wanted[c]:
+            if not n:
+                out[c][q] = None
+                continue
+            pos = q * (n - 1)
+            lo, hi = at[i, math.floor(pos)], at[i, math.ceil(pos)]
+            out[c][q] = lo if lo == hi else lo + (hi - lo) * (pos - math.floor(pos))
+    return out
+
+
+def exact_median_values(df: DataFrame, cols, **kw) -> dict:
+    """{column: exact median}, all columns in the same passes."""
+    return {c: v[0.5] for c, v in column_quantiles(df, {c: [0.5] for c in cols}, **kw).items()}
 
 
 def exact_medians(df: DataFrame, cols, **kw) -> DataFrame:
