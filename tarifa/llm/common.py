@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarifa.session import checkpoint, ensure_checkpoint_dir
 
-__all__ = ["by_place", "checkpoint", "key_filter", "maybe_in", "prefix_sum", "scratch_path", "table"]
+__all__ = ["by_place", "checkpoint", "key_filter", "maybe_in", "prefix_sum", "scratch_path", "smallest", "table"]
 
 MAX_FILTER_BITS = 1 << 27   # proven bound of a broadcast key filter: 16 MB
 PROBES = 4
@@ -60,6 +60,26 @@ def prefix_sum(df: DataFrame, keys: list[str], value: str | None, order: list[st
     return d.drop("__v", "__b", "__ob", "__o", *[f"__k_{k}" for k in keys])
 
 
+def smallest(df: DataFrame, col: str, limit: int) -> DataFrame:
+    """Rows whose long ``col`` is at most the ``limit``-th smallest of all rows (ties of the last one stay; none is null).
+
+    That value is found by counting 2^16 runs of the leading bits, then those of the run that holds it, and so on: four passes
+    over the one column, each with at most 2^16 rows to the driver, so no task merges the rows of the others."""
+    u, lead, want = F.col(col).bitwiseXOR(F.lit(-1 << 63)), 0, limit          # in order as unsigned
+    for shift in (48, 32, 16, 0):
+        d = df if shift == 48 else df.where(F.shiftrightunsigned(u, shift + 16) == lead)
+        counts = sorted((r["b"], r["n"]) for r in d.groupBy(F.shiftrightunsigned(u, shift).bitwiseAND(F.lit(0xFFFF).cast("long")).alias("b"))
+                        .agg(F.count("*").alias("n")).collect())
+        if shift == 48 and sum(n for _, n in counts) <= limit:
+            return df
+        for b, n in counts:
+            if n >= want:
+                lead = lead << 16 | b
+                break
+            want -= n
+    return df.where(F.col(col) <= F.lit(lead - (1 << 63)))
+
+
 def key_filter(keys: DataFrame, count: int, bits_per_key: int = 16, max_bits: int = MAX_FILTER_BITS):
     """A broadcast Bloom filter of the one long column of ``keys``: no false negatives, at most ``max_bits`` bits; with more
     than ``max_bits / bits_per_key`` keys it rules out less, and what it lets through still has to be joined. The slots

@@ -14,7 +14,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SAMPLE_PAGES = 200       # bound of the pages whose words fill the training pages
+from .common import smallest
+
+SAMPLE_PAGES = 200       # bounds of the text that fills the training pages: of so many pages
+SAMPLE_CHARS = 2000      # .. so many characters each
 TRAIN_PAGES = 240
 TREES, DEPTH, SEED = 12, 4, 7
 
@@ -322,8 +325,8 @@ def _training_page(words: list[str], rng: random.Random) -> tuple[str, str]:
         return f"<i{kind}>{inner}</i{kind}>"
 
     def paras(lo, hi, a=5, e=80):
-        return "".join(f"<p>{text(a, e)}</p>" if rng.random() < 0.75 else f"<p><b>{text(a, e)}<br><p>{text(a, e)}</p>"
-                       for _ in range(rng.randint(lo, hi)))
+        return "".join(rng.choice([f"<p>{text(a, e)}</p>"] * 5 + [f'<p>{text(a, e)} <a href="/x">{text(1, 4)}</a> {text(a, e)}</p>'] * 2
+                                  + [f"<p><b>{text(a, e)}<br><p>{text(a, e)}</p>"] * 2) for _ in range(rng.randint(lo, hi)))
 
     def boiler():
         kind = rng.choice(["nav", "menu", "footer", "header", "aside", "ad", "notice", "form", "comments", "related", "social"])
@@ -338,6 +341,10 @@ def _training_page(words: list[str], rng: random.Random) -> tuple[str, str]:
                                [("div", f' class="{name}"'), ("section", f' id="{name}"'), ("div", f' class="{name}-box"')])
         if kind in ("nav", "menu", "related", "social"):
             inner = f"<ul>{links(2, 9)}</ul>"
+            if rng.random() < 0.3:                        # a bar of links, with no list and perhaps no name
+                gap = rng.choice([" ", " | ", " · ", ""])
+                inner = gap.join(f'<a href="/x">{text(1, 3)}</a>' for _ in range(rng.randint(2, 9)))
+                tag, attr = rng.choice([(tag, attr), ("div", ""), ("p", "")])
         elif kind == "comments":
             inner = "".join(f'<div class="{rng.choice(["comment", "reply", "item"])}"><p>{text(3, 40)}</p></div>' for _ in range(rng.randint(1, 6)))
         elif kind == "form":
@@ -351,7 +358,11 @@ def _training_page(words: list[str], rng: random.Random) -> tuple[str, str]:
                            f"<blockquote><p>{text(5, 40)}</p></blockquote>", f"<table><tr><td>{text(1, 6)}</td><td>{text(1, 6)}</td></tr></table>",
                            f"<p>{text(1, 4)}</p>", f"<pre>{text(3, 30)}</pre>", f"<div><p>{text(5, 60)}</p></div>"])
 
-    body = [f"<h1>{text(2, 14)}</h1>"] if rng.random() < 0.8 else []
+    title = f"<h1>{text(2, 14)}</h1>"
+    if rng.random() < 0.25:                               # a title of the article in a header of its own
+        title = rng.choice([f"<header>{title}</header>", f'<header class="{rng.choice(["entry-header", "title", "post-header"])}">{title}</header>',
+                            f"<header>{title}<p>{text(3, 20)}</p></header>"])
+    body = [title] if rng.random() < 0.8 else []
     for _ in range(rng.choice([0, 1, 2, 4, 8])):
         body.append(paras(1, 4))
         if rng.random() < 0.3:
@@ -414,12 +425,15 @@ def fit(spark: SparkSession, words: list[str], pages: int = TRAIN_PAGES) -> Tree
         d.unpersist()
 
 
-def sample_words(pages: DataFrame, id_col: str, html_col: str, limit: int = SAMPLE_PAGES) -> list[str]:
-    """Words of at most ``limit`` pages, those with the smallest hashes of their id, 2,000 characters of each."""
+def sample_words(pages: DataFrame, id_col: str, html_col: str, limit: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Words of at most ``limit`` pages, those with the smallest hashes of their id, ``chars`` characters of each. They are
+    chosen from the ids alone; only their html is then read and stripped. Of rows with one id one is taken; null html has
+    no words."""
     h = F.col(html_col).cast("string")
-    some = (pages.where(h.isNotNull()).select(F.xxhash64(F.col(id_col)).alias("r"), F.substring(F.regexp_replace(h, r"(?s)<(script|style)\b.*?</|<[^>]*>|[<>]", " "), 1, 2000).alias("t"))
-            .orderBy("r", "t").limit(limit).collect())
-    return [w for r in some for w in r["t"].split()]
+    hashed = smallest(pages.select(F.xxhash64(F.col(id_col)).alias("r"), h.alias("h")), "r", limit).where("h is not null")
+    some = (hashed.select("r", F.substring(F.regexp_replace("h", r"(?s)<(script|style)\b.*?</|<[^>]*>|[<>]", " "), 1, chars).alias("t"))
+            .groupBy("r").agg(F.min("t").alias("t")).collect())                              # at most ``limit`` rows
+    return [w for r in sorted(some) for w in r["t"].split()]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trees: Trees | None = None) -> DataFrame:

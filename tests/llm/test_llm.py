@@ -285,6 +285,14 @@ PAGES = {
             "<div class='entry-content'><p>Real text of a post, in a division.</p><ul><li>first item of a list</li><li>second item</li></ul><p>End of it.</p></div>"
             "<div class='advert'>Buy now</div><script>var x = '<p>no</p>';</script><style>p{}</style>",
             "Real text of a post, in a division.\nfirst item of a list\nsecond item\nEnd of it."),
+    "header": ("<body><header class=masthead>My site <a href=/>Home</a></header><article><header class=entry-header><h1>The title of it</h1></header>"
+               "<p>First long paragraph of the text here, with many words in it to be read.</p><p>Second <a href=/q>linked paragraph</a> of the "
+               "text, which is long too.</p></article><footer>foot</footer></body>",
+               "The title of it\nFirst long paragraph of the text here, with many words in it to be read.\n"
+               "Second linked paragraph of the text, which is long too."),
+    "bar": ("<body><div><a href=/>Home</a> | <a href=/n>News</a> | <a href=/s>Sport</a></div><article><h1>The title of it</h1><p>First long paragraph "
+            "of the text here, with many words in it to be read.</p><p>Second paragraph of the text, which is long too.</p></article></body>",
+            "The title of it\nFirst long paragraph of the text here, with many words in it to be read.\nSecond paragraph of the text, which is long too."),
     "none": ("<nav><a href=/>Home</a></nav><footer>foot</footer>", ""),
     "empty": ("", ""),
 }
@@ -295,6 +303,17 @@ def trees(spark):
     return pagetext.fit(spark, words(random.Random(0), 400).split())
 
 
+@pytest.mark.parametrize("limit", [1, 7, 30, 99, 500])
+def test_sample_words_takes_the_smallest_hashes(spark, limit):
+    d = spark.createDataFrame([(i % 60, f"<p>w{i % 60} {'x' * 50}</p>") for i in range(90)] + [(5, None)], "page_id long, html string").where("html is not null")
+    got = [w for w in pagetext.sample_words(d, "page_id", "html", limit, 9) if w.startswith("w")]
+    key = {r[0]: r[1] for r in d.selectExpr("page_id", "xxhash64(page_id)").distinct().collect()}
+    ids = sorted(range(60), key=key.get)
+    rows = [i for i in ids for _ in range(2 if i < 30 else 1)][:limit]
+    assert got == [f"w{i}" for i in dict.fromkeys(rows)]
+    assert pagetext.sample_words(d.limit(0), "page_id", "html", limit) == []
+
+
 @pytest.mark.parametrize("name", sorted(PAGES))
 def test_main_text(trees, name):
     assert pagetext.main_text(PAGES[name][0], trees) == PAGES[name][1]
