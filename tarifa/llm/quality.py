@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import by_place
+from .common import by_place, checkpoint, smallest
 
 BLOCK = 2048             # bytes compressed at a time
 FRAME = 8                # bytes of a frame that hold no text
@@ -110,12 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     ways are left out. The ids are a bounded broadcast, so no text is shuffled."""
     ids = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
            .groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("__q")).where("quality = __q"))
+    ids = checkpoint(ids.select("doc_id", "quality", F.xxhash64("doc_id").alias("rank")))
     total = {r["quality"]: r["n"] for r in ids.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    rank = F.xxhash64("doc_id")
-    pick = None
-    for q in (0, 1):
-        part = ids.where(F.col("quality") == q).select("doc_id", "quality", rank.alias("rank")).orderBy("rank").limit(sample)
-        pick = part if pick is None else pick.unionByName(part)
+    bad_ids, good_ids = (smallest(ids.where(F.col("quality") == q), "rank", sample) for q in (0, 1))
+    pick = bad_ids.unionByName(good_ids)
     rows = (docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
             .join(F.broadcast(pick), "doc_id").select("quality", "rank", "text"))
     first = F.pmod("rank", F.lit(2)) == 0
