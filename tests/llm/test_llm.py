@@ -406,17 +406,37 @@ def check_shards(got, shards):
     assert all(sorted(v) == list(range(len(v))) for v in held.values())
 
 
+def cut_groups(got):
+    at = collections.defaultdict(set)
+    for r in got:
+        at[r["g"]].add(r["shard"])
+    return {g: len(v) for g, v in at.items() if len(v) > 1}
+
+
 @pytest.mark.parametrize("hot", [0, 200, 400])
 def test_sharding_cuts_few_groups(spark, hot):
     rows = [(i, f"g{i // 3}") for i in range(300)] + [(1000 + i, "hot") for i in range(hot)] + [(2000 + i, f"s{i}") for i in range(100 if hot < 400 else 0)]
     got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, g string"), "g", ["doc_id"], 7).collect()
     check_shards(got, 7)
-    at = collections.defaultdict(set)
-    for r in got:
-        at[r["g"]].add(r["shard"])
-    if hot < 400:                                             # with no unlinked row to make way only evenness is sure
-        assert len(at["hot"]) <= -(-hot // (len(rows) // 7)) + 2
-        assert sum(len(v) > 1 for v in at.values()) <= 20
+    assert set(cut_groups(got)) <= {"hot"}                    # every group that fits one shard lies in one
+
+
+def test_sharding_with_no_unlinked_row_cuts_no_pair_or_triple(spark):
+    rows = [(i, "hot") for i in range(2000)] + [(10_000 + i, f"f{i // 50}") for i in range(3400)]
+    rows += [(20_000 + i, f"p{i // 2}") for i in range(236)] + [(30_000 + i, f"t{i // 3}") for i in range(366)]
+    got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, g string"), "g", ["doc_id"], 24).collect()
+    assert len(got) == 6002
+    check_shards(got, 24)
+    assert set(cut_groups(got)) <= {"hot"}
+
+
+@pytest.mark.parametrize("shards", [1, 5, 24])
+def test_sharding_small_and_one_sided_tables(spark, shards):
+    for rows in ([(i, "one") for i in range(40)], [(i, "ab"[i % 2]) for i in range(7)], [(i, None if i % 3 else f"g{i % 6}") for i in range(50)]):
+        got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, g string"), "g", ["doc_id"], shards).collect()
+        held = collections.Counter(r["shard"] for r in got)
+        assert sorted(r["doc_id"] for r in got) == [d for d, _ in rows] and max(held) < shards
+        assert max(held.values()) - (min(held.values()) if len(held) == shards else 0) <= 1
 
 
 # --- decontamination --------------------------------------------------------------------------------------------
