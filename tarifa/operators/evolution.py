@@ -2,7 +2,7 @@
 
 Programs are expression trees over the input columns, constants and the protected operators (E17). Each generation
 scores its whole population in ONE pass over the rows: a task evaluates every program on blocks of rows as NumPy vectors
-(equal subtrees once) and keeps centred co-moments with the target, which are merged task by task; the driver sees five
+(equal subtrees once, none kept after its last use) and keeps centred co-moments with the target, which are merged task by task; the driver sees five
 numbers a program. Parents win tournaments; a child is a subtree crossover of two, or a subtree, hoist or point mutation
 of one. The fittest distinct programs of the last generation form the hall of fame; of its most correlated pair the less
 fit one leaves until ``n_keep`` are left. ``transform`` writes them as plain Column formulas.
@@ -24,7 +24,8 @@ from .moments import FAN_IN, co_moments
 from .quantiles import exact_median_values
 from .relational import key_hash
 
-BLOCK = 2048          # rows evaluated together
+BLOCK = 2048          # rows evaluated together, fewer where more than HELD_BYTES would be kept of their values
+HELD_BYTES = 1 << 25
 _GUARD = 0.001        # as in PSYM; a NaN passes the guard there, so it does here
 _NUMPY = {
     "add": np.add, "sub": np.subtract, "mul": np.multiply,
@@ -50,19 +51,61 @@ def as_column(tree, inputs: dict) -> Column:
     return inputs[tree] if isinstance(tree, str) else F.lit(float(tree))
 
 
+class Programs:
+    """``trees`` as steps: equal subtrees once, each value dropped after its last use, so that a block of rows never holds the values of
+    all nodes of a population. ``held``: the most values that are kept at a time."""
+
+    def __init__(self, trees):
+        self.steps: list = []                # (operator, or None where a program ends; operands; number of the result; numbers not used again)
+        self.held, uses, known, stack = 0, {}, {}, list(trees)
+        while stack:
+            t = stack.pop()
+            uses[t] = uses.get(t, 0) + 1
+            if isinstance(t, tuple) and uses[t] == 1:
+                stack += t[1:]
+
+        def dropped(used):
+            gone = []
+            for t in used:
+                uses[t] -= 1
+                if isinstance(t, tuple) and not uses[t]:
+                    gone.append(known.pop(t))
+            return gone
+
+        def place(t):
+            if not isinstance(t, tuple):
+                return t                     # a column or a constant
+            if t not in known:
+                args, at = [place(a) for a in t[1:]], len(self.steps)
+                self.held = max(self.held, len(known) + 1)
+                self.steps.append((t[0], args, at, dropped(t[1:])))
+                known[t] = at
+            return known[t]
+
+        for t in trees:
+            end = [place(t)]
+            self.steps.append((None, end, None, dropped([t])))
+
+    def run(self, inputs: dict, n: int):
+        """The values of each program in turn, sanitised as E11: float32, not finite → 0, clipped to ±1e9."""
+        kept: dict = {}
+
+        def value(a):
+            return kept[a] if isinstance(a, int) else inputs[a] if isinstance(a, str) else np.full(n, a)
+        for op, args, at, gone in self.steps:
+            with np.errstate(all="ignore"):
+                z = value(args[0]).astype(np.float32).astype(np.float64) if op is None else _NUMPY[op](*[value(a) for a in args])
+            for g in gone:
+                del kept[g]
+            if op is None:
+                yield np.clip(np.where(np.isfinite(z), z, 0.0), -1e9, 1e9)
+            else:
+                kept[at] = z
+
+
 def evaluate(trees, inputs: dict, n: int) -> np.ndarray:
-    """(programs, rows), sanitised as E11: float32, not finite → 0, clipped to ±1e9."""
-    known: dict = {}
-
-    def value(tree):
-        if not isinstance(tree, tuple):
-            return inputs[tree] if isinstance(tree, str) else np.full(n, float(tree))
-        if tree not in known:
-            known[tree] = _NUMPY[tree[0]](*[value(a) for a in tree[1:]])
-        return known[tree]
-    with np.errstate(all="ignore"):
-        z = np.array([value(t) for t in trees], np.float64).reshape(len(trees), n).astype(np.float32).astype(np.float64)
-    return np.clip(np.where(np.isfinite(z), z, 0.0), -1e9, 1e9)
+    """(programs, rows), sanitised."""
+    return np.array(list(Programs(trees).run(inputs, n)), np.float64).reshape(len(trees), n)
 
 
 def _merge(a, b):
@@ -81,16 +124,22 @@ def correlations(df: DataFrame, cols, y: str, trees) -> np.ndarray:
                                          names=["n", "sums"])
 
     def measure(batches):
+        programs = Programs(trees)
+        block = min(BLOCK, max(64, HELD_BYTES // 8 // max(1, programs.held)))
         held = None
         for b in batches:
             x = [c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]
-            for at in range(0, b.num_rows, BLOCK):
-                part = [c[at:at + BLOCK] for c in x]
+            for at in range(0, b.num_rows, block):
+                part = [c[at:at + block] for c in x]
                 t = part[-1]
-                z = evaluate(trees, dict(zip(cols, part, strict=False)), len(t))
-                mx, my = z.mean(axis=1), t.mean()
-                c, d = z - mx[:, None], t - my
-                one = (float(len(t)), mx, my, (c * c).sum(axis=1), c @ d, d @ d)
+                my = t.mean()
+                d = t - my
+                mx, xx, xy = np.empty((3, len(trees)))
+                for i, z in enumerate(programs.run(dict(zip(cols, part, strict=False)), len(t))):
+                    mx[i] = z.mean()
+                    c = z - mx[i]
+                    xx[i], xy[i] = c @ c, c @ d
+                one = (float(len(t)), mx, my, xx, xy, d @ d)
                 held = one if held is None else _merge(held, one)
         if held is not None:
             yield from emit(held)
@@ -256,8 +305,10 @@ class EvolvedFeatures:
 
         def values(batches):
             for b in batches:
-                z = evaluate(fame, dict(zip(cols, [c.to_numpy(zero_copy_only=False) for c in b.columns], strict=True)), b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(r) for r in z], names=[f"f{i}" for i in range(len(fame))])
+                for at in range(0, b.num_rows, BLOCK):
+                    part = b.slice(at, BLOCK)
+                    z = evaluate(fame, dict(zip(cols, [c.to_numpy(zero_copy_only=False) for c in part.columns], strict=True)), part.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(r) for r in z], names=[f"f{i}" for i in range(len(fame))])
 
         names_of = [f"f{i}" for i in range(len(fame))]
         m = co_moments(data.select(*cols).mapInArrow(values, ", ".join(f"{c} double" for c in names_of)), names_of).get("")
