@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from ..functions.numeric import from_log, to_log
 from ..functions.rules import route_rules
 from .boosting import ExpertSpec, _SparkMLExpert, fit_expert, predict_segments
 from .relational import align_columns
+from ..session import checkpoint as _ckpt
 
 
 @dataclass
@@ -38,6 +40,8 @@ class MoEBundle:
         x = x.select(*keys, *[c for c in x.columns if c not in keys])
         aligned = align_columns(x, keys + self.features, fill=0)
         routed = aligned.withColumn("_segment", route_rules())
+        if not df.isStreaming:
+            routed = _ckpt(routed)                       # every segment reads it
         p = predict_segments(routed, "_segment", self.models, "_p")
         p = p.withColumn(out, from_log("_p") if self.log_target else F.col("_p"))
         return p.drop("_p")
@@ -47,8 +51,10 @@ def fit_moe(df: DataFrame, features, y: str, spec: ExpertSpec | None = None, log
     """Segments by the rule (E12); one expert per segment on log1p(y)."""
     spec = spec or ExpertSpec("gbt", {"rounds": 10, "depth": 4})
     d = df.withColumn("_segment", route_rules()).withColumn("_t", to_log(y) if log_target else F.col(y))
+    d = d.select("_segment", "_t", *features).persist(StorageLevel.MEMORY_AND_DISK)                 # every segment reads it
     segs = [r[0] for r in d.select("_segment").distinct().collect()]
     models = {s: fit_expert(d.filter(F.col("_segment") == s), features, "_t", spec) for s in segs}
+    d.unpersist()
     return MoEBundle(list(features), models, log_target, spec.family, {"params": spec.params})
 
 
