@@ -1,8 +1,8 @@
 """Symbolic feature construction (T12), re-aimed for Spark.
 
 Candidate formulas are small expression trees over the input columns built from the
-protected operators (E17). Each generation scores every candidate in ONE aggregation pass
-(``corr`` of each candidate Column with the target, all in the same ``agg``); the fittest
+protected operators (E17). The fitting rows are kept after one reading; each generation scores its new
+candidates over them, a few in each aggregation (``corr`` of each candidate Column with the target); the fittest
 half is kept and varied (subtree replacement, wrapping in a unary operator, or joining two
 parents with a binary operator). The best ``n_keep`` distinct formulas become plain
 columns, sanitised like the reference (float32, non-finite → 0, clipped to ±1e9).
@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import PSYM, psym, sanitize
 
 UNARY = [k for k, (a, _) in PSYM.items() if a == 1]
 BINARY = [k for k, (a, _) in PSYM.items() if a == 2]
+TOGETHER = 5           # candidates of one aggregation: the code generated for many more is too long for the JVM to compile
 
 
 def render(tree) -> str:
@@ -28,13 +30,6 @@ def render(tree) -> str:
     return f"{op}({', '.join(render(a) for a in args)})"
 
 
-def to_column(tree) -> Column:
-    if isinstance(tree, str):
-        return F.col(tree).cast("double")
-    op, *args = tree
-    return psym(op, *[to_column(a) for a in args])
-
-
 class SymbolicFeatures:
     """Inputs are median-imputed (medians of the fitting rows); the search runs on at most
     ``sample`` rows (a stable hash sample) and scores |corr| − parsimony × size."""
@@ -82,21 +77,44 @@ class SymbolicFeatures:
             child = self._random_tree(rnd, self.max_depth)
         return child if self._depth(child) <= self.max_depth else self._random_tree(rnd, 2)
 
+    def _values(self, df: DataFrame, y: str, trees) -> DataFrame:
+        """``_y`` and ``_v0``, ``_v1``, .. of ``trees``. Every distinct subtree is a column of its own, a projection per depth: the
+        guards name their operand several times, which would otherwise be computed anew at each level above it."""
+        names = {c: f"_n{i}" for i, c in enumerate(self.cols)}
+        levels: dict[int, list] = {}
+
+        def place(t):
+            if t not in names:
+                for a in t[1:]:
+                    place(a)
+                names[t] = f"_n{len(names)}"
+                levels.setdefault(self._depth(t), []).append(t)
+        for t in trees:
+            place(t)
+        d = df.select(F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(names[c]) for c in self.cols])
+        for k in sorted(levels):
+            d = d.withColumns({names[t]: psym(t[0], *[F.col(names[a]) for a in t[1:]]) for t in levels[k]})
+        d = d.select("_y", *[F.col(names[t]).cast("float").cast("double").alias(f"_f{i}") for i, t in enumerate(trees)])
+        return d.select("_y", *[sanitize(F.col(f"_f{i}")).alias(f"_v{i}") for i in range(len(trees))])
+
     def _score(self, df: DataFrame, y: str, trees) -> list[float]:
-        yc = F.col(y).cast("double")
         # correlation written out with try_divide: a constant candidate scores NULL → 0
         def corr(x):
-            return F.try_divide(F.covar_pop(x, yc), F.stddev_pop(x) * F.stddev_pop(yc))
-        row = df.agg(*[corr(sanitize(to_column(t))).alias(f"c{i}") for i, t in enumerate(trees)]).first()
-        return [abs(row[f"c{i}"]) if row[f"c{i}"] is not None else 0.0 for i in range(len(trees))]
+            return F.try_divide(F.covar_pop(x, "_y"), F.stddev_pop(x) * F.stddev_pop("_y"))
+        out: list[float] = []
+        for at in range(0, len(trees), TOGETHER):
+            part = trees[at:at + TOGETHER]
+            row = self._values(df, y, part).agg(*[corr(f"_v{i}").alias(f"c{i}") for i in range(len(part))]).first()
+            out += [abs(c) if c is not None else 0.0 for c in row]
+        return out
 
     def fit(self, df: DataFrame, y: str):
         from .quantiles import exact_median_values
         from .relational import sample_n
-        self.medians = exact_median_values(df, self.cols)
-        if self.sample is not None and self.key is not None:
-            df = sample_n(df, self.sample, self.key, seed=self.seed)
-        df = self._filled(df)
+        keys = [] if self.sample is None or self.key is None else [self.key] if isinstance(self.key, str) else list(self.key)
+        kept = df.select(*dict.fromkeys([*keys, *self.cols, y])).persist(StorageLevel.MEMORY_AND_DISK)     # read again by the medians and every generation
+        self.medians = exact_median_values(kept, self.cols)
+        df = self._filled(sample_n(kept, self.sample, keys, seed=self.seed) if keys else kept)
         rnd = random.Random(self.seed)
         pop = [self._random_tree(rnd, 2) for _ in range(self.population)]
         scored: dict[str, tuple] = {}
@@ -109,6 +127,7 @@ class SymbolicFeatures:
             pop = parents + [self._vary(rnd, rnd.choice(parents), rnd.choice(parents))
                              for _ in range(self.population - len(parents))]
         ranked = sorted(scored.values(), key=lambda st: (-st[0], render(st[1])))
+        kept.unpersist()
         self.best = [(render(t), s, t) for s, t in ranked[: self.n_keep]]
         return self
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tarifa.operators import boosting as BO
 from tarifa.operators import scoring as SC
 from tarifa.operators import tuning as TU
+from tarifa.operators.symbolic import SymbolicFeatures
 
 
 @pytest.fixture
@@ -47,3 +48,9 @@ def test_finalists_share_one_reading(spark, counted):
     configs = [c | {"cv": {"rmse": 1.0, "mae": 1.0, "r2": 0.0}, "num_leaves": 3} for c in TU.random_configs(2)]
     TU.pick_finalist(spark, df, df.limit(100), ["x"], "y", configs, round_cap=1).collect()
     assert seen.value <= 800
+
+
+def test_symbolic_search_reads_its_rows_once(spark, counted):
+    df, seen = counted
+    sym = SymbolicFeatures(["x", "starRating"], n_keep=2, generations=3, population=12).fit(df, "y")
+    assert len(sym.best) == 2 and seen.value == 400
