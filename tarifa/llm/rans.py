@@ -45,6 +45,8 @@ LOW = np.uint64(1 << 31)
 CACHE = 1_000_000          # words and matches a worker remembers; past that it starts afresh
 ROWS = 2500              # documents encoded together
 MARK = "\x01"            # set between matches that are encoded in one call
+# the characters that stand for the bytes without a visible Latin-1 character of their own
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 BEYOND = re.compile("[^\x00-\u017f]").search
 
 
@@ -67,6 +69,8 @@ class WordEncoder:
         steps = json.loads(self.t.to_str())["pre_tokenizer"]["pretokenizers"]
         self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
         self.mark = self._ids(MARK)
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.model = self.t.model if len(steps) == 2 and byte_level.items() <= steps[1].items() else None
         self.words: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
@@ -74,7 +78,14 @@ class WordEncoder:
         return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, new: list[str]) -> None:
-        """Encode matches, many in one call, set apart by a mark of a single id."""
+        """Encode matches: by the tokenizer's model alone, in its byte alphabet, where that is the only step after the pattern;
+        else many in one call, set apart by a mark of a single id."""
+        if self.model is not None:
+            tokenize = self.model.tokenize
+            for w in new:
+                ids = [t.id for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTES))]
+                self.parts[w] = struct.pack(f"<{len(ids)}I", *ids)
+            return
         plain = [w for w in new if MARK not in w]
         ids = np.array(self._ids(f" {MARK} ".join(plain)), "<u4")
         cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []

@@ -546,3 +546,15 @@ def test_pipeline(spark):
                           if not any(f" {b} " in f" {b' '.join(decontam.words_of(t)).decode()} " for b in bench)}
     assert tokens == {tuple(r) for r in corpus_pipeline.run(spark, sf).collect()}
     assert {r[0] for r in tokens} == set(clean)
+
+
+def test_new_words_are_encoded_by_the_model_alone(monkeypatch):
+    chars = [chr(c) for c in range(0x180)]
+    texts = [*chars, *[x + y for x in chars for y in ("a", "é", "\x01", "Ĳ9", "!")], "İx i̇ a\x7fb \x00\x01 ­"]
+    t = Tokenizer.from_file(WORDS)
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    enc = rans.WordEncoder(WORDS)
+    plain = [x for x in texts if enc._cut(x) is not None]
+    assert len(plain) > 2000
+    monkeypatch.setattr(enc, "_ids", None)                       # the whole tokenizer is not called for them
+    assert enc.encode(plain) == [w for x, w in zip(texts, want, strict=True) if x in set(plain)]
