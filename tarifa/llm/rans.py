@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -42,8 +43,8 @@ LANES = 2048
 INTERVAL = 128           # steps between checkpoints
 BLOCK = 1 << 20          # a frame is closed once it holds this many tokens
 LOW = np.uint64(1 << 31)
-CACHE = 1_000_000          # words and matches a worker remembers; past that it starts afresh
-ROWS = 2500              # documents encoded together
+CACHE = 2_000_000        # words a worker remembers; past that it starts afresh
+PORTION = 8 << 20        # bytes of text encoded together
 MARK = "\x01"            # set between matches that are encoded in one call
 # the characters that stand for the bytes without a visible Latin-1 character of their own
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -52,12 +53,14 @@ BEYOND = re.compile("[^\x00-\u017f]").search
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that lower-cases, drops white space and encodes each match of its pattern by
-    itself, remembering the words and matches already encoded.
+    itself, remembering the words already encoded.
 
     White space always ends a match and is not encoded, so the ids of a text are those of its words, one after the other,
     and the ids of a word those of its matches. Texts of plain letters (up to U+017F, where normalisation is lower-casing)
-    are cut into matches here; a text with any other character, or with the string of a special token in any case, is given to
-    the tokenizer whole, which reads such a string as its one id."""
+    are cut into words here, and each distinct word of many texts is looked up once; a text with any other character, or with the
+    string of a special token in any case, is given to the tokenizer whole, which reads such a string as its one id.
+
+    ``words[i]`` has the ids ``ids[at[i]:at[i + 1]]``: arrays, not a dict of strings and bytes, for memory's sake."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,63 +74,88 @@ class WordEncoder:
         self.mark = self._ids(MARK)
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
         self.model = self.t.model if len(steps) == 2 and byte_level.items() <= steps[1].items() else None
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.at = pa.array([], pa.large_string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _ids(self, text: str) -> list[int]:
         return self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode matches: by the tokenizer's model alone, in its byte alphabet, where that is the only step after the pattern;
-        else many in one call, set apart by a mark of a single id."""
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of matches: by the tokenizer's model alone, in its byte alphabet, where that is the only step after the
+        pattern; else many in one call, set apart by a mark of a single id."""
+        parts = {}
         if self.model is not None:
             tokenize = self.model.tokenize
             for w in new:
                 ids = [t.id for t in tokenize(w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTES))]
-                self.parts[w] = struct.pack(f"<{len(ids)}I", *ids)
-            return
-        plain = [w for w in new if MARK not in w]
-        ids = np.array(self._ids(f" {MARK} ".join(plain)), "<u4")
-        cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
-        if plain and len(cuts) == len(plain) - 1:
-            raw, at = ids.tobytes(), 0
-            for w, e in zip(plain, [*cuts.tolist(), len(ids)], strict=True):
-                self.parts[w] = raw[4 * at:4 * e]
-                at = e + 1
+                parts[w] = struct.pack(f"<{len(ids)}I", *ids)
+            return parts
+        for i in range(0, len(new), 5000):
+            plain = [w for w in new[i:i + 5000] if MARK not in w]
+            ids = np.array(self._ids(f" {MARK} ".join(plain)), "<u4")
+            cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
+            if plain and len(cuts) == len(plain) - 1:
+                raw, at = ids.tobytes(), 0
+                for w, e in zip(plain, [*cuts.tolist(), len(ids)], strict=True):
+                    parts[w] = raw[4 * at:4 * e]
+                    at = e + 1
         for w in new:
-            if w not in self.parts:
-                self.parts[w] = np.array(self._ids(w), "<u4").tobytes()
+            if w not in parts:
+                parts[w] = np.array(self._ids(w), "<u4").tobytes()
+        return parts
 
-    def _cut(self, text: str) -> list[str] | None:
-        """The lower-case words of a text that need not be given to the tokenizer whole."""
+    def _cut(self, text: str) -> str | None:
+        """The lower-case text, its words set apart by spaces, of a text that need not be given to the tokenizer whole."""
         if not text.isascii() and BEYOND(text):
             return None
         text = text.lower()
         if self.lead in text and any(s in text for s in self.special):
             return None
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
+
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: where the ids of each start and how many there are, and the ids. New words are learnt."""
+        number = pc.index_in(words, value_set=self.words)
+        new = words.filter(number.is_null())
+        cut = list(map(self.find, new.to_pylist()))
+        parts = self._learn(list(dict.fromkeys(itertools.chain.from_iterable(cut))))
+        made = [parts[ps[0]] if len(ps) == 1 else b"".join(map(parts.__getitem__, ps)) for ps in cut]
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        fresh = np.frombuffer(b"".join(made), "<u4")
+        ids = np.concatenate([self.ids, fresh])
+        at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        place = number.fill_null(-1).to_numpy().astype(np.int64)
+        place[place < 0] = np.arange(len(self.words), len(self.words) + len(new))
+        start, count = at[place], at[place + 1] - at[place]
+        short = pc.less_equal(pc.binary_length(new), 64)
+        keep = short.to_numpy(zero_copy_only=False)
+        self.words = pa.concat_arrays([self.words, new.filter(short)])              # very long words are not remembered
+        self.ids = np.concatenate([self.ids, fresh[np.repeat(keep, sizes)]])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes[keep])])
+        return start, count, ids
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        flat = words.flatten().dictionary_encode()
+        start, count, ids = self._places(flat.dictionary)
+        index = flat.indices.to_numpy()
+        n = count[index]
+        ends = np.cumsum(n)
+        at = np.repeat(start[index] - (ends - n), n)
+        at += np.arange(len(at))
+        raw = ids[at].tobytes()
+        bounds = (4 * np.concatenate([[0], ends])[words.offsets.to_numpy()]).tolist()
+        return [raw[a:e] for a, e in itertools.pairwise(bounds)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words, parts = self.words, self.parts
-        if len(words) > CACHE or len(parts) > CACHE:
-            words.clear()
-            parts.clear()
-            words[""] = b""
-        split = [self._cut(t) for t in texts]
-        new = list(set().union(*(ws for ws in split if ws is not None)).difference(words))
-        cut = list(map(self.find, new))
-        fresh = list(dict.fromkeys(p for ps in cut for p in ps if p not in parts))
-        for i in range(0, len(fresh), 5000):
-            self._learn(fresh[i:i + 5000])
-        for w, ps in zip(new, cut, strict=True):
-            words[w] = parts[ps[0]] if len(ps) == 1 else b"".join(map(parts.__getitem__, ps))
-        out = [b"".join(map(words.__getitem__, ws)) if ws is not None else np.array(self._ids(t), "<u4").tobytes()
-               for t, ws in zip(texts, split, strict=True)]
-        for kept, seen in ((words, new), (parts, fresh)):
-            for w in [w for w in seen if len(w) > 64]:
-                del kept[w]                          # very long pieces are not remembered
-        return out
+        if len(self.words) > CACHE:
+            self._forget()
+        plain = list(map(self._cut, texts))
+        got = iter(self._by_words([t for t in plain if t is not None]))
+        return [np.array(self._ids(t), "<u4").tobytes() if p is None else next(got) for t, p in zip(texts, plain, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -141,8 +169,10 @@ def tokenize(df: DataFrame, path: str, end_id: int | None = 1) -> DataFrame:
         enc, z = word_encoder(path), zstandard.ZstdCompressor(level=1)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
+            ends = np.cumsum(pc.binary_length(b.column(1)).fill_null(0).to_numpy(), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(ends // PORTION)) + 1).tolist(), b.num_rows]
+            for at, e in itertools.pairwise(cuts):
+                part = b.slice(at, e - at)
                 ids = [x + end for x in enc.encode([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([zlib.crc32(x) for x in ids], pa.int64()),

@@ -558,3 +558,28 @@ def test_new_words_are_encoded_by_the_model_alone(monkeypatch):
     assert len(plain) > 2000
     monkeypatch.setattr(enc, "_ids", None)                       # the whole tokenizer is not called for them
     assert enc.encode(plain) == [w for x, w in zip(texts, want, strict=True) if x in set(plain)]
+
+
+def test_each_distinct_word_of_many_texts_is_looked_up_once(spark, monkeypatch):
+    t = Tokenizer.from_file(WORDS)
+
+    def want(texts):
+        return [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+    long = "ab" * 50
+    texts = ["Is it, is it\n", "", "it's  it é9 " * 300, f"{long}, it \x85is {long}", "<|endoftext|> is 中 it", "it"]
+    enc, seen, found = rans.WordEncoder(WORDS), [], []
+    places, find = enc._places, enc.find
+    monkeypatch.setattr(enc, "_places", lambda words: seen.extend(words.to_pylist()) or places(words))
+    monkeypatch.setattr(enc, "find", lambda w: found.append(w) or find(w))
+    assert enc.encode(texts) == want(texts)
+    assert sorted(seen) == sorted({"is", "it,", "it", "", "it's", "é9", f"{long},", "\x85is", long})
+    found.clear()
+    assert enc.encode(texts) == want(texts)
+    assert sorted(found) == [long, f"{long},"]                    # only very long words are not remembered
+    monkeypatch.setattr(rans, "CACHE", 2)
+    assert enc.encode(["new is", *texts]) == want(["new is", *texts]) and "new" in enc.words.to_pylist()
+    monkeypatch.setattr(rans, "PORTION", 20)                      # texts are dealt by bytes, longer ones go alone
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    crcs = {i: zlib.crc32(x + b"\1\0\0\0") for i, x in zip([*range(len(texts)), 9], want([*texts, ""]), strict=True)}
+    assert {r[0]: r[1] for r in rans.tokenize(docs, WORDS).select("doc_id", "crc").collect()} == crcs
