@@ -43,7 +43,7 @@ LANES = 2048
 INTERVAL = 128           # steps between checkpoints
 BLOCK = 1 << 20          # a frame is closed once it holds this many tokens
 LOW = np.uint64(1 << 31)
-CACHE = 2_000_000        # words a worker remembers; past that it starts afresh
+CACHE = 1_000_000        # words a worker remembers; past that it starts afresh
 PORTION = 8 << 20        # bytes of text encoded together
 MARK = "\x01"            # set between matches that are encoded in one call
 # the characters that stand for the bytes without a visible Latin-1 character of their own
