@@ -2,7 +2,8 @@
 
 Candidate formulas are small expression trees over the input columns built from the
 protected operators (E17). The fitting rows are kept after one reading; each generation scores its new
-candidates over them, a few in each aggregation (``corr`` of each candidate Column with the target); the fittest
+candidates over them in one pass (``evolution.correlations``: blocks of rows as NumPy vectors, equal subtrees once; with an
+all-NULL input, which only Columns tell from NaN, a few Columns in each aggregation); the fittest
 half is kept and varied (subtree replacement, wrapping in a unary operator, or joining two
 parents with a binary operator). The best ``n_keep`` distinct formulas become plain
 columns, sanitised like the reference (float32, non-finite → 0, clipped to ±1e9).
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import PSYM, psym, sanitize
+from .evolution import correlations
 
 UNARY = [k for k, (a, _) in PSYM.items() if a == 1]
 BINARY = [k for k, (a, _) in PSYM.items() if a == 2]
@@ -77,6 +79,9 @@ class SymbolicFeatures:
             child = self._random_tree(rnd, self.max_depth)
         return child if self._depth(child) <= self.max_depth else self._random_tree(rnd, 2)
 
+    def _named(self, t, names):
+        return names[t] if isinstance(t, str) else (t[0], *[self._named(a, names) for a in t[1:]])
+
     def _values(self, df: DataFrame, y: str, trees) -> DataFrame:
         """``_y`` and ``_v0``, ``_v1``, .. of ``trees``. Every distinct subtree is a column of its own, a projection per depth: the
         guards name their operand several times, which would otherwise be computed anew at each level above it."""
@@ -98,6 +103,11 @@ class SymbolicFeatures:
         return d.select("_y", *[sanitize(F.col(f"_f{i}")).alias(f"_v{i}") for i in range(len(trees))])
 
     def _score(self, df: DataFrame, y: str, trees) -> list[float]:
+        if all(self.medians.get(c) is not None for c in self.cols):
+            inputs = [F.col(c).alias(f"_x{i}") for i, c in enumerate(self.cols)]
+            rows = df.where(F.col(y).isNotNull()).select(*inputs, F.col(y).alias("_t"))
+            names = {c: f"_x{i}" for i, c in enumerate(self.cols)}
+            return correlations(rows, list(names.values()), "_t", [self._named(t, names) for t in trees]).tolist()
         # correlation written out with try_divide: a constant candidate scores NULL → 0
         def corr(x):
             return F.try_divide(F.covar_pop(x, "_y"), F.stddev_pop(x) * F.stddev_pop("_y"))
@@ -114,7 +124,11 @@ class SymbolicFeatures:
         keys = [] if self.sample is None or self.key is None else [self.key] if isinstance(self.key, str) else list(self.key)
         kept = df.select(*dict.fromkeys([*keys, *self.cols, y])).persist(StorageLevel.MEMORY_AND_DISK)     # read again by the medians and every generation
         self.medians = exact_median_values(kept, self.cols)
-        df = self._filled(sample_n(kept, self.sample, keys, seed=self.seed) if keys else kept)
+        rows = sample_n(kept, self.sample, keys, seed=self.seed) if keys else kept
+        cores, few = df.sparkSession.sparkContext.defaultParallelism, None
+        if rows.rdd.getNumPartitions() < cores:          # few rows come in few parts, though a generation is much work a row
+            rows = few = rows.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        df = self._filled(rows)
         rnd = random.Random(self.seed)
         pop = [self._random_tree(rnd, 2) for _ in range(self.population)]
         scored: dict[str, tuple] = {}
@@ -128,6 +142,8 @@ class SymbolicFeatures:
                              for _ in range(self.population - len(parents))]
         ranked = sorted(scored.values(), key=lambda st: (-st[0], render(st[1])))
         kept.unpersist()
+        if few is not None:
+            few.unpersist()
         self.best = [(render(t), s, t) for s, t in ranked[: self.n_keep]]
         return self
 
