@@ -161,7 +161,7 @@ def correlations(df: DataFrame, cols, y: str, trees) -> np.ndarray:
     if n > FAN_IN:
         parts = parts.repartition(math.isqrt(n)).mapInArrow(merge, schema)
     held = None
-    for row in parts.toLocalIterator():
+    for row in parts.collect():          # not toLocalIterator, which runs one task at a time
         held = read(*row) if held is None else _merge(held, read(*row))
     if held is None:
         return np.zeros(len(trees))

@@ -43,3 +43,15 @@ def test_symbolic_scores_of_a_generation_take_one_pass(spark):
     v = sym._values(d.where("y is not null"), "y", trees)
     want = v.agg(*[F.try_divide(F.covar_pop(f"_v{i}", "_y"), F.stddev_pop(f"_v{i}") * F.stddev_pop("_y")) for i in range(len(trees))]).first()
     assert max(abs(abs(w or 0.0) - g) for g, w in zip(got, want, strict=True)) < 1e-6
+
+
+def test_scores_of_all_parts_are_computed_side_by_side(spark):
+    from tarifa.operators import evolution as EV
+    d = spark.range(4000).selectExpr("cast(id % 11 as double) as a", "cast(id % 7 as double) as y").repartition(8).transform(lambda d: d.checkpoint())
+    sc = spark.sparkContext
+    sc.setJobGroup("side-by-side", "one job, not one for each part")
+    try:
+        EV.correlations(d, ["a"], "y", ["a", ("sin", "a")])
+        assert len(sc.statusTracker().getJobIdsForGroup("side-by-side")) <= 2
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
